@@ -325,3 +325,10 @@ SELECT top.state, top.measure_id, facility_id, facility_name, recommendation_ran
          AS certified_better
 FROM top JOIN ec ON top.state = ec.state AND top.measure_id = ec.measure_id""",
 }
+
+
+def analysis_sql(name: str) -> str:
+    """The oracle statement without the fixture CTEs, for DuckDB views named
+    ``hospitals`` and ``complications`` over stored tables (bench baseline)."""
+    fx = "WITH " + fixture_sql_ctes()
+    return ORACLE_SQL[name].replace(fx + ",", "WITH ").replace(fx, "")

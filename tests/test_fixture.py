@@ -1,0 +1,38 @@
+"""The derived CMS-shaped tables against the counts recorded in FIXTURES.md §3."""
+
+import pytest
+from conftest import SF001, SF01
+from pyspark.sql import functions as F
+
+from wardrank.operators.clean import clean_mortality
+from wardrank.operators.metrics import facility_parts
+from wardrank.sources.fixture import cms_fixture
+
+EXPECTED = {
+    SF001: dict(h=149, c=900, orphans=6, clean=(553, 145, 29190), four=(94, 51)),
+    SF01: dict(h=1492, c=9000, orphans=48, clean=(5606, 1460, 294131), four=(992, 468)),
+}
+
+
+@pytest.mark.parametrize("sf", [SF001, SF01])
+def test_fixture_counts(spark, sf):
+    e = EXPECTED[sf]
+    c, h = cms_fixture(spark, sf)
+    assert h.count() == e["h"] and c.count() == e["c"]
+    assert c.join(h, "facility_id", "left_anti").count() == e["orphans"]
+    clean = clean_mortality(c, h)
+    agg = clean.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("facility_id").alias("f"),
+                    F.sum("denominator").alias("d")).first()
+    assert (agg.n, agg.f, agg.d) == e["clean"]
+    fac = facility_parts(clean)
+    four = fac.filter("measures_available >= 4").count()
+    assert (four, agg.f - four) == e["four"]
+
+
+def test_amI_class_counts_sf001_shape(spark):
+    c, _ = cms_fixture(spark, SF01)
+    got = {r.compared: r["count"] for r in
+           c.filter("measure_id = 'MORT_30_AMI'").groupBy("compared").count().collect()}
+    assert got == {"No Different Than the National Rate": 1057, "Not Available": 206,
+                   "Better Than the National Rate": 105, "Number of Cases Too Small": 96,
+                   "Worse Than the National Rate": 20, None: 16}

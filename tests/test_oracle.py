@@ -1,0 +1,56 @@
+"""Every registered query against its DuckDB oracle (sf0.001), plus the entry contract."""
+
+import math
+
+import duckdb
+import pytest
+from conftest import SF001
+
+import __spark_entry__ as E
+
+TYPE_FAMILY = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+               "boolean": "BOOLEAN"}
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+    return v
+
+
+def _bag(cols, rows):
+    return sorted((tuple(sorted(zip(cols, map(_norm, r)))) for r in rows), key=repr)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    return con
+
+
+def test_every_query_has_an_oracle_or_is_rows_only():
+    q, o = E.queries(), E.oracle_sql()
+    assert set(o) <= set(q)
+    assert set(q) - set(o) == {"list_tables"}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_query_matches_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF001)
+    rows = df.collect()
+    res = duck.execute(E.oracle_sql()[name])
+    dcols = [d[0] for d in res.description]
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    drows = res.fetchall()
+    assert sorted(df.columns) == sorted(dcols)
+    assert {c: TYPE_FAMILY.get(t) for c, t in df.dtypes} == dtypes
+    assert _bag(df.columns, rows) == _bag(dcols, drows)
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    rows = df.collect()
+    assert len(rows) == 20
+    assert df.columns[-1] == "quality_rank" and rows[0].quality_rank == 1

@@ -24,12 +24,12 @@ def test_fixture_counts(spark, sf):
     agg = clean.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("facility_id").alias("f"),
                     F.sum("denominator").alias("d")).first()
     assert (agg.n, agg.f, agg.d) == e["clean"]
-    fac = facility_parts(clean)
+    fac = facility_parts(c, h)
     four = fac.filter("measures_available >= 4").count()
     assert (four, agg.f - four) == e["four"]
 
 
-def test_amI_class_counts_sf001_shape(spark):
+def test_ami_class_counts_sf01(spark):
     c, _ = cms_fixture(spark, SF01)
     got = {r.compared: r["count"] for r in
            c.filter("measure_id = 'MORT_30_AMI'").groupBy("compared").count().collect()}

@@ -1,9 +1,24 @@
-"""Grouped quality metrics over cleaned rows.
-
-All rates come out as exact decimals rounded half-up and are cast to double
-last.  Every aggregate here is partial-aggregatable (sum/min/max/count/bit_or),
-so a hot group key — one state holding a third of the rows — is combined on
-the map side and never lands whole in a single task.
+"""Grouped quality metrics: aggregate the facts first, then join the dimension.
+
+Facility- and group-level reports never join raw fact rows to the dimension.
+The cleaned facts are first reduced to one row of exact partial sums per
+facility (map-side partial aggregation, one shuffle of partial results), and
+only that small frame meets ``hospitals``.  Consequences at scale:
+
+* the join input shrinks by the number of measures per facility, and a
+  sort-merge join (dimension too big to broadcast) shuffles only the
+  dimension — the aggregate is already hash-partitioned by ``facility_id``;
+* a facility that owns a huge share of the fact rows is collapsed inside
+  every map task before any shuffle, so no join or aggregate task receives
+  it whole;
+* group-level (state / ownership / measure) aggregates roll the facility sums
+  up with sum/min/max, all partial-aggregatable, so a state holding a third
+  of all facilities is combined map-side as well.
+
+Precondition (as for any dimension): ``hospitals`` has one row per
+``facility_id`` (see ``sources.files.unique_key_violations``); under it the
+results equal the join-then-aggregate formulation row for row.
+All rates are exact decimals rounded half-up, cast to double last.
 """
 
 from __future__ import annotations
@@ -19,21 +34,19 @@ from ..functions.aggregates import (
     weighted_parts,
 )
 from ..sources.schema import MORTALITY_MEASURES
+from .clean import clean_mortality, dimension
 
+_SUMS = ("_w_num", "_w_den", "_m_num", "_m_den")
 
-def facility_parts(
-    clean: DataFrame,
-    keys=("facility_id", "facility_name", "state"),
-    measures=MORTALITY_MEASURES,
-    min_measures: int | None = None,
-) -> DataFrame:
-    """Per-facility sums: measures_available, _w_num/_w_den, _m_num/_m_den,
-    _min/_max score, total_patients.  ``keys`` must include ``facility_id``.
 
-    The distinct-measure count uses a bitmask over the (known, five-value)
-    measure domain, so the whole aggregate is one shuffle.
+def facility_sums(facts: DataFrame, keys=("facility_id",), measures=MORTALITY_MEASURES) -> DataFrame:
+    """Exact per-facility sums over cleaned fact rows (no join).
+
+    Columns: keys, measures_available (bitmask distinct count over the known
+    measure domain, so this is a single shuffle), _w_num/_w_den, _m_num/_m_den,
+    _min/_max score, total_patients.
     """
-    out = clean.groupBy(*keys).agg(
+    return facts.groupBy(*keys).agg(
         distinct_in_domain("measure_id", measures).alias("measures_available"),
         *weighted_parts("score", "denominator"),
         *mean_parts("score"),
@@ -41,26 +54,68 @@ def facility_parts(
         F.max("score").alias("_max"),
         F.sum("denominator").cast("long").alias("total_patients"),
     )
+
+
+def facility_parts(
+    complications: DataFrame,
+    hospitals: DataFrame,
+    name: bool = True,
+    attrs=("state",),
+    measures=MORTALITY_MEASURES,
+    min_measures: int | None = None,
+) -> DataFrame:
+    """Per-facility sums (keyed by facility_id [+ facility_name]) joined to the
+    dimension attributes ``attrs``; facilities missing from the dimension drop
+    out, exactly as with the inner join on raw rows."""
+    keys = ("facility_id", "facility_name") if name else ("facility_id",)
+    facts = clean_mortality(complications, hospitals, measures, join=False)
+    sums = facility_sums(facts, keys, measures)
     if min_measures is not None:
-        out = out.filter(F.col("measures_available") >= min_measures)
-    return out
+        sums = sums.filter(F.col("measures_available") >= min_measures)
+    return sums.join(dimension(hospitals).select("facility_id", *attrs), "facility_id")
 
 
-def group_parts(clean: DataFrame, keys, min_hospitals: int | None = None,
-                max_hospitals: int | None = None) -> DataFrame:
-    """Per-group sums plus the exact distinct facility count ``num_hospitals``.
+def group_parts(
+    complications: DataFrame,
+    hospitals: DataFrame,
+    by,
+    fact_keys=(),
+    derive: dict | None = None,
+    dim_attrs=None,
+    measures=MORTALITY_MEASURES,
+    min_hospitals: int | None = None,
+    max_hospitals: int | None = None,
+) -> DataFrame:
+    """Per-group sums with the exact distinct facility count ``num_hospitals``.
 
-    ``min_hospitals`` keeps groups at or above it (HAVING); ``max_hospitals``
-    keeps groups strictly below it (the complement, for excluded-group reports).
+    ``by``: group columns.  Those listed in ``fact_keys`` come from the fact
+    (e.g. measure_id), the rest from the dimension or from ``derive``
+    (name -> column expression over the dimension attributes ``dim_attrs``,
+    e.g. the ownership group).  ``min_hospitals`` keeps groups at or above it (HAVING);
+    ``max_hospitals`` keeps those strictly below it (the excluded complement).
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    out = clean.groupBy(*keys).agg(
-        F.count_distinct("facility_id").alias("num_hospitals"),
+    by = [by] if isinstance(by, str) else list(by)
+    derive = derive or {}
+    facts = clean_mortality(complications, hospitals, measures, join=False)
+    sums = facts.groupBy("facility_id", *fact_keys).agg(
         *weighted_parts("score", "denominator"),
         *mean_parts("score"),
         F.min("score").alias("_min"),
         F.max("score").alias("_max"),
     )
+    if dim_attrs is None:
+        dim_attrs = [c for c in by if c not in fact_keys and c not in derive]
+    joined = sums.join(dimension(hospitals).select("facility_id", *dim_attrs), "facility_id")
+    if derive:
+        joined = joined.withColumns(derive)
+    # count_distinct costs no extra exchange here: the rows are already
+    # hash-partitioned by facility_id, which satisfies (by..., facility_id)
+    out = joined.groupBy(*by).agg(
+        F.count_distinct("facility_id").alias("num_hospitals"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.min("_min").alias("_min"),
+        F.max("_max").alias("_max"),
+    )
     if min_hospitals is not None:
         out = out.filter(F.col("num_hospitals") >= min_hospitals)
     if max_hospitals is not None:

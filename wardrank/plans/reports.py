@@ -80,8 +80,8 @@ def outliers(complications: DataFrame, hospitals: DataFrame, measure: str = "MOR
 
 
 # ------------------------------------------------------------- facilities ---
-def _facility_scores(complications, hospitals, keys, min_measures):
-    return facility_parts(clean_mortality(complications, hospitals), keys=keys,
+def _facility_scores(complications, hospitals, attrs, min_measures, name=True):
+    return facility_parts(complications, hospitals, name=name, attrs=attrs,
                           min_measures=min_measures)
 
 
@@ -92,8 +92,7 @@ def composite_weighted(complications: DataFrame, hospitals: DataFrame, k: int =
     Ranked on the value rounded to 2 dp (ties share a rank); exactly k rows,
     ties at the cut broken by facility_id.
     """
-    scores = _facility_scores(complications, hospitals,
-                              ("facility_id", "facility_name", "state"), min_measures)
+    scores = _facility_scores(complications, hospitals, ("state",), min_measures)
     flat = scores.select(
         "facility_id", "facility_name", "state", "measures_available",
         weighted_rate().alias("weighted_avg_mortality"),
@@ -106,17 +105,17 @@ def composite_weighted(complications: DataFrame, hospitals: DataFrame, k: int =
 
 def composite_simple(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACILITIES,
                      min_measures: int = MIN_MEASURES) -> DataFrame:
-    """As :func:`composite_weighted` with a plain mean; State is fetched by a
-    second join of the facility aggregate to the dimension."""
-    scores = _facility_scores(complications, hospitals, ("facility_id", "facility_name"),
-                              min_measures)
+    """As :func:`composite_weighted` with a plain mean, grouped by facility
+    only; State is fetched by joining the facility aggregate to the dimension
+    (the aggregate-then-join shape every facility report uses)."""
+    scores = _facility_scores(complications, hospitals, ("state",), min_measures)
     flat = scores.select(
         "facility_id", "facility_name", "measures_available",
         plain_rate().alias("avg_mortality_rate"),
         rounded_score("_min").alias("best_measure"),
         rounded_score("_max").alias("worst_measure"),
-        "total_patients",
-    ).join(hospitals.select("facility_id", "state"), "facility_id")
+        "total_patients", "state",
+    )
     return top_k(flat, k, "avg_mortality_rate", "quality_rank", tiebreak="facility_id")
 
 
@@ -128,8 +127,7 @@ def best_worst(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACI
     reused), concatenated with bag semantics: a facility in both lists
     appears twice.
     """
-    scores = _facility_scores(complications, hospitals,
-                              ("facility_id", "facility_name", "state"), min_measures)
+    scores = _facility_scores(complications, hospitals, ("state",), min_measures)
     flat = scores.select(
         hospital_label().alias("hospital"),
         weighted_rate().alias("weighted_avg_mortality"),
@@ -147,8 +145,7 @@ def best_worst(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACI
 def volume_vs_quality(complications: DataFrame, hospitals: DataFrame,
                       min_measures: int = MIN_MEASURES) -> DataFrame:
     """Per facility: ownership group, weighted mortality, volume, measure count."""
-    scores = _facility_scores(complications, hospitals,
-                              ("facility_id", "facility_name", "ownership"), min_measures)
+    scores = _facility_scores(complications, hospitals, ("ownership",), min_measures)
     return scores.select(
         "facility_name",
         ownership_group("ownership").alias("ownership_group"),
@@ -163,7 +160,7 @@ def volume_band_quality(complications: DataFrame, hospitals: DataFrame,
                         min_measures: int = MIN_MEASURES) -> DataFrame:
     """Facilities per volume band (total patients below / at-or-above ``edge``):
     count, mean of facility weighted mortality (2 dp) and corr(volume, mortality)."""
-    scores = _facility_scores(complications, hospitals, ("facility_id",), min_measures)
+    scores = _facility_scores(complications, hospitals, (), min_measures, name=False)
     fac = scores.select(
         F.when(F.col("total_patients") < edge, "small").otherwise("large").alias("volume_band"),
         "total_patients",
@@ -183,8 +180,8 @@ def volume_band_quality(complications: DataFrame, hospitals: DataFrame,
 
 # ------------------------------------------------------------------ states ---
 def _state_parts(complications, hospitals, min_hospitals=None, max_hospitals=None):
-    return group_parts(clean_mortality(complications, hospitals), "state",
-                       min_hospitals, max_hospitals)
+    return group_parts(complications, hospitals, "state", min_hospitals=min_hospitals,
+                       max_hospitals=max_hospitals)
 
 
 def state_ranking(complications: DataFrame, hospitals: DataFrame,
@@ -252,8 +249,8 @@ def rank_shift_simple_vs_weighted(complications: DataFrame, hospitals: DataFrame
 
 # --------------------------------------------------------------- ownership ---
 def _owner_parts(complications, hospitals, min_hospitals=None, max_hospitals=None):
-    return group_parts(clean_mortality(complications, hospitals), "ownership",
-                       min_hospitals, max_hospitals)
+    return group_parts(complications, hospitals, "ownership", min_hospitals=min_hospitals,
+                       max_hospitals=max_hospitals)
 
 
 def ownership_ranking(complications: DataFrame, hospitals: DataFrame,
@@ -352,11 +349,10 @@ def gap_to_national(complications: DataFrame, hospitals: DataFrame,
 
 # -------------------------------------------------------------- conditions ---
 def _condition_parts(complications, hospitals, with_name=True):
-    clean = clean_mortality(complications, hospitals).withColumn(
-        "ownership_group", ownership_group("ownership"))
-    keys = ["measure_id", "measure_name", "ownership_group"] if with_name \
-        else ["measure_id", "ownership_group"]
-    return group_parts(clean, keys)
+    fact_keys = ("measure_id", "measure_name") if with_name else ("measure_id",)
+    return group_parts(complications, hospitals, [*fact_keys, "ownership_group"],
+                       fact_keys=fact_keys, dim_attrs=("ownership",),
+                       derive={"ownership_group": ownership_group("ownership")})
 
 
 def mortality_by_condition(complications: DataFrame, hospitals: DataFrame) -> DataFrame:

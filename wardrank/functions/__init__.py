@@ -1,0 +1 @@
+"""Column expressions: sentinel-safe casts, exact aggregates, recodes and labels."""

@@ -1,0 +1 @@
+"""Reusable DataFrame operators: cleaning, grouped metrics, ranking and top-k."""

@@ -20,7 +20,9 @@ def build_session(
     AQE stays on: it coalesces the small post-aggregation shuffles, turns a
     sort-merge join into a broadcast join only when the *measured* build
     side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and
-    splits skewed join partitions.  The UI is off (no server).
+    splits skewed join partitions — also when the split costs one more
+    shuffle downstream (``forceOptimizeSkewedJoin``), which is cheaper than a
+    straggler task holding a hot key.  The UI is off (no server).
     """
     master = master or os.environ.get("WARDRANK_MASTER", "local[8]")
     cores = 8
@@ -35,6 +37,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )

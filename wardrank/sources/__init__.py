@@ -1,0 +1 @@
+"""Ingest (CSV), storage (Parquet), catalog helpers and the test fixture."""

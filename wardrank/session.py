@@ -22,7 +22,11 @@ def build_session(
     side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``, and
     splits skewed join partitions — also when the split costs one more
     shuffle downstream (``forceOptimizeSkewedJoin``), which is cheaper than a
-    straggler task holding a hot key.  The UI is off (no server).
+    straggler task holding a hot key.  Post-shuffle partitions are sized by
+    bytes (``parallelismFirst=false``: fewer, fuller tasks on a busy
+    cluster), and the generated-code cache is large enough that a reporting
+    workload cycling through dozens of queries does not recompile each
+    stage.  The UI is off (no server).
     """
     master = master or os.environ.get("WARDRANK_MASTER", "local[8]")
     cores = 8
@@ -33,9 +37,12 @@ def build_session(
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -11,9 +11,14 @@ only that small frame meets ``hospitals``.  Consequences at scale:
 * a facility that owns a huge share of the fact rows is collapsed inside
   every map task before any shuffle, so no join or aggregate task receives
   it whole;
-* group-level (state / ownership / measure) aggregates roll the facility sums
-  up with sum/min/max, all partial-aggregatable, so a state holding a third
-  of all facilities is combined map-side as well.
+* group-level (state / ownership) aggregates roll the facility sums up with
+  sum/min/max, all partial-aggregatable, so a state holding a third of all
+  facilities is combined map-side as well.
+
+Groups keyed below the facility (measure x ownership) join first instead:
+one row per (facility, measure) leaves nothing to pre-aggregate, and the
+aggregate-first order would shuffle twice under a sort-merge join
+(measured on a 20x replica: 5.9 s vs 4.2 s with a broadcast join).
 
 Precondition (as for any dimension): ``hospitals`` has one row per
 ``facility_id`` (see ``sources.files.unique_key_violations``); under it the
@@ -96,26 +101,43 @@ def group_parts(
     """
     by = [by] if isinstance(by, str) else list(by)
     derive = derive or {}
-    facts = clean_mortality(complications, hospitals, measures, join=False)
-    sums = facts.groupBy("facility_id", *fact_keys).agg(
-        *weighted_parts("score", "denominator"),
-        *mean_parts("score"),
-        F.min("score").alias("_min"),
-        F.max("score").alias("_max"),
-    )
     if dim_attrs is None:
         dim_attrs = [c for c in by if c not in fact_keys and c not in derive]
-    joined = sums.join(dimension(hospitals).select("facility_id", *dim_attrs), "facility_id")
-    if derive:
-        joined = joined.withColumns(derive)
-    # count_distinct costs no extra exchange here: the rows are already
-    # hash-partitioned by facility_id, which satisfies (by..., facility_id)
-    out = joined.groupBy(*by).agg(
-        F.count_distinct("facility_id").alias("num_hospitals"),
-        *[F.sum(c).alias(c) for c in _SUMS],
-        F.min("_min").alias("_min"),
-        F.max("_max").alias("_max"),
-    )
+    dim = dimension(hospitals).select("facility_id", *dim_attrs)
+    facts = clean_mortality(complications, hospitals, measures, join=False)
+    if fact_keys:
+        # Keys below the facility (e.g. measure) leave nothing to pre-aggregate:
+        # join the clean rows directly; the distinct-facility aggregation then
+        # combines map-side and, after a sort-merge join, reuses its
+        # facility_id partitioning (one large shuffle either way).
+        joined = facts.join(dim, "facility_id")
+        if derive:
+            joined = joined.withColumns(derive)
+        out = joined.groupBy(*by).agg(
+            F.count_distinct("facility_id").alias("num_hospitals"),
+            *weighted_parts("score", "denominator"),
+            *mean_parts("score"),
+            F.min("score").alias("_min"),
+            F.max("score").alias("_max"),
+        )
+    else:
+        sums = facts.groupBy("facility_id").agg(
+            *weighted_parts("score", "denominator"),
+            *mean_parts("score"),
+            F.min("score").alias("_min"),
+            F.max("score").alias("_max"),
+        )
+        joined = sums.join(dim, "facility_id")
+        if derive:
+            joined = joined.withColumns(derive)
+        # count_distinct costs no extra exchange here: the rows are already
+        # hash-partitioned by facility_id, which satisfies (by..., facility_id)
+        out = joined.groupBy(*by).agg(
+            F.count_distinct("facility_id").alias("num_hospitals"),
+            *[F.sum(c).alias(c) for c in _SUMS],
+            F.min("_min").alias("_min"),
+            F.max("_max").alias("_max"),
+        )
     if min_hospitals is not None:
         out = out.filter(F.col("num_hospitals") >= min_hospitals)
     if max_hospitals is not None:

@@ -73,3 +73,22 @@ def test_tables_roundtrip_counts_preview_and_catalog(spark, tmp_path):
     assert names == {"t_hospitals", "t_complications"}
     assert files.unique_key_violations(h2, "facility_id").count() == 0
     assert files.unique_key_violations(c2, ["facility_id", "measure_id"]).count() == 0
+
+
+def test_analyses_as_sql_views(spark):
+    from conftest import plan_text
+    from wardrank.plans import recommend as rec
+    from wardrank.plans.views import register_analyses
+
+    c, h = cms_fixture(spark, SF001)
+    names = register_analyses(spark, c, h, prefix="v_")
+    assert "v_recommend_all" in names and "v_hospitals" in names
+    one = spark.sql("SELECT * FROM v_recommend_all "
+                    "WHERE state = 'NATION_5' AND measure_id = 'MORT_30_AMI'")
+    direct = rec.recommend_all(c, h).filter("state = 'NATION_5' AND measure_id = 'MORT_30_AMI'")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, direct.collect()))
+    # the slice predicate sits below the window, next to the scans
+    plan = plan_text(one, "extended")
+    window_at = plan.rindex("Window [")
+    assert "NATION_5" in plan[window_at:]
+    assert spark.sql("SELECT count(*) AS n FROM v_composite_weighted").first().n == 20

@@ -92,3 +92,7 @@ def test_analyses_as_sql_views(spark):
     window_at = plan.rindex("Window [")
     assert "NATION_5" in plan[window_at:]
     assert spark.sql("SELECT count(*) AS n FROM v_composite_weighted").first().n == 20
+    # bound parameters instead of string building
+    bound = spark.sql("SELECT * FROM v_recommend_all WHERE state = :state AND measure_id = :m",
+                      args={"state": "NATION_5", "m": "MORT_30_AMI"})
+    assert sorted(map(tuple, bound.collect())) == sorted(map(tuple, direct.collect()))

@@ -94,3 +94,17 @@ def test_fixed1_half_up(spark):
     df = spark.createDataFrame([(Decimal("2.25"),), (Decimal("0.0"),), (Decimal("43.349"),)],
                                "x decimal(10,3)")
     assert [r.t for r in df.select(fixed1("x").alias("t")).collect()] == ["2.3", "0.0", "43.3"]
+
+
+def test_histogram_rank_equals_rank(spark):
+    from pyspark.sql import Window
+
+    from wardrank.operators.ranking import histogram_rank
+    vals = [3.0, 1.0, 1.0, None, 2.5, 3.0, 3.0, None, 0.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v double")
+    for desc in (False, True):
+        order = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_last()
+        want = {r.id: r.r for r in df.select("id", F.rank().over(Window.orderBy(order))
+                                              .alias("r")).collect()}
+        got = {r.id: r.r for r in histogram_rank(df, "v", "r", descending=desc).collect()}
+        assert got == want

@@ -210,6 +210,12 @@ SELECT facility_id, facility_name, state, measures_available,
        {_t1("tmax")} AS worst_measure, total_patients,
        RANK() OVER (ORDER BY wh) AS quality_rank
 FROM fs ORDER BY quality_rank, facility_id LIMIT 20""",
+    "composite_ranked": _with(_MM, _facility("facility_id, facility_name, state")) + f"""
+SELECT facility_id, facility_name, state, measures_available,
+       {_h2("wh")} AS weighted_avg_mortality, {_t1("tmin")} AS best_measure,
+       {_t1("tmax")} AS worst_measure, total_patients,
+       RANK() OVER (ORDER BY wh) AS quality_rank
+FROM fs""",
     "composite_simple": _with(_MM, _facility("facility_id, facility_name")) + f"""
 SELECT fs.facility_id, fs.facility_name, measures_available,
        {_h2("ah")} AS avg_mortality_rate, {_t1("tmin")} AS best_measure,

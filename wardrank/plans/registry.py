@@ -87,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "outliers": _on_fixture(rep.outliers),
     # facilities
     "composite_weighted": _on_fixture(rep.composite_weighted),
+    "composite_ranked": _on_fixture(rep.composite_ranked),
     "composite_simple": _on_fixture(rep.composite_simple),
     "best_worst_20": _on_fixture(rep.best_worst),
     "volume_vs_quality": _on_fixture(rep.volume_vs_quality),

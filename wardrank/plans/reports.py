@@ -24,7 +24,7 @@ from ..operators.metrics import (
     rounded_score,
     weighted_rate,
 )
-from ..operators.ranking import top_k, with_rank
+from ..operators.ranking import histogram_rank, top_k, with_rank
 from ..sources.schema import (
     MIN_MEASURES,
     MIN_OWNER_HOSPITALS,
@@ -103,6 +103,23 @@ def composite_weighted(complications: DataFrame, hospitals: DataFrame, k: int =
     return top_k(flat, k, "weighted_avg_mortality", "quality_rank", tiebreak="facility_id")
 
 
+def composite_ranked(complications: DataFrame, hospitals: DataFrame,
+                     min_measures: int = MIN_MEASURES) -> DataFrame:
+    """Every eligible facility with its national rank (the full ranking the
+    top-k is cut from).  Ranked by :func:`histogram_rank` on the 2-dp rate,
+    so no task ever holds all facilities."""
+    scores = _facility_scores(complications, hospitals, ("state",), min_measures)
+    flat = scores.select(
+        "facility_id", "facility_name", "state", "measures_available",
+        weighted_rate().alias("weighted_avg_mortality"),
+        rounded_score("_min").alias("best_measure"),
+        rounded_score("_max").alias("worst_measure"),
+        "total_patients",
+    )
+    return histogram_rank(flat, "weighted_avg_mortality", "quality_rank") \
+        .orderBy("quality_rank", "facility_id")
+
+
 def composite_simple(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACILITIES,
                      min_measures: int = MIN_MEASURES) -> DataFrame:
     """As :func:`composite_weighted` with a plain mean, grouped by facility

@@ -146,10 +146,11 @@ GROUP BY h.state"""
 def _vs_national(key: str, having: str) -> str:
     return _with(_MM, _MMU, _NAT, _group(key, having)) + f"""
 SELECT {key}, num_hospitals, {_h2("wh")} AS weighted_avg_mortality,
-       {_h2("nh")} AS national_weighted_avg, wh < nh AS below_national,
-       {_t1("(2000 * SUM(CASE WHEN wh < nh THEN 1 ELSE 0 END) OVER () + COUNT(*) OVER ())"
-            " // (2 * COUNT(*) OVER ())")} AS share_below_pct
-FROM g CROSS JOIN nat"""
+       {_h2("(SELECT nh FROM nat)")} AS national_weighted_avg,
+       wh < (SELECT nh FROM nat) AS below_national,
+       {_t1("(2000 * SUM(CASE WHEN wh < (SELECT nh FROM nat) THEN 1 ELSE 0 END) OVER ()"
+            " + COUNT(*) OVER ()) // (2 * COUNT(*) OVER ())")} AS share_below_pct
+FROM g"""
 
 
 def _state_like(having: str, rank: str | None, limit: str = "", minmax_dec: bool = False):
@@ -267,8 +268,9 @@ FROM g""",
                                           "HAVING COUNT(DISTINCT facility_id) >= 40"),
     "gap_to_national": _with(_MMU, _NAT) + f"""
 SELECT c.facility_id, c.facility_name, h.state, {_t1(_T)} AS score,
-       {_h2("nh")} AS national_weighted_avg, {_h2(f"{_T} * 10 - nh")} AS gap_to_national
-FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id CROSS JOIN nat
+       {_h2("(SELECT nh FROM nat)")} AS national_weighted_avg,
+       {_h2(f"{_T} * 10 - (SELECT nh FROM nat)")} AS gap_to_national
+FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
 WHERE c.measure_id = 'MORT_30_AMI' AND c.compared = 'Worse Than the National Rate'""",
     "mortality_by_condition": _with(_MM) + f"""
 SELECT measure_id, measure_name, {_OG} AS ownership_group,

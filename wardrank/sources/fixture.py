@@ -194,8 +194,9 @@ def fixture_sql_ctes() -> str:
             sums.append(
                 f"sum(CASE WHEN o_orderpriority = '{prio}' THEN lines END) AS n{i}, "
                 f"sum(CASE WHEN o_orderpriority = '{prio}' THEN returned END) AS r{i}")
-    values = ", ".join(
-        f"({i}, '{mid}', '{name}')" for i, (mid, name, _) in enumerate(FIXTURE_MEASURES))
+    slots = ", ".join(
+        f"{{'slot': {i}, 'measure_id': '{mid}', 'measure_name': '{name}'}}"
+        for i, (mid, name, _) in enumerate(FIXTURE_MEASURES))
     pick_n = " ".join(f"WHEN {i} THEN x.n{i}" for i in range(len(FIXTURE_MEASURES)))
     pick_r = " ".join(f"WHEN {i} THEN x.r{i}" for i in range(len(FIXTURE_MEASURES)))
     return f"""
@@ -209,13 +210,15 @@ fx_cells AS (
     FROM orders JOIN fx_lines ON o_orderkey = l_orderkey
     GROUP BY o_custkey
 ),
+fx_rows AS (
+    SELECT c_custkey, c_mktsegment, UNNEST([{slots}]) AS m FROM customer
+),
 fx_grid AS (
     SELECT c.c_custkey AS k, {_sql_ownership("c.c_custkey", "c.c_mktsegment")} AS own,
-           m.measure_id, m.measure_name,
-           CASE m.slot {pick_n} END AS n,
-           CASE m.slot {pick_r} END AS r
-    FROM customer c
-    CROSS JOIN (VALUES {values}) AS m(slot, measure_id, measure_name)
+           c.m.measure_id AS measure_id, c.m.measure_name AS measure_name,
+           CASE c.m.slot {pick_n} END AS n,
+           CASE c.m.slot {pick_r} END AS r
+    FROM fx_rows c
     LEFT JOIN fx_cells x ON x.o_custkey = c.c_custkey
 ),
 fx_vals AS (

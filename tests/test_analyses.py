@@ -172,3 +172,17 @@ def test_system_repeat_and_context(tables):
     assert [(r.eligible_hospitals, r.shown, r.top_share_pct) for r in ctx] == [(6, 5, 83.3)]
     spread = rec.top_spread(c, h).first()
     assert (spread.best_rate, spread.last_rate, spread.spread_pct) == (9.0, 13.0, 44.4)
+
+
+def test_tie_at_rank_20(tables):
+    # 19 distinct rates, then three facilities tied at rank 20
+    rates = [f"{8 + i * 0.1:.1f}" for i in range(19)] + ["12.0", "12.0", "12.0"]
+    hs = [hosp(f"F{i:02d}", state="ST") for i in range(len(rates))]
+    cs = [comp(f"F{i:02d}", m, r, 40) for i, r in enumerate(rates) for m in M[:4]]
+    c, h = tables(hs, cs)
+    top = rep.composite_weighted(c, h).collect()          # LIMIT form: exactly 20
+    assert len(top) == 20 and top[-1].quality_rank == 20 and top[-1].facility_id == "F19"
+    best = [r for r in rep.best_worst(c, h).collect() if r.category == "Top 20"]
+    assert len(best) == 22                                # rank filter keeps the tie
+    ranked = rep.composite_ranked(c, h).collect()
+    assert [r.quality_rank for r in ranked][-3:] == [20, 20, 20]

@@ -12,15 +12,21 @@ purpose (binary rounding, no decimal division).
 from __future__ import annotations
 
 from ..sources.fixture import fixture_sql_ctes
-from ..sources.schema import MEASURE_LABELS, MORTALITY_MEASURES, OWNERSHIP_GROUPS, SENTINELS
+from ..sources.schema import (
+    MEASURE_LABELS,
+    MORTALITY_MEASURES,
+    OWNERSHIP_DEFAULT,
+    OWNERSHIP_GROUPS,
+    OWNERSHIP_RULES,
+    SENTINELS,
+)
 from .registry import MS, NY, TEST_VOLUME_EDGE, TX
 
 _MEASURES = ", ".join(f"'{m}'" for m in MORTALITY_MEASURES)
 _SENT = ", ".join(f"'{s}'" for s in SENTINELS)
-_OG = """CASE WHEN ownership LIKE '%Veterans%' THEN 'VA'
-              WHEN ownership LIKE '%non-profit%' THEN 'Non-profit'
-              WHEN ownership = 'Proprietary' THEN 'For-profit'
-              ELSE 'Government' END"""
+_OG = "CASE " + " ".join(
+    f"WHEN ownership {'LIKE' if kind == 'like' else '='} '{pattern}' THEN '{label}'"
+    for kind, pattern, label in OWNERSHIP_RULES) + f" ELSE '{OWNERSHIP_DEFAULT}' END"
 _T = "CAST(TRY_CAST(c.score AS DECIMAL(5,1)) * 10 AS BIGINT)"
 _D = "TRY_CAST(c.denominator AS INTEGER)"
 

@@ -398,8 +398,9 @@ def condition_pivot(complications: DataFrame, hospitals: DataFrame) -> DataFrame
     """
     parts = _condition_parts(complications, hospitals, with_name=False).select(
         "measure_id", "ownership_group", weighted_rate().alias("w"))
+    # one value per (measure, group) cell, so max() just lifts it into place
     wide = parts.groupBy("measure_id").pivot("ownership_group", list(OWNERSHIP_GROUPS)) \
-        .agg(F.first("w"))
+        .agg(F.max("w"))
     return wide.select(measure_label("measure_id").alias("label"),
                        *[F.col(f"`{g}`") for g in OWNERSHIP_GROUPS]).orderBy("label")
 

@@ -5,9 +5,12 @@ The cleaned facts are first reduced to one row of exact partial sums per
 facility (map-side partial aggregation, one shuffle of partial results), and
 only that small frame meets ``hospitals``.  Consequences at scale:
 
-* the join input shrinks by the number of measures per facility, and a
-  sort-merge join (dimension too big to broadcast) shuffles only the
-  dimension — the aggregate is already hash-partitioned by ``facility_id``;
+* the join input shrinks by the number of measures per facility; for the
+  roll-ups keyed by ``facility_id`` alone a sort-merge join (dimension too
+  big to broadcast) shuffles only the dimension, as the aggregate is already
+  hash-partitioned by ``facility_id`` (facility reports keyed by
+  (facility_id, facility_name) re-shuffle their one-row-per-facility
+  aggregate instead);
 * a facility that owns a huge share of the fact rows is collapsed inside
   every map task before any shuffle, so no join or aggregate task receives
   it whole;

@@ -29,6 +29,14 @@ def test_fixture_counts(spark, sf):
     assert (four, agg.f - four) == e["four"]
 
 
+@pytest.mark.parametrize("sf,differ,of", [(SF001, 1, 3), (SF01, 19, 22)])
+def test_rank_shift_counts(spark, sf, differ, of):
+    from wardrank.plans import reports as rep
+    c, h = cms_fixture(spark, sf)
+    rows = rep.rank_shift_simple_vs_weighted(c, h).collect()
+    assert (sum(r.rank_shift != 0 for r in rows), len(rows)) == (differ, of)
+
+
 def test_ami_class_counts_sf01(spark):
     c, _ = cms_fixture(spark, SF01)
     got = {r.compared: r["count"] for r in

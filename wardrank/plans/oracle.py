@@ -260,8 +260,8 @@ FROM fs GROUP BY 1""",
 SELECT state, num_hospitals, {_h2("ah")} AS simple_avg_mortality,
        {_h2("wh")} AS weighted_avg_mortality,
        RANK() OVER (ORDER BY CAST(m_num AS DOUBLE) / m_den) AS simple_rank,
-       RANK() OVER (ORDER BY CAST(w_num AS DOUBLE) / w_den) AS weighted_rank,
-       RANK() OVER (ORDER BY CAST(w_num AS DOUBLE) / w_den)
+       RANK() OVER (ORDER BY wh) AS weighted_rank,
+       RANK() OVER (ORDER BY wh)
          - RANK() OVER (ORDER BY CAST(m_num AS DOUBLE) / m_den) AS rank_shift
 FROM g""",
     "ownership_ranking": _owner("HAVING COUNT(DISTINCT facility_id) >= 40"),

@@ -251,14 +251,19 @@ def small_states_excluded(complications: DataFrame, hospitals: DataFrame,
 
 def rank_shift_simple_vs_weighted(complications: DataFrame, hospitals: DataFrame,
                                   min_hospitals: int = MIN_STATE_HOSPITALS) -> DataFrame:
-    """State rank by plain mean vs by weighted mean, and the shift between them."""
-    parts = _state_parts(complications, hospitals, min_hospitals)
+    """State rank by plain mean vs by weighted mean, and the shift between them.
+
+    As in the comparison it reproduces: the plain mean is ranked as computed,
+    the weighted mean on its 2-dp value (the rounded state ranking's key).
+    """
+    parts = _state_parts(complications, hospitals, min_hospitals).select(
+        "state", "num_hospitals", "_m_num", "_m_den",
+        plain_rate().alias("simple_avg_mortality"),
+        weighted_rate().alias("weighted_avg_mortality"))
     ranked = with_rank(with_rank(parts, exact_plain_key(), "simple_rank"),
-                       exact_weighted_key(), "weighted_rank")
+                       "weighted_avg_mortality", "weighted_rank")
     return ranked.select(
-        "state", "num_hospitals",
-        plain_rate().alias("simple_avg_mortality"),
-        weighted_rate().alias("weighted_avg_mortality"),
+        "state", "num_hospitals", "simple_avg_mortality", "weighted_avg_mortality",
         "simple_rank", "weighted_rank",
         (F.col("weighted_rank") - F.col("simple_rank")).alias("rank_shift"),
     ).orderBy("weighted_rank", "state")

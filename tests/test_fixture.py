@@ -44,3 +44,20 @@ def test_ami_class_counts_sf01(spark):
     assert got == {"No Different Than the National Rate": 1057, "Not Available": 206,
                    "Better Than the National Rate": 105, "Number of Cases Too Small": 96,
                    "Worse Than the National Rate": 20, None: 16}
+
+
+@pytest.mark.parametrize("state,measure,eligible,ranked,best", [
+    ("NATION_5", "MORT_30_AMI", 28, 5, "6.0"),
+    ("NATION_POOL", "MORT_30_PN", 172, 8, "6.0"),   # ties: LIMIT 5 cuts through them
+    ("NATION_24", "MORT_30_HF", 8, 5, "10.1"),
+])
+def test_recommendation_slices_sf01(spark, state, measure, eligible, ranked, best):
+    from wardrank.operators.clean import eligible_rows
+    from wardrank.operators.ranking import top_k
+    from wardrank.plans import recommend as rec
+    c, h = cms_fixture(spark, SF01)
+    rows = eligible_rows(c, h, state=state, measure=measure)
+    assert rows.count() == eligible
+    assert top_k(rows, 5, "score", "r").count() == ranked
+    out = rec.recommend(c, h, state, measure).collect()
+    assert len(out) == 5 and str(out[0].mortality_rate) == best

@@ -64,3 +64,13 @@ def test_no_python_udfs_anywhere(stored):
                rep.condition_pivot, rec.recommend_reliability):
         plan = plan_text(fn(c, h))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_no_cartesian_python_or_expand_in_any_analysis(stored):
+    import bench
+    c, h = stored
+    for name, (fn, params) in bench.ANALYSES.items():
+        plan = plan_text(fn(c, h, **params))
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                    "ArrowEvalPython", "Expand"):
+            assert bad not in plan, (name, bad)

@@ -6,7 +6,7 @@ scan (``PushedFilters: In(measure_id, ...), Not(In(score, ...))``) and, for a
 fact table partitioned by ``measure_id``, prunes whole partitions.  The join
 carries no hint: Spark broadcasts the dimension only while its estimated (and,
 under AQE, measured) size is below the broadcast threshold and otherwise uses
-a sort-merge join.  Row-level consumers (recommendations, eligibility, the
+a sort-merge join.  Row-level consumers (recommendations and the
 measure x ownership roll-up) join here; facility and state/ownership reports
 call it with ``join=False`` and meet the dimension only after aggregating
 (see ``operators.metrics``).

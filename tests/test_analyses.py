@@ -186,3 +186,18 @@ def test_tie_at_rank_20(tables):
     assert len(best) == 22                                # rank filter keeps the tie
     ranked = rep.composite_ranked(c, h).collect()
     assert [r.quality_rank for r in ranked][-3:] == [20, 20, 20]
+
+
+def test_duplicate_dimension_rows(tables):
+    from pyspark.sql import functions as F
+    hs = [hosp("F1", state="AA"), hosp("F1", state="AA"), hosp("F2", state="AA")]
+    cs = [comp(f, m, s, 50) for f, s in (("F1", "10.0"), ("F2", "12.0")) for m in M[:4]]
+    c, h = tables(hs, cs)
+    naive = clean_mortality(c, h).groupBy("state").agg(
+        F.count_distinct("facility_id").alias("num_hospitals"),
+        F.round(F.sum(F.col("score") * F.col("denominator")) / F.sum("denominator"), 2)
+        .cast("double").alias("weighted_avg_mortality")).collect()
+    lib = rep.state_chart(c, h, min_hospitals=1).collect()
+    assert sorted(map(tuple, lib)) == sorted(map(tuple, naive))      # roll-ups unchanged
+    ids = [r.facility_id for r in rep.composite_weighted(c, h).collect()]
+    assert sorted(ids) == ["F1", "F1", "F2"]                          # listed per duplicate

@@ -197,6 +197,7 @@ UNION ALL SELECT 'complications', COUNT(*) FROM complications""",
     "scan_csv": _with() + "\nSELECT * FROM hospitals",
     "scan_csv_complications": _with() + "\nSELECT * FROM complications",
     "table_roundtrip": _with() + "\nSELECT * FROM complications",
+    "stream_load": _with() + "\nSELECT * FROM complications",
     "clean_mortality": _with(_MM) + f"\nSELECT {_CLEAN_SEL} FROM mm",
     "measure_catalog": _with() + """
 SELECT measure_id, measure_name, COUNT(DISTINCT facility_id) AS num_hospitals

@@ -17,6 +17,7 @@ from ..session import scratch_path
 from ..sources import files
 from ..sources.fixture import cms_fixture
 from ..sources.schema import COMPLICATION_COLUMNS, HOSPITAL_COLUMNS
+from ..streaming.landing import load_complication_drops
 from . import recommend as rec
 from . import reports as rep
 
@@ -56,6 +57,17 @@ def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_c
 
 
+def _stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV drops of the fact table loaded by the streaming loader (availableNow)."""
+    complications, _ = cms_fixture(spark, sf_dir)
+    root = scratch_path(spark, "stream")
+    files.write_cms_csv(complications, f"{root}/landing", COMPLICATION_COLUMNS)
+    query = load_complication_drops(spark, f"{root}/landing", f"{root}/table",
+                                    list(COMPLICATION_COLUMNS), checkpoint=f"{root}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/table")
+
+
 def _list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     complications, hospitals = cms_fixture(spark, sf_dir)
     files.register_views(complications, hospitals, prefix="wardrank_")
@@ -79,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "scan_csv": _scan_csv("hospitals"),
     "scan_csv_complications": _scan_csv("complications"),
     "table_roundtrip": _table_roundtrip,
+    "stream_load": _stream_load,
     "list_tables": _list_tables,
     # cleaning, catalog, distribution
     "clean_mortality": _on_fixture(rep.clean_rows),

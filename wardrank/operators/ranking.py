@@ -78,7 +78,13 @@ def top_k(
     )
 
 
-def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
+# broadcast a histogram only if its proven worst case fits in this budget
+HISTOGRAM_BROADCAST_BYTES = 256 * 1024 * 1024
+HISTOGRAM_ROW_BYTES = 64  # generous per-row size of (value, rank) in a hashed relation
+
+
+def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False,
+                   max_distinct: int | None = None) -> DataFrame:
     """``RANK() OVER (ORDER BY value)`` over a whole frame without one task.
 
     For a value with a bounded number of distinct values (a rate rounded to
@@ -87,7 +93,13 @@ def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = Fals
     running sum over that histogram (the only single-partition window, over
     distinct values, not rows), and join the rank back.  rank(v) = 1 + rows
     strictly before v; NULLs sort last, as in SQL engines that put NULLs
-    last.  The histogram is broadcast only if its measured size allows.
+    last.
+
+    ``max_distinct``: a *proven* upper bound on the number of distinct values
+    (from the value's type and range, not from the data).  When that worst
+    case fits ``HISTOGRAM_BROADCAST_BYTES`` the histogram is broadcast, so
+    the rows are never shuffled for the join; otherwise Spark decides from
+    the measured size (AQE).
     """
     v = F.col(value)
     hist = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -96,4 +108,7 @@ def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = Fals
         .rowsBetween(Window.unboundedPreceding, -1)
     ranks = hist.select("_v", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1)
                         .cast("long").alias(name))
+    if max_distinct is not None and \
+            max_distinct * HISTOGRAM_ROW_BYTES <= HISTOGRAM_BROADCAST_BYTES:
+        ranks = F.broadcast(ranks)
     return df.join(ranks, v.eqNullSafe(F.col("_v"))).drop("_v")

@@ -40,6 +40,11 @@ from ..sources.schema import (
 )
 
 
+# A 2-dp mean of decimal(5,1) scores lies in [-9999.9, 9999.9]: at most this
+# many distinct values, whatever the data volume (the histogram-rank bound).
+RATE_2DP_VALUES = 2 * 999_990 + 1
+
+
 # --------------------------------------------------------------- catalog ---
 def measure_catalog(complications: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
     """Distinct facilities per measure, most first (no dimension join)."""
@@ -116,7 +121,8 @@ def composite_ranked(complications: DataFrame, hospitals: DataFrame,
         rounded_score("_max").alias("worst_measure"),
         "total_patients",
     )
-    return histogram_rank(flat, "weighted_avg_mortality", "quality_rank") \
+    return histogram_rank(flat, "weighted_avg_mortality", "quality_rank",
+                          max_distinct=RATE_2DP_VALUES) \
         .orderBy("quality_rank", "facility_id")
 
 

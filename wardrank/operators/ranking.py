@@ -100,6 +100,10 @@ def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = Fals
     case fits ``HISTOGRAM_BROADCAST_BYTES`` the histogram is broadcast, so
     the rows are never shuffled for the join; otherwise Spark decides from
     the measured size (AQE).
+
+    ``df`` is evaluated twice (histogram and join); column pruning makes the
+    two branches differ, so no shuffle is reused.  Persist an expensive
+    input first if it is ranked repeatedly (the caller owns that cache).
     """
     v = F.col(value)
     hist = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,8 +9,9 @@ from fitting the positives' share of the unlabelled text.  Training uses
 bounded samples (``max_positive``, ``max_unlabelled``, drawn by hash of the
 id); scoring covers every whole text.
 
-Features: the distinct words of a text hashed to ``2**bits`` places; those
-seen in fewer than ``min_positive`` sampled positives get no weight.
+Features: the distinct words of a text and their first ``STEMS`` bytes (word
+stems), hashed to ``2**bits`` places; those seen in fewer than
+``min_positive`` sampled positives get no weight.
 
 Defined cases: null and empty texts have no features and score the model's
 bias; without positive examples every score is 0; repeated documents score
@@ -32,6 +33,9 @@ from pyspark.sql import types as T
 from .common import fields, map_arrow, words_of
 
 
+STEMS = (6, 4)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: np.ndarray
@@ -45,8 +49,11 @@ class ToxicityModel:
 
 
 def word_features(text: str | None, places: int) -> np.ndarray:
-    """Sorted distinct hash places of the words of a text."""
-    return np.unique(np.fromiter((zlib.crc32(w) & (places - 1) for w in set(words_of(text))), dtype=np.int64))
+    """Sorted distinct hash places of the words of a text and of their stems."""
+    found = set(words_of(text))
+    for k in STEMS:
+        found |= {w[:k] + b"~" for w in found if len(w) > k and w[-1] != 0x7E}
+    return np.unique(np.fromiter(map(zlib.crc32, found), dtype=np.int64) & (places - 1))
 
 
 def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text: str, bits: int) -> list[np.ndarray]:
@@ -79,8 +86,8 @@ class _Sparse:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int,
-             min_positive: int = 3, steps: int = 300, rate: float = 0.05, l2: float = 1e-4) -> ToxicityModel:
-    """Full-batch Adam on the non-negative risk."""
+             min_positive: int = 8, steps: int = 240, rate: float = 0.1, l2: float = 1e-3) -> ToxicityModel:
+    """Full-batch Adam on the non-negative risk, with a rate that falls to 0."""
     places = 1 << bits
     weights = np.zeros(places)
     if not positive or not unlabelled:
@@ -104,7 +111,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         gp, gu = (up + down_p, down_u) if negative >= 0 else (-down_p, -down_u)
         grad = np.append(p.pull(gp, width) + u.pull(gu, width) + l2 * theta[:-1], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        theta -= rate * (1 - t / steps) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     weights[active] = theta[:-1]
     return ToxicityModel(weights, float(theta[-1]), prior)
 

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, toxicity
+from . import decontam, importance, packing, sharding, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
 
+#: Where the vocabulary files of the public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: how the byte-level BPE cuts a text before merging.
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,6 +37,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("hit_spans") > 0).alias("contaminated"))
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of all ``docs`` with their places in sequences of 2048."""
+    encode = packing.BpeEncoder(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
+    pieces = packing.token_pieces(docs, encode)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencount.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance.resample(docs, docs.join(good, "doc_id", "left_semi"), keep=0.85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels")
@@ -45,6 +73,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -1,4 +1,11 @@
 """Training-data operators: dedup joins, decontamination, scoring, packing.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage.  Its functions travel to
+the executors by value, which therefore need not have it installed.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, importance, packing, sharding, tokencount, toxicity
+from . import brown, decontam, importance, packing, sharding, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -37,6 +37,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("hit_spans") > 0).alias("contaminated"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = brown.score_texts(docs, id_remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The pieces of all ``docs`` with their places in sequences of 2048."""
     encode = packing.BpeEncoder(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
@@ -73,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scores": op5_lm_scores,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,

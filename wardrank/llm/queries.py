@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, importance, packing, sharding, tokencount, toxicity
+from . import brown, decontam, importance, linecrf, packing, sharding, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -44,6 +44,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_score", "score")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = linecrf.train_crf(docs, read_table(spark, sf_dir, "labels"))
+    return linecrf.judge(docs, model).drop("text")
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The pieces of all ``docs`` with their places in sequences of 2048."""
     encode = packing.BpeEncoder(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scores": op5_lm_scores,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, importance, linecrf, packing, sharding, tokencount, toxicity
+from . import brown, decontam, importance, jaccard, linecrf, packing, sharding, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -18,6 +18,11 @@ BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_join(docs).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
@@ -84,6 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scores": op5_lm_scores,

@@ -1,8 +1,8 @@
 """Quality selection by importance resampling of hashed n-grams.
 
 Words and word pairs are hashed to ``2**bits`` places.  Two bag-of-n-grams
-models are counted, one over the target text (labelled good) and one over all
-text; a document's log weight is the sum over its n-grams of
+models are counted, one over the target text (a bounded sample of documents
+labelled good, see ``labelled_sample``) and one over all text; a document's log weight is the sum over its n-grams of
 ``log p_target - log p_raw``.  Adding independent Gumbel noise to the log
 weights and taking the k largest draws k documents without replacement in
 proportion to their weights.  The noise is a function of the id and a seed.
@@ -53,6 +53,14 @@ def count_places(docs: DataFrame, bits: int, text: str = "text") -> np.ndarray:
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, at_most: int) -> DataFrame:
+    """The documents with label 1, at most ``at_most`` ids: those with the
+    lowest hash.  Only these ids are broadcast; no text is moved."""
+    ids = (labels.where(F.col(label) == 1).select(F.col(id_col).alias("_id")).dropna().distinct()
+           .orderBy(F.xxhash64("_id"), "_id").limit(at_most))
+    return docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi")
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log p_target - log p_raw per place, each with one added count."""
     if not target.sum():

@@ -74,8 +74,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return importance.resample(docs, docs.join(good, "doc_id", "left_semi"), keep=0.85)
+    good = importance.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "doc_id", "quality", at_most=20_000)
+    return importance.resample(docs, good, keep=0.85)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

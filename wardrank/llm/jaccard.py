@@ -295,7 +295,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
             yield {"rep": b["rep"], "copies": b["copies"],
                    "shingles": [shingle_set(t, width).astype("<u8").tobytes() for t in b["_text"].to_pylist()]}
 
-    texts = keyed.select("a", "b", "_text").join(wanted, ["a", "b"]).dropDuplicates(["rep"])
+    texts = keyed.select("a", "b", "_text").join(wanted.hint("merge"), ["a", "b"]).dropDuplicates(["rep"])
     sets = map_arrow(texts.select("rep", "copies", "_text"), fields("rep long", "copies long", "shingles binary"), reread)
     linked = stored(_exact(candidates, sets, threshold), "links")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, importance, jaccard, linecrf, packing, sharding, tokencount, toxicity
+from . import brown, decontam, importance, jaccard, linecrf, packing, sharding, suffixes, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -23,6 +23,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(docs).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
@@ -90,6 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scores": op5_lm_scores,

@@ -264,6 +264,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
                  slack: float = 0.25, max_depth: int = 12, block_sets: int = 512,
                  block_shingles: int = 1 << 20) -> DataFrame:
     """A row per document: the id, ``row`` (number of the row in ``docs``),
+    ``a`` and ``b`` (hashes of the text),
     ``class_row`` (the row that stands for its class), ``class_id`` (the lowest
     id of the class), ``class_size`` and ``n_links`` (documents, copies
     included, with a similarity of at least ``threshold``).
@@ -272,30 +273,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     splitting; buckets that are still large then are compared in tiles.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("_text"),
-                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"),
+                        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"))
     source = keyed.withColumn("row", F.monotonically_increasing_id())
 
     def embed(batches):
         for b in batches:
             sets = [shingle_set(t, width) for t in b["_text"].to_pylist()]
-            yield {c: b[c] for c in ("id", "row", "a", "b")} | {
+            yield {c: b[c] for c in ("id", "row", "a", "b", "k")} | {
                 "size": [len(s) for s in sets], "mh": [minhash(s, places).tobytes() for s in sets]}
 
     schema = source.drop("_text").schema
     embedded = stored(map_arrow(source, type(schema)([*schema.fields, *fields("size long", "mh binary").fields]), embed), "embedded")
-    firsts = embedded.groupBy("a", "b").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"))
+    firsts = embedded.groupBy("a", "b").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"), F.min("k").alias("k"))
     reps = stored(firsts.join(embedded.select("row", "size", "mh"), F.col("rep") == F.col("row")).drop("row"), "reps")
     final = stored(_final_buckets(reps, places, branch, runs_needed(threshold, branch, recall), small, dense, max_depth), "final")
     candidates = stored(_candidates(_tiles(final, reps, block_sets, block_shingles), reps, places, threshold, slack), "candidates")
 
-    wanted = candidates.select("rep").distinct().join(reps.select("rep", "a", "b", "copies"), "rep")
+    wanted = candidates.select("rep").distinct().join(reps.select("rep", "a", "b", "k", "copies"), "rep")
 
     def reread(batches):
         for b in batches:
             yield {"rep": b["rep"], "copies": b["copies"],
                    "shingles": [shingle_set(t, width).astype("<u8").tobytes() for t in b["_text"].to_pylist()]}
 
-    texts = keyed.select("a", "b", "_text").join(wanted.hint("merge"), ["a", "b"]).dropDuplicates(["rep"])
+    # the key holds the id: of many copies of a text only one is moved
+    texts = keyed.select("a", "b", "k", "_text").join(wanted.hint("merge"), ["a", "b", "k"]).dropDuplicates(["a", "b", "k"])
     sets = map_arrow(texts.select("rep", "copies", "_text"), fields("rep long", "copies long", "shingles binary"), reread)
     linked = stored(_exact(candidates, sets, threshold), "links")
 
@@ -313,8 +316,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     own = embedded.select("id", "row", "a", "b").join(told, ["a", "b"])
     return own.select(
-        F.col("id").alias(id_col), "row",
+        F.col("id").alias(id_col), "row", "a", "b",
         F.when(F.col("alone"), F.col("row")).otherwise(F.col("root")).alias("class_row"),
         F.when(F.col("alone"), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("alone"), 1).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         F.when(F.col("alone"), 0).otherwise(F.col("links")).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document per class, that of the lowest id.
+
+    Rows equal in id and text are one document here, also without words.
+    """
+    found = jaccard_join(docs, id_col, text, **options)
+    key = ("_k", "_a", "_b")
+    rows = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), F.col(id_col).alias("_id"),
+                        F.col("a").alias("_a"), F.col("b").alias("_b"), "class_row")
+    low = rows.groupBy("class_row").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", *key)).alias("m"))
+    keepers = low.select(*(F.col(f"m.{c}").alias(c) for c in key)).distinct()
+    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"),
+                        F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
+    return keyed.join(keepers.hint("merge"), list(key)).dropDuplicates(list(key)).select(*docs.columns)

@@ -86,9 +86,14 @@ class _Sparse:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int,
-             min_positive: int = 8, steps: int = 240, rate: float = 0.1, l2: float = 1e-3) -> ToxicityModel:
-    """Full-batch Adam on the non-negative risk, with a rate that falls to 0."""
+             min_positive: int = 8, steps: int = 240, rate: float = 0.1, l2: float | None = None) -> ToxicityModel:
+    """Full-batch Adam on the non-negative risk, with a rate that falls to 0.
+
+    The weight of the penalty falls with the number of positives, from which
+    the weights are learnt, unless ``l2`` is given.
+    """
     places = 1 << bits
+    l2 = l2 if l2 is not None else max(0.5 / max(1, len(positive)), 3e-4)
     weights = np.zeros(places)
     if not positive or not unlabelled:
         return ToxicityModel(weights, -500.0, prior)

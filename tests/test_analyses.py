@@ -21,8 +21,8 @@ def test_clean_drops_sentinels_nulls_junk_and_other_measures(tables):
          comp("F1", "COMP_OTHER", "9.9", 40),
          comp("F9", "MORT_30_AMI", "8.0", 40)])  # orphan: not in the dimension
     rows = clean_mortality(c, h).collect()
-    assert [(r.measure_id, str(r.score), r.denominator) for r in rows] == [
-        ("MORT_30_AMI", "12.7", 300)]
+    assert [(r.measure_id, float(r.score), r.denominator) for r in rows] == [
+        ("MORT_30_AMI", 12.7, 300)]
     unjoined = clean_mortality(c, None, join=False).collect()
     assert sorted(r.facility_id for r in unjoined) == ["F1", "F9"]
 

@@ -53,11 +53,11 @@ def test_ami_class_counts_sf01(spark):
 ])
 def test_recommendation_slices_sf01(spark, state, measure, eligible, ranked, best):
     from wardrank.operators.clean import eligible_rows
-    from wardrank.operators.ranking import top_k
+    from wardrank.operators.ranking import within_rank
     from wardrank.plans import recommend as rec
     c, h = cms_fixture(spark, SF01)
     rows = eligible_rows(c, h, state=state, measure=measure)
     assert rows.count() == eligible
-    assert top_k(rows, 5, "score", "r").count() == ranked
+    assert within_rank(rows, 5, "score").count() == ranked
     out = rec.recommend(c, h, state, measure).collect()
     assert len(out) == 5 and str(out[0].mortality_rate) == best

@@ -67,15 +67,18 @@ def distinct_in_domain(col, domain) -> Column:
 
     Each value sets one bit; ``bit_or`` is an ordinary partial aggregate, so the
     plan is a single map-side-combined shuffle instead of the two shuffles of a
-    general distinct count.  ``domain`` must hold at most 63 values and the
-    caller must have filtered ``col`` to it (values outside count as none).
+    general distinct count.  A longer domain takes one mask per 63 values.  The
+    caller must have filtered ``col`` to the domain (values outside count as
+    none).
     """
-    domain = list(domain)
-    if len(domain) > 63:
-        raise ValueError("domain too large for a bitmask distinct count")
-    pos = F.array_position(F.array(*[F.lit(v) for v in domain]), _c(col))
-    bit = F.when(pos > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (pos - 1).cast("int")))
-    return F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).cast("long")
+    domain = list(dict.fromkeys(domain))
+    total = F.lit(0).cast("long")
+    for start in range(0, len(domain), 63):
+        part = domain[start:start + 63]
+        pos = F.array_position(F.array(*[F.lit(v) for v in part]), _c(col))
+        bit = F.when(pos > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (pos - 1).cast("int")))
+        total = total + F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).cast("long")
+    return total
 
 
 def share_pct(part, total, dp: int = 1) -> Column:

@@ -2,9 +2,11 @@
 
 Raw ``score`` / ``denominator`` hold a number or a sentinel string
 (``Not Available`` / ``Not Applicable``).  A plain CAST of a sentinel fails
-under ANSI mode, so every cast here is a ``try_cast`` (NULL on failure), and
-the score is an exact ``decimal(5,1)``: products with a patient count and
-their sums stay exact, which keeps rounded averages identical on any engine.
+under ANSI mode, so every cast here is a ``try_cast`` (NULL on failure).  The
+score is an exact ``decimal(18,6)`` and the patient count a bigint: products
+and their sums are exact ``decimal(38,6)`` values, which keeps rounded
+averages identical on any engine.  A reported value that does not parse is
+counted by ``operators.clean.rejected_rows``.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ def _c(col) -> Column:
 
 
 def score_value(col="score") -> Column:
-    """String score -> decimal(5,1); sentinels and junk -> NULL."""
+    """String score -> decimal(18,6); sentinels and junk -> NULL."""
     return _c(col).try_cast(SCORE_TYPE)
 
 
 def count_value(col="denominator") -> Column:
-    """String patient count -> int; sentinels, junk, '1,234' -> NULL."""
-    return _c(col).try_cast("int")
+    """String patient count -> bigint; sentinels, junk, '1,234' -> NULL.
+
+    An integral decimal ('300.0') is a count; '300.5' is not.
+    """
+    wide = _c(col).try_cast("decimal(38,6)")
+    return F.when(wide == F.floor(wide), wide.try_cast("bigint"))
 
 
 def reported(col) -> Column:

@@ -37,7 +37,7 @@ def clean_mortality(
     """Typed mortality rows: one per (facility, measure) with a usable score.
 
     Columns: facility_id, facility_name, measure_id, measure_name, compared,
-    score decimal(5,1), denominator int, and (``join=True``) the dimension
+    score decimal(18,6), denominator bigint, and (``join=True``) the dimension
     attributes state, city, hospital_type, ownership.  Rows whose score or
     denominator is a sentinel, NULL or not a number are dropped.
     ``join=False`` keeps facilities missing from the dimension (national
@@ -58,6 +58,21 @@ def clean_mortality(
     return facts.join(dimension(hospitals), "facility_id")
 
 
+def rejected_rows(complications: DataFrame, measures=MORTALITY_MEASURES) -> DataFrame:
+    """Per measure: reported rows that :func:`clean_mortality` drops because a
+    value does not parse (sentinels and NULLs are not reported values)."""
+    bad_score = reported("score") & score_value("score").isNull()
+    bad_count = reported("denominator") & count_value("denominator").isNull()
+    return (
+        complications.filter(F.col("measure_id").isin(*measures))
+        .groupBy("measure_id")
+        .agg(F.count(F.lit(1)).alias("total_rows"),
+             F.count(F.when(bad_score, 1)).alias("rejected_scores"),
+             F.count(F.when(bad_count, 1)).alias("rejected_denominators"))
+        .orderBy("measure_id")
+    )
+
+
 def eligible_rows(
     complications: DataFrame,
     hospitals: DataFrame,

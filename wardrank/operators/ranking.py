@@ -1,11 +1,10 @@
 """Ranking and top-k.
 
-* ``rank <= k`` is always applied as a filter directly on the rank column, so
-  Catalyst plans ``WindowGroupLimit``: a *partial* limit inside every map task
-  before the shuffle and a final one after it.  A global top-k therefore moves
-  at most k (+ ties) rows per task to the single final partition, and a
-  per-slice top-k never gathers a whole slice — even a slice holding a third
-  of all rows — in one task.
+* A top-k is cut by ``row_number() <= k`` in (order, tiebreak) first, or, over
+  the whole frame, by an ordered limit; the tie-sharing rank is taken over the
+  k rows that are left, where it is the same.  Catalyst plans the cut twice, in
+  every map task before the shuffle and once after it, so at most k rows a task
+  and slice are moved, however many rows of a hot slice tie.
 * ``LIMIT k`` after ``ORDER BY rank`` is non-deterministic under ties; the
   ``tiebreak`` columns give it a total order (rank, tiebreak...).
 """
@@ -46,64 +45,43 @@ def with_rank(df: DataFrame, order, name: str, partition_by=None) -> DataFrame:
     return df.withColumn(name, F.rank().over(_window(order, partition_by)).cast("long"))
 
 
-def top_k(
-    df: DataFrame,
-    k: int,
-    order,
-    name: str,
-    partition_by=None,
-    tiebreak=None,
-) -> DataFrame:
-    """Rows ranked ``<= k`` (ties kept), optionally cut to exactly ``k``.
-
-    With ``tiebreak`` the result is the deterministic form of
-    ``ORDER BY rank LIMIT k``: per partition, the first ``k`` rows in
-    (order, tiebreak) order.  The rank column keeps the tie-sharing value.
-    """
-    ranked = (
-        df.withColumn(name, F.rank().over(_window(order, partition_by)))
-        .filter(F.col(name) <= k)
-        .withColumn(name, F.col(name).cast("long"))
-    )
-    if tiebreak is None:
-        return ranked
-    if partition_by is None:
-        return ranked.orderBy(F.col(name), *_order(tiebreak)).limit(k)
-    cut = "_cut"
+def top_k(df: DataFrame, k: int, order, name: str, tiebreak, partition_by=None) -> DataFrame:
+    """The first ``k`` rows in (order, tiebreak) order, per partition, with
+    their rank by ``order`` alone: the deterministic form of
+    ``ORDER BY rank LIMIT k``."""
     total = _order(order) + _order(tiebreak)
-    return (
-        ranked.withColumn(cut, F.row_number().over(_window(total, partition_by)))
-        .filter(F.col(cut) <= k)
-        .drop(cut)
-    )
-
-
-# broadcast a histogram only if its proven worst case fits in this budget
-HISTOGRAM_BROADCAST_BYTES = 256 * 1024 * 1024
-HISTOGRAM_ROW_BYTES = 64  # generous per-row size of (value, rank) in a hashed relation
-
-
-def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False,
-                   max_distinct: int | None = None) -> DataFrame:
+    if partition_by is None:
+        first = df.orderBy(*total).limit(k)
+    else:
+        cut = "_cut"
+        first = (
+            df.withColumn(cut, F.row_number().over(_window(total, partition_by)))
+            .filter(F.col(cut) <= k)
+            .drop(cut)
+        )
+    return with_rank(first, order, name, partition_by)
+
+
+def within_rank(df: DataFrame, k: int, value: str, descending: bool = False) -> DataFrame:
+    """Rows whose rank by ``value`` is at most ``k``, all ties kept: the k-th
+    value is found by an ordered limit, then rows are filtered where they are.
+    NULL values have no rank."""
+    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    first = df.select(value).filter(F.col(value).isNotNull()).orderBy(key).limit(k)
+    edge = first.agg((F.min if descending else F.max)(value).alias("e")).scalar()
+    return df.filter(F.col(value) >= edge if descending else F.col(value) <= edge)
+
+
+def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
     """``RANK() OVER (ORDER BY value)`` over a whole frame without one task.
 
-    For a value with a bounded number of distinct values (a rate rounded to
-    2 dp has at most ~10^4 in practice, 10^6 for any decimal(5,1)-derived
-    mean): count rows per distinct value (partial aggregation), take a
-    running sum over that histogram (the only single-partition window, over
-    distinct values, not rows), and join the rank back.  rank(v) = 1 + rows
-    strictly before v; NULLs sort last, as in SQL engines that put NULLs
-    last.
-
-    ``max_distinct``: a *proven* upper bound on the number of distinct values
-    (from the value's type and range, not from the data).  When that worst
-    case fits ``HISTOGRAM_BROADCAST_BYTES`` the histogram is broadcast, so
-    the rows are never shuffled for the join; otherwise Spark decides from
-    the measured size (AQE).
-
-    ``df`` is evaluated twice (histogram and join); column pruning makes the
-    two branches differ, so no shuffle is reused.  Persist an expensive
-    input first if it is ranked repeatedly (the caller owns that cache).
+    Count rows per distinct value (partial aggregation), take a running sum
+    over that histogram (the only single-partition window, over distinct
+    values such as 2-dp rates, not rows), and join the rank back.  rank(v) =
+    1 + rows strictly before v; NULLs sort last.  No hint is given: the
+    measured size of the histogram decides the join.
+
+    ``df`` is read twice (histogram and join): pass a stored frame.
     """
     v = F.col(value)
     hist = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -112,7 +90,4 @@ def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = Fals
         .rowsBetween(Window.unboundedPreceding, -1)
     ranks = hist.select("_v", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1)
                         .cast("long").alias(name))
-    if max_distinct is not None and \
-            max_distinct * HISTOGRAM_ROW_BYTES <= HISTOGRAM_BROADCAST_BYTES:
-        ranks = F.broadcast(ranks)
     return df.join(ranks, v.eqNullSafe(F.col("_v"))).drop("_v")

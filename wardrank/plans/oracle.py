@@ -27,8 +27,11 @@ _SENT = ", ".join(f"'{s}'" for s in SENTINELS)
 _OG = "CASE " + " ".join(
     f"WHEN ownership {'LIKE' if kind == 'like' else '='} '{pattern}' THEN '{label}'"
     for kind, pattern, label in OWNERSHIP_RULES) + f" ELSE '{OWNERSHIP_DEFAULT}' END"
-_T = "CAST(TRY_CAST(c.score AS DECIMAL(5,1)) * 10 AS BIGINT)"
-_D = "TRY_CAST(c.denominator AS INTEGER)"
+# not the library's decimal casts: doubles, scaled to integers (the fixture's
+# scores have one decimal, the finer ones of ``_FINE`` up to three)
+_T = "CAST(ROUND(TRY_CAST(c.score AS DOUBLE) * 10) AS BIGINT)"
+_T3 = "CAST(ROUND(TRY_CAST(c.score AS DOUBLE) * 1000) AS HUGEINT)"
+_D = "CAST(TRY_CAST(c.denominator AS DOUBLE) AS BIGINT)"
 
 # clean rows: joined (mm) and unjoined (mmu)
 _CLEAN_WHERE = f"""c.measure_id IN ({_MEASURES})
@@ -121,7 +124,7 @@ _ELIG_COUNTS = f"""
 ec AS (
     SELECT h.state, c.measure_id,
            COUNT(DISTINCT c.facility_id) AS total_hospitals,
-           COUNT(DISTINCT CASE WHEN c.score NOT IN ({_SENT})
+           COUNT(DISTINCT CASE WHEN c.score NOT IN ({_SENT}) AND {_T} IS NOT NULL
                                 AND {_D} >= 25 THEN c.facility_id END) AS eligible_hospitals
     FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
     WHERE c.measure_id IN ({_MEASURES})
@@ -142,7 +145,7 @@ def _eligible(measure: str, state: str | None = None) -> str:
     extra = f" AND h.state = '{state}'" if state else ""
     return _with() + f"""
 SELECT h.state, COUNT(DISTINCT c.facility_id) AS total_hospitals,
-       COUNT(DISTINCT CASE WHEN c.score NOT IN ({_SENT}) AND {_D} >= 25
+       COUNT(DISTINCT CASE WHEN c.score NOT IN ({_SENT}) AND {_T} IS NOT NULL AND {_D} >= 25
                            THEN c.facility_id END) AS eligible_hospitals
 FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
 WHERE c.measure_id = '{measure}'{extra}
@@ -187,7 +190,77 @@ _PIVOT_COLS = ", ".join(
 _CLEAN_SEL = f"""facility_id, facility_name, state, ownership, measure_id, measure_name,
        {_t1("t")} AS score, d AS denominator, compared"""
 
+# finer and larger values (``registry.with_fine_scores``), in thousandths
+_FINE = f"""
+fine AS (
+    SELECT * REPLACE (
+        CASE WHEN regexp_full_match(score, '[0-9]+[.][0-9]') THEN
+            CASE right(facility_id, 2) WHEN '01' THEN '1000' || score WHEN '02' THEN '~' || score
+                 ELSE score || right(facility_id, 2) END
+        ELSE score END AS score,
+        CASE WHEN regexp_full_match(denominator, '[0-9]+') THEN
+            CASE right(facility_id, 2) WHEN '03' THEN '3000000000' ELSE denominator || '.0' END
+        ELSE denominator END AS denominator)
+    FROM complications
+),
+fu AS (
+    SELECT c.*, {_T3} AS t, {_D} AS d FROM fine c
+    WHERE c.measure_id IN ({_MEASURES}) AND c.score NOT IN ({_SENT})
+      AND c.denominator NOT IN ({_SENT}) AND {_T3} IS NOT NULL AND {_D} IS NOT NULL
+),
+fm AS (SELECT fu.*, h.state, h.ownership FROM fu JOIN hospitals h ON fu.facility_id = h.facility_id),
+fnat AS (SELECT (2 * SUM(t * d) + 10 * SUM(d)) // (20 * SUM(d)) AS nh FROM fu)"""
+
+
+def _volume_bands(edge: int) -> str:
+    return _with(_MM, _facility("facility_id")) + f"""
+SELECT CASE WHEN total_patients < {edge} THEN 'small' ELSE 'large' END AS volume_band,
+       COUNT(*) AS num_hospitals,
+       {_h2("(2 * SUM(wh) + COUNT(wh)) // (2 * COUNT(wh))")} AS mean_weighted_mortality,
+       ROUND(CORR(CAST(total_patients AS DOUBLE), {_h2("wh")}), 6) AS corr_volume_mortality
+FROM fs GROUP BY 1"""
+
+
+def _va_eligible(measure: str) -> str:
+    return _with() + f"""
+SELECT h.ownership, COUNT(DISTINCT c.facility_id) AS n
+FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
+WHERE c.measure_id = '{measure}' AND c.score NOT IN ({_SENT})
+  AND h.ownership LIKE '%Veterans%'
+GROUP BY h.ownership"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "rejected_rows": _with(_FINE) + f"""
+SELECT measure_id, COUNT(*) AS total_rows,
+       COUNT(*) FILTER (score NOT IN ({_SENT}) AND TRY_CAST(score AS DOUBLE) IS NULL) AS rejected_scores,
+       COUNT(*) FILTER (denominator NOT IN ({_SENT}) AND TRY_CAST(denominator AS DOUBLE) IS NULL)
+         AS rejected_denominators
+FROM fine WHERE measure_id IN ({_MEASURES}) GROUP BY measure_id""",
+    "fine_scores_clean": _with(_FINE) + """
+SELECT facility_id, facility_name, state, ownership, measure_id, measure_name,
+       CAST(t AS DOUBLE) / 1000 AS score, d AS denominator, compared FROM fm""",
+    "fine_scores_states": _with(_FINE) + """
+SELECT state, COUNT(DISTINCT facility_id) AS num_hospitals,
+       CAST((2 * SUM(t * d) + 10 * SUM(d)) // (20 * SUM(d)) AS DOUBLE) / 100 AS weighted_avg_mortality,
+       CAST((MIN(t) + 5) // 10 AS DOUBLE) / 100 AS best_hospital_score,
+       CAST((MAX(t) + 5) // 10 AS DOUBLE) / 100 AS worst_hospital_score,
+       RANK() OVER (ORDER BY CAST(SUM(t * d) AS DOUBLE) / SUM(d)) AS state_rank
+FROM fm GROUP BY state HAVING COUNT(DISTINCT facility_id) >= 10""",
+    "fine_scores_gap": _with(_FINE) + f"""
+SELECT c.facility_id, c.facility_name, h.state, CAST({_T3} AS DOUBLE) / 1000 AS score,
+       CAST((SELECT nh FROM fnat) AS DOUBLE) / 100 AS national_weighted_avg,
+       CAST({_T3} - 10 * (SELECT nh FROM fnat) AS DOUBLE) / 1000 AS gap_to_national
+FROM fine c JOIN hospitals h ON c.facility_id = h.facility_id
+WHERE c.measure_id = 'MORT_30_AMI' AND c.compared = 'Worse Than the National Rate'""",
+    "top_gap_to_national": _with(_MM, _MMU, _NAT, _facility("facility_id, facility_name, state")) + f"""
+SELECT facility_id, facility_name, state, RANK() OVER (ORDER BY wh) AS quality_rank,
+       {_h2("wh")} AS weighted_avg_mortality, {_h2("(SELECT nh FROM nat)")} AS national_weighted_avg,
+       {_h2("wh - (SELECT nh FROM nat)")} AS gap_to_national, wh < (SELECT nh FROM nat) AS below_national
+FROM fs ORDER BY quality_rank, facility_id LIMIT 20""",
+    "table_roundtrip_hospitals": _with() + "\nSELECT * FROM hospitals",
+    "volume_band_quality_default": _volume_bands(500),
+    "va_heart_failure_eligible": _va_eligible("MORT_30_HF"),
     "table_counts": _with() + """
 SELECT 'hospitals' AS table_name, COUNT(*) AS row_count FROM hospitals
 UNION ALL SELECT 'complications', COUNT(*) FROM complications""",
@@ -244,12 +317,7 @@ FROM rk WHERE worst_rank <= 20""",
 SELECT facility_name, {_OG} AS ownership_group, {_h2("wh")} AS weighted_avg_mortality,
        total_patients, measures_available
 FROM fs""",
-    "volume_band_quality": _with(_MM, _facility("facility_id")) + f"""
-SELECT CASE WHEN total_patients < {TEST_VOLUME_EDGE} THEN 'small' ELSE 'large' END AS volume_band,
-       COUNT(*) AS num_hospitals,
-       {_h2("(2 * SUM(wh) + COUNT(wh)) // (2 * COUNT(wh))")} AS mean_weighted_mortality,
-       ROUND(CORR(CAST(total_patients AS DOUBLE), {_h2("wh")}), 6) AS corr_volume_mortality
-FROM fs GROUP BY 1""",
+    "volume_band_quality": _volume_bands(TEST_VOLUME_EDGE),
     "state_ranking": _state_like("HAVING COUNT(DISTINCT facility_id) >= 10",
                                  "CAST(w_num AS DOUBLE) / w_den"),
     "state_ranking_rounded": _state_like("HAVING COUNT(DISTINCT facility_id) >= 10", "wh",
@@ -294,12 +362,7 @@ FROM cg""",
 cg AS (SELECT measure_id, {_OG} AS og, {_wh()} AS wh FROM mm GROUP BY 1, 2)""") + f"""
 SELECT {_LABEL} AS label, {_PIVOT_COLS}
 FROM cg GROUP BY measure_id""",
-    "va_stroke_eligible": _with() + f"""
-SELECT h.ownership, COUNT(DISTINCT c.facility_id) AS n
-FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
-WHERE c.measure_id = 'MORT_30_STK' AND c.score NOT IN ({_SENT})
-  AND h.ownership LIKE '%Veterans%'
-GROUP BY h.ownership""",
+    "va_stroke_eligible": _va_eligible("MORT_30_STK"),
     "va_stroke_classes": _with() + """
 SELECT c.compared, COUNT(*) AS n
 FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id

@@ -3,9 +3,9 @@
 :func:`recommend_all` ranks **every** slice in one job with a window
 partitioned by (state, measure_id); a single-slice recommendation is the same
 plan with the slice predicates applied first (they are pushed into the scans,
-below the window).  ``rank <= k`` becomes a partial ``WindowGroupLimit`` in
-each map task, so a slice that holds a large share of all rows is cut to
-k (+ ties) per task before it is shuffled.
+below the window).  ``row_number() <= k`` becomes a partial
+``WindowGroupLimit`` in each map task, so a slice that holds a large share of
+all rows is cut to k rows per task before it is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import ratio_half_up, share_pct
-from ..functions.casts import count_value, reported
+from ..functions.casts import count_value, reported, score_value
 from ..functions.labels import fixed1
 from ..operators.clean import dimension, eligible_rows
 from ..operators.ranking import top_k
@@ -42,7 +42,8 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     """:func:`_top` with display columns and the gap to #1."""
-    diff = F.col("score") - F.col("_best")
+    diff = ratio_half_up(F.col("score") - F.col("_best"), F.lit(1), 1)
+    pct = ratio_half_up((F.col("score") - F.col("_best")) * 100, "_best", 1)
     return _top(rows, k).select(
         "state", "measure_id", "facility_id", "facility_name", "city", "hospital_type",
         "ownership", "measure_name",
@@ -50,7 +51,7 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
         F.col("denominator").alias("patients_evaluated"),
         "compared", "recommendation_rank",
         fixed1(diff).alias("gap_vs_best"),
-        fixed1(ratio_half_up(diff * 100, "_best", 1)).alias("pct_worse_than_best"),
+        fixed1(pct).alias("pct_worse_than_best"),
     )
 
 
@@ -89,17 +90,19 @@ def _facility_eligibility(complications: DataFrame, hospitals: DataFrame, measur
     """One row per (state, measure, facility) with an ``eligible`` 0/1 flag.
 
     This is the exact form of ``COUNT(DISTINCT CASE WHEN cond THEN id END)``
-    next to ``COUNT(DISTINCT id)``: aggregate to the facility first (partial
-    aggregation, one shuffle), then count facilities and sum flags per group —
-    no Expand of the input rows for two distinct aggregates.
+    next to ``COUNT(DISTINCT id)``: the facts are reduced to one flag per
+    (facility, measure), by partial aggregation, before they meet the
+    dimension; facilities and flags are then counted per group.  A row is
+    eligible on the terms of ``eligible_rows``: both values are reported and
+    parse, and there are enough patients.
     """
-    cond = reported("score") & (count_value("denominator") >= min_patients)
-    rows = complications.filter(F.col("measure_id").isin(*measures)) \
-        .join(dimension(hospitals), "facility_id")
-    if state is not None:
-        rows = rows.filter(F.col("state") == state)
-    return rows.groupBy("state", "measure_id", "facility_id").agg(
-        F.max(F.coalesce(cond, F.lit(False)).cast("int")).alias("eligible"))
+    cond = reported("score") & score_value("score").isNotNull() & reported("denominator") \
+        & (count_value("denominator") >= min_patients)
+    flags = complications.filter(F.col("measure_id").isin(*measures)) \
+        .groupBy("measure_id", "facility_id").agg(
+            F.max(F.coalesce(cond, F.lit(False)).cast("int")).alias("eligible"))
+    rows = flags.join(dimension(hospitals).select("facility_id", "state"), "facility_id")
+    return rows if state is None else rows.filter(F.col("state") == state)
 
 
 def eligibility_counts(complications: DataFrame, hospitals: DataFrame,

@@ -12,7 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.clean import rejected_rows
 from ..session import scratch_path
 from ..sources import files
 from ..sources.fixture import cms_fixture
@@ -49,12 +51,37 @@ def _scan_csv(which: str) -> Query:
     return run
 
 
-def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    complications, hospitals = cms_fixture(spark, sf_dir)
-    root = scratch_path(spark, "tables")
-    files.save_tables(complications, hospitals, root)
-    stored_c, _ = files.load_tables(spark, root)
-    return stored_c
+def _table_roundtrip(which: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        complications, hospitals = cms_fixture(spark, sf_dir)
+        root = scratch_path(spark, "tables")
+        files.save_tables(complications, hospitals, root)
+        return files.load_tables(spark, root)[which]
+    return run
+
+
+def with_fine_scores(complications: DataFrame) -> DataFrame:
+    """The fact table with finer and larger values, as text: scores get two more
+    decimals from the facility id (one facility in a hundred 10,000 more),
+    counts end in ``.0``, one in a hundred is 3,000,000,000, and one score in a
+    hundred does not parse."""
+    tail = F.substring(F.col("facility_id"), -2, 2)
+    number = F.col("score").rlike("^[0-9]+[.][0-9]$")
+    count = F.col("denominator").rlike("^[0-9]+$")
+    return complications.withColumns({
+        "score": F.when(number & (tail == "01"), F.concat(F.lit("1000"), "score"))
+        .when(number & (tail == "02"), F.concat(F.lit("~"), "score"))
+        .when(number, F.concat("score", tail)).otherwise(F.col("score")),
+        "denominator": F.when(count & (tail == "03"), F.lit("3000000000"))
+        .when(count, F.concat("denominator", F.lit(".0"))).otherwise(F.col("denominator")),
+    })
+
+
+def _on_fine_scores(fn, **params) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        complications, hospitals = cms_fixture(spark, sf_dir)
+        return fn(with_fine_scores(complications), hospitals, **params)
+    return run
 
 
 def _stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +95,6 @@ def _stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/table")
 
 
-def _list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    complications, hospitals = cms_fixture(spark, sf_dir)
-    files.register_views(complications, hospitals, prefix="wardrank_")
-    return files.list_tables(spark, ["wardrank_complications", "wardrank_hospitals"])
-
-
 def _preview(which: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         complications, hospitals = cms_fixture(spark, sf_dir)
@@ -90,11 +111,15 @@ QUERIES: dict[str, Query] = {
     "preview_complications": _preview("complications"),
     "scan_csv": _scan_csv("hospitals"),
     "scan_csv_complications": _scan_csv("complications"),
-    "table_roundtrip": _table_roundtrip,
+    "table_roundtrip": _table_roundtrip(0),
+    "table_roundtrip_hospitals": _table_roundtrip(1),
     "stream_load": _stream_load,
-    "list_tables": _list_tables,
     # cleaning, catalog, distribution
     "clean_mortality": _on_fixture(rep.clean_rows),
+    "rejected_rows": _on_fine_scores(lambda c, h: rejected_rows(c)),
+    "fine_scores_clean": _on_fine_scores(rep.clean_rows),
+    "fine_scores_states": _on_fine_scores(rep.state_ranking),
+    "fine_scores_gap": _on_fine_scores(rep.gap_to_national),
     "measure_catalog": _on_fixture(rep.measure_catalog),
     "measure_distribution": _on_fixture(rep.measure_distribution),
     "outliers": _on_fixture(rep.outliers),
@@ -105,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "best_worst_20": _on_fixture(rep.best_worst),
     "volume_vs_quality": _on_fixture(rep.volume_vs_quality),
     "volume_band_quality": _on_fixture(rep.volume_band_quality, edge=TEST_VOLUME_EDGE),
+    "volume_band_quality_default": _on_fixture(rep.volume_band_quality),
     # states
     "state_ranking": _on_fixture(rep.state_ranking),
     "state_ranking_rounded": _on_fixture(rep.state_ranking_rounded),
@@ -120,12 +146,14 @@ QUERIES: dict[str, Query] = {
     "national_avg": _on_fixture(rep.national_avg),
     "state_vs_national": _on_fixture(rep.state_vs_national),
     "ownership_vs_national": _on_fixture(rep.ownership_vs_national),
+    "top_gap_to_national": _on_fixture(rep.top_gap_to_national),
     "gap_to_national": _on_fixture(rep.gap_to_national),
     # conditions
     "mortality_by_condition": _on_fixture(rep.mortality_by_condition),
     "ownership_rank_by_condition": _on_fixture(rep.ownership_rank_by_condition),
     "condition_pivot": _on_fixture(rep.condition_pivot),
     "va_stroke_eligible": _on_fixture(rep.va_stroke_eligible),
+    "va_heart_failure_eligible": _on_fixture(rep.va_stroke_eligible, measure="MORT_30_HF"),
     "va_stroke_classes": _on_fixture(rep.va_stroke_classes),
     # recommendation
     "recommend_ny_ami": _on_fixture(rec.recommend, state=NY, measure="MORT_30_AMI"),

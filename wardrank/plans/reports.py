@@ -24,7 +24,8 @@ from ..operators.metrics import (
     rounded_score,
     weighted_rate,
 )
-from ..operators.ranking import histogram_rank, top_k, with_rank
+from ..operators.ranking import histogram_rank, top_k, with_rank, within_rank
+from ..session import scratch_path
 from ..sources.schema import (
     MIN_MEASURES,
     MIN_OWNER_HOSPITALS,
@@ -40,11 +41,6 @@ from ..sources.schema import (
 )
 
 
-# A 2-dp mean of decimal(5,1) scores lies in [-9999.9, 9999.9]: at most this
-# many distinct values, whatever the data volume (the histogram-rank bound).
-RATE_2DP_VALUES = 2 * 999_990 + 1
-
-
 # --------------------------------------------------------------- catalog ---
 def measure_catalog(complications: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
     """Distinct facilities per measure, most first (no dimension join)."""
@@ -112,7 +108,8 @@ def composite_ranked(complications: DataFrame, hospitals: DataFrame,
                      min_measures: int = MIN_MEASURES) -> DataFrame:
     """Every eligible facility with its national rank (the full ranking the
     top-k is cut from).  Ranked by :func:`histogram_rank` on the 2-dp rate,
-    so no task ever holds all facilities."""
+    so no task ever holds all facilities.  The facility scores, one row each,
+    are stored once in the shared scratch folder, so the facts are read once."""
     scores = _facility_scores(complications, hospitals, ("state",), min_measures)
     flat = scores.select(
         "facility_id", "facility_name", "state", "measures_available",
@@ -121,8 +118,11 @@ def composite_ranked(complications: DataFrame, hospitals: DataFrame,
         rounded_score("_max").alias("worst_measure"),
         "total_patients",
     )
-    return histogram_rank(flat, "weighted_avg_mortality", "quality_rank",
-                          max_distinct=RATE_2DP_VALUES) \
+    spark = complications.sparkSession
+    path = scratch_path(spark, "facility-scores")
+    flat.write.parquet(path)
+    stored = spark.read.schema(flat.schema).parquet(path)
+    return histogram_rank(stored, "weighted_avg_mortality", "quality_rank") \
         .orderBy("quality_rank", "facility_id")
 
 
@@ -146,17 +146,17 @@ def best_worst(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACI
                min_measures: int = MIN_MEASURES) -> DataFrame:
     """Best and worst k facilities (ties kept) as ``Name (ST)`` rows, tagged.
 
-    Two rank-filtered branches over one facility aggregate (its shuffle is
-    reused), concatenated with bag semantics: a facility in both lists
-    appears twice.
+    Two filtered branches over one facility aggregate (its shuffle is reused),
+    each cut at its k-th value, concatenated with bag semantics: a facility in
+    both lists appears twice.
     """
     scores = _facility_scores(complications, hospitals, ("state",), min_measures)
     flat = scores.select(
         hospital_label().alias("hospital"),
         weighted_rate().alias("weighted_avg_mortality"),
     )
-    best = top_k(flat, k, F.col("weighted_avg_mortality").asc(), "best_rank")
-    worst = top_k(flat, k, F.col("weighted_avg_mortality").desc(), "worst_rank")
+    best = within_rank(flat, k, "weighted_avg_mortality")
+    worst = within_rank(flat, k, "weighted_avg_mortality", descending=True)
     return (
         best.select("hospital", "weighted_avg_mortality", F.lit(f"Top {k}").alias("category"))
         .unionByName(worst.select("hospital", "weighted_avg_mortality",
@@ -375,6 +375,20 @@ def gap_to_national(complications: DataFrame, hospitals: DataFrame,
     ).orderBy(F.desc("score"), "facility_id")
 
 
+def top_gap_to_national(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACILITIES,
+                        min_measures: int = MIN_MEASURES) -> DataFrame:
+    """The top-k facilities' weighted mortality minus the national mean, and
+    whether it lies below it."""
+    nat = national_value(complications)
+    rate = F.col("weighted_avg_mortality").cast("decimal(38,2)")
+    return composite_weighted(complications, hospitals, k, min_measures).select(
+        "facility_id", "facility_name", "state", "quality_rank", "weighted_avg_mortality",
+        nat.cast("double").alias("national_weighted_avg"),
+        (rate - nat).cast("double").alias("gap_to_national"),
+        (rate < nat).alias("below_national"),
+    ).orderBy("quality_rank", "facility_id")
+
+
 # -------------------------------------------------------------- conditions ---
 def _condition_parts(complications, hospitals, with_name=True):
     fact_keys = ("measure_id", "measure_name") if with_name else ("measure_id",)
@@ -421,6 +435,7 @@ def va_stroke_eligible(complications: DataFrame, hospitals: DataFrame,
     """VA facilities with a reported score for one measure (none is a finding)."""
     return (
         complications.filter((F.col("measure_id") == measure) & reported("score"))
+        .select("facility_id").distinct()
         .join(dimension(hospitals), "facility_id")
         .filter(F.col("ownership").like(VETERANS_PATTERN))
         .groupBy("ownership")
@@ -433,10 +448,12 @@ def va_stroke_classes(complications: DataFrame, hospitals: DataFrame,
     """VA rows of one measure per comparison class (NULL class kept)."""
     return (
         complications.filter(F.col("measure_id") == measure)
+        .groupBy("facility_id", "compared")
+        .agg(F.count(F.lit(1)).alias("n"))
         .join(dimension(hospitals), "facility_id")
         .filter(F.col("ownership").like(VETERANS_PATTERN))
         .groupBy("compared")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), F.col("compared").asc_nulls_last())
     )
 

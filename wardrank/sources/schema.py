@@ -84,8 +84,8 @@ COMPLICATIONS_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType(), True) for c in COMPLICATION_COLUMNS.values()]
 )
 
-# typed score: one decimal place, exact (never binary float)
-SCORE_TYPE = T.DecimalType(5, 1)
+# typed score: exact (never binary float), up to six decimals
+SCORE_TYPE = T.DecimalType(18, 6)
 
 
 def all_string_schema(header: list[str]) -> T.StructType:

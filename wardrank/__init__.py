@@ -1,4 +1,4 @@
-"""wardrank: provider-quality analytics on Spark.
+"""wardrank: facility mortality analytics on Spark.
 
 Inputs are two tables: a facility dimension (``hospitals``) and a long fact
 table of per-facility quality measures (``complications``).  Everything is

@@ -59,8 +59,10 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (a bare local test session) a private folder is created and set.
+    Reads ``spark.checkpoint.dir`` from the session.  Only a local-mode
+    session (tests), whose one process sees its own disk, gets a private folder
+    when it is unset; on a cluster that is an error, as executors would write
+    to their own disks.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -68,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="wardrank-ckpt-")
     sc.setCheckpointDir(local)
     return local

@@ -6,6 +6,7 @@ so a file with a reordered header would be read with swapped columns.  Here
 every column is a string, columns are selected by *header name*, and
 ``enforceSchema=False`` makes Spark check the header of every file against
 the schema (a file whose header differs fails instead of being misread).
+Quotes inside a quoted field are doubled (RFC 4180), on reading and writing.
 Files stay splittable (no ``multiLine``), so a large CSV is read in parallel.
 """
 
@@ -14,7 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import COMPLICATION_COLUMNS, HOSPITAL_COLUMNS, all_string_schema
+from .schema import (
+    COMPLICATION_COLUMNS,
+    COMPLICATIONS_SCHEMA,
+    HOSPITAL_COLUMNS,
+    HOSPITALS_SCHEMA,
+    all_string_schema,
+)
 
 HOSPITALS = "hospitals"
 COMPLICATIONS = "complications"
@@ -31,6 +38,7 @@ def read_cms_csv(spark: SparkSession, path: str, columns: dict[str, str],
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("escape", '"')
     )
     if header is not None:
         reader = reader.schema(all_string_schema(header))
@@ -53,22 +61,36 @@ def write_cms_csv(df: DataFrame, path: str, columns: dict[str, str]) -> None:
     """Write a canonical frame back with the publisher's header names."""
     inverse = {dst: src for src, dst in columns.items()}
     df.select(*[F.col(c).alias(inverse.get(c, c)) for c in df.columns]) \
-        .write.mode("overwrite").option("header", True).csv(path)
+        .write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def save_tables(complications: DataFrame, hospitals: DataFrame, root: str) -> dict[str, str]:
     """Store both tables as Parquet (the fact partitioned by ``measure_id``,
-    which every analysis filters on, so scans prune whole directories)."""
+    which every analysis filters on, so scans prune whole directories).
+
+    The fact is rebalanced by ``measure_id`` before writing: files are bounded
+    by bytes, not by tasks x measures, and a large measure is split."""
     paths = {COMPLICATIONS: f"{root}/{COMPLICATIONS}", HOSPITALS: f"{root}/{HOSPITALS}"}
-    complications.write.mode("overwrite").partitionBy("measure_id").parquet(paths[COMPLICATIONS])
+    complications.hint("rebalance", "measure_id") \
+        .write.mode("overwrite").partitionBy("measure_id").parquet(paths[COMPLICATIONS])
     hospitals.write.mode("overwrite").parquet(paths[HOSPITALS])
     return paths
 
 
 def load_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Re-open stored tables: (complications, hospitals)."""
-    return (spark.read.parquet(f"{root}/{COMPLICATIONS}"),
-            spark.read.parquet(f"{root}/{HOSPITALS}"))
+    """Re-open stored tables: (complications, hospitals).  The schema is given,
+    so a partition value such as ``0123`` stays a string."""
+    return (spark.read.schema(COMPLICATIONS_SCHEMA).parquet(f"{root}/{COMPLICATIONS}")
+            .select(*COMPLICATIONS_SCHEMA.names),
+            spark.read.schema(HOSPITALS_SCHEMA).parquet(f"{root}/{HOSPITALS}"))
+
+
+def save_named_tables(complications: DataFrame, hospitals: DataFrame, database: str = "default") -> None:
+    """Store both tables in the session's catalog, for later sessions to find
+    by name (``spark.table("default.complications")``)."""
+    complications.hint("rebalance", "measure_id").write.mode("overwrite") \
+        .partitionBy("measure_id").saveAsTable(f"{database}.{COMPLICATIONS}")
+    hospitals.write.mode("overwrite").saveAsTable(f"{database}.{HOSPITALS}")
 
 
 def register_views(complications: DataFrame, hospitals: DataFrame, prefix: str = "") -> None:

@@ -4,8 +4,8 @@ The batch path reads a CSV snapshot and writes a table (``sources.files``).
 When new snapshots keep arriving in a landing folder, the same load runs as a
 stream: the file source picks up only files it has not seen, the Parquet sink
 commits each micro-batch exactly once through its metadata log, and the
-checkpoint (in the shared ``spark.checkpoint.dir`` unless given) lets a
-restarted or failed job resume where it stopped.  ``availableNow`` processes
+checkpoint (inside the table's own folder unless given, so it goes with the
+table) lets a restarted or failed job resume where it stopped.  ``availableNow`` processes
 what is there and stops, so the load can be scheduled like a batch job.
 
 Streams cannot infer a schema: the files' full header is required, and every
@@ -18,7 +18,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ensure_checkpoint_dir
 from ..sources.schema import COMPLICATION_COLUMNS, HOSPITAL_COLUMNS, all_string_schema
 
 
@@ -40,13 +39,13 @@ def load_csv_drops(
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("escape", '"')
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(landing_dir)
     typed = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in columns.items()])
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardrank-streams/" \
-        f"{table_dir.rstrip('/').split('/')[-1]}"
+    ckpt = checkpoint or f"{table_dir.rstrip('/')}/_checkpoint"
     writer = (
         typed.writeStream.format("parquet")
         .option("path", table_dir)

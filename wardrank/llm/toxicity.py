@@ -11,7 +11,8 @@ id); scoring covers every whole text.
 
 Features: the distinct words of a text and their first ``STEMS`` bytes (word
 stems), hashed to ``2**bits`` places; those seen in fewer than
-``min_positive`` sampled positives get no weight.
+``min_positive`` sampled positives, or not ``min_ratio`` times as often among
+them as in the unlabelled sample, get no weight.
 
 Defined cases: null and empty texts have no features and score the model's
 bias; without positive examples every score is 0; repeated documents score
@@ -86,19 +87,21 @@ class _Sparse:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int,
-             min_positive: int = 8, steps: int = 240, rate: float = 0.1, l2: float | None = None) -> ToxicityModel:
+             min_positive: int = 8, min_ratio: float = 2.0, steps: int = 240, rate: float = 0.1, l2: float | None = None) -> ToxicityModel:
     """Full-batch Adam on the non-negative risk, with a rate that falls to 0.
 
     The weight of the penalty falls with the number of positives, from which
     the weights are learnt, unless ``l2`` is given.
     """
     places = 1 << bits
-    l2 = l2 if l2 is not None else max(0.5 / max(1, len(positive)), 3e-4)
+    l2 = l2 if l2 is not None else 0.1 / max(1, len(positive))
     weights = np.zeros(places)
     if not positive or not unlabelled:
         return ToxicityModel(weights, -500.0, prior)
     seen = np.bincount(np.concatenate(positive), minlength=places)
-    active = np.flatnonzero(seen >= min(min_positive, len(positive)))
+    common = np.bincount(np.concatenate(unlabelled), minlength=places)
+    marks = seen * len(unlabelled) >= min_ratio * common * len(positive)
+    active = np.flatnonzero((seen >= min(min_positive, len(positive))) & marks)
     column = np.full(places, -1, np.int64)
     column[active] = np.arange(len(active))
     p, u, width = _Sparse(positive, column), _Sparse(unlabelled, column), len(active)

@@ -35,8 +35,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    # columns named like one that the operator adds are set aside
+    aside = {c: f"_own_{c}" for c in decontam.ADDED.names if c in docs.columns}
+    found = decontam.find_contamination(docs.withColumnsRenamed(aside), read_table(spark, sf_dir, "benchmark"))
+    clean = found.where(F.size("hit_spans") == 0)
+    return clean.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

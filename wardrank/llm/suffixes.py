@@ -98,7 +98,6 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     for j in range(8):
         word = (word << np.uint64(8)) | padded[j:j + n]
     order = np.argsort(word, kind="stable")
-    order[:] = order
     key = word[order]
     active = np.arange(n)
     rank = np.empty(n + 1, np.int64)
@@ -218,7 +217,7 @@ def _cut_runs(texts: DataFrame, length: int) -> DataFrame:
     return map_arrow(texts, fields("rep long", "start long", "n long", "owner long", "c1 long", "c2 long", "content binary"), cut)
 
 
-def _shard_results(mixed: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _shard_results(mixed: DataFrame, length: int, n_shards: int) -> tuple[DataFrame, DataFrame]:
     """From rows (shard, ranges, owner, c1, c2, content): the repeated starts
     of each content, and the strings of owners that have several shards."""
     schema = fields("owner long", "c1 long", "c2 long", "spans array<int>", "cell long", "strings binary")
@@ -247,14 +246,13 @@ def _shard_results(mixed: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
                            "cell": [int(mix(np.array([owner[0]], np.int64).view(np.uint64) + np.uint64(r)).view(np.int64)[0])],
                            "strings": [rows[part == r].tobytes()]}
 
-    solved = stored(map_arrow(mixed.repartition("shard").sortWithinPartitions("shard", "owner", "c1", "c2"), schema, solve), "shards")
+    solved = stored(map_arrow(mixed.repartition(n_shards, "shard").sortWithinPartitions("shard", "owner", "c1", "c2"), schema, solve), "shards")
 
     def merge(batches):
         for t in groups(batches, "cell"):
             parts = [np.frombuffer(s, dtype) for s in t["strings"].to_pylist()]
             every = np.concatenate(parts)
             every = every[np.lexsort((every["f2"], every["f1"]))]
-            one = np.empty(len(every), bool)
             for part in parts:  # binary search of each shard's strings among all shards'
                 lo = np.searchsorted(every["f1"], part["f1"], "left")
                 hi = np.searchsorted(every["f1"], part["f1"], "right")
@@ -265,7 +263,6 @@ def _shard_results(mixed: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
                 found = part[(hits > 1) & part["single"]]  # itself and one in another shard
                 yield {"owner": [t["owner"][0].as_py()] * len(found), "c1": found["c1"], "c2": found["c2"],
                        "spans": [[int(s), int(s) + 1] for s in found["start"]]}
-            del one
 
     out = fields("owner long", "c1 long", "c2 long", "spans array<int>")
     local = solved.where("cell is null").select("owner", "c1", "c2", "spans")
@@ -335,7 +332,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "owner", "c1", "c2", "content", parts.alias("ranges"),
         F.when(parts > 1, F.xxhash64("owner", F.pmod(F.xxhash64("c1", "c2"), parts)))
         .otherwise(F.pmod(F.xxhash64("owner"), F.lit(n_shards))).alias("shard"))
-    local, across = _shard_results(mixed, length)
+    local, across = _shard_results(mixed, length, n_shards)
     known = local.unionByName(across).where(F.size("spans") > 0)
 
     whole = (cut.join(contents.where("times > 1").select("owner", "c1", "c2"), ["owner", "c1", "c2"])

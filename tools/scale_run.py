@@ -3,7 +3,8 @@
 Usage: python tools/scale_run.py sf_dir N [cpus]
 Every copy gets fresh facility IDs, so facility counts, slices and the hot
 state all grow N-fold while scores repeat (many ties at every rank cut).
-Prints one JSON line with rows and warm median seconds per query.
+Prints one JSON line with rows and warm median seconds per query, for Spark
+and for the equivalent SQL on DuckDB over the same files.
 """
 import json
 import os
@@ -14,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
+from bench import _duckdb_reference, spark_action  # noqa: E402
 from wardrank.plans import recommend as rec  # noqa: E402
 from wardrank.plans import reports as rep  # noqa: E402
 from wardrank.session import build_session, scratch_path  # noqa: E402
@@ -52,16 +54,17 @@ def main():
     rows = c.count()
     out = {}
     for name, fn in HEADLINE.items():
-        df = fn(c, h)
-        df.write.format("noop").mode("overwrite").save()
+        run = spark_action(name, fn, c, h, {})
+        run()
         ts = []
         for _ in range(3):
             t = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
+            run()
             ts.append(time.perf_counter() - t)
         out[name] = round(statistics.median(ts), 3)
     print(json.dumps({"replicas": n, "fact_rows": rows, "ingest_sec": round(ingest, 2),
-                      "queries": out, "total": round(sum(out.values()), 3)}))
+                      "queries": out, "total": round(sum(out.values()), 3),
+                      **_duckdb_reference(root, cpus, 3, 1, HEADLINE)}))
 
 
 if __name__ == "__main__":

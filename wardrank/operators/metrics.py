@@ -92,9 +92,13 @@ def group_parts(
     measures=MORTALITY_MEASURES,
     min_hospitals: int | None = None,
     max_hospitals: int | None = None,
+    keep_orphans: bool = False,
 ) -> DataFrame:
     """Per-group sums with the exact distinct facility count ``num_hospitals``.
 
+    ``keep_orphans`` keeps the facts of facilities missing from the dimension,
+    in groups of their own (``_in_dim`` is NULL there), for national totals.
+
     ``by``: group columns.  Those listed in ``fact_keys`` come from the fact
     (e.g. measure_id), the rest from the dimension or from ``derive``
     (name -> column expression over the dimension attributes ``dim_attrs``,
@@ -106,6 +110,9 @@ def group_parts(
     if dim_attrs is None:
         dim_attrs = [c for c in by if c not in fact_keys and c not in derive]
     dim = dimension(hospitals).select("facility_id", *dim_attrs)
+    if keep_orphans:
+        dim = dim.withColumn("_in_dim", F.lit(True))
+        by = [*by, "_in_dim"]
     facts = clean_mortality(complications, hospitals, measures, join=False)
     sums = facts.groupBy("facility_id", *fact_keys).agg(
         *weighted_parts("score", "denominator"),
@@ -113,7 +120,7 @@ def group_parts(
         F.min("score").alias("_min"),
         F.max("score").alias("_max"),
     )
-    joined = sums.join(dim, "facility_id")
+    joined = sums.join(dim, "facility_id", "left" if keep_orphans else "inner")
     if derive:
         joined = joined.withColumns(derive)
     out = joined.groupBy(*by).agg(

@@ -334,14 +334,20 @@ def national_avg(complications: DataFrame, hospitals: DataFrame | None = None) -
         weighted_rate().alias("national_weighted_avg"))
 
 
-def _vs_national(frame: DataFrame, complications: DataFrame, key: str) -> DataFrame:
-    nat = national_value(complications)
-    flagged = frame.select(
-        key, "num_hospitals", "weighted_avg_mortality",
-        nat.cast("double").alias("national_weighted_avg"),
-        (F.col("weighted_avg_mortality") < nat.cast("double")).alias("below_national"),
-    )
-    every = Window.partitionBy()  # over one row per group
+def _vs_national(complications: DataFrame, hospitals: DataFrame, key: str,
+                 min_hospitals: int) -> DataFrame:
+    """One read of the facts gives the groups and the national mean, which also
+    counts facilities missing from the dimension: the totals are windows over
+    one row per group."""
+    every = Window.partitionBy()
+    parts = group_parts(complications, hospitals, key, keep_orphans=True)
+    nat = parts.select(
+        "*", F.sum("_w_num").over(every).alias("_n_num"), F.sum("_w_den").over(every).alias("_n_den")
+    ).filter(F.col("_in_dim") & (F.col("num_hospitals") >= min_hospitals))
+    flagged = nat.select(
+        key, "num_hospitals", weighted_rate().alias("weighted_avg_mortality"),
+        weighted_avg("_n").cast("double").alias("national_weighted_avg"),
+    ).withColumn("below_national", F.col("weighted_avg_mortality") < F.col("national_weighted_avg"))
     below = F.sum(F.col("below_national").cast("long")).over(every)
     return flagged.withColumn(
         "share_below_pct", share_pct(below, F.count(F.lit(1)).over(every), 1)
@@ -351,14 +357,12 @@ def _vs_national(frame: DataFrame, complications: DataFrame, key: str) -> DataFr
 def state_vs_national(complications: DataFrame, hospitals: DataFrame,
                       min_hospitals: int = MIN_STATE_CHART) -> DataFrame:
     """States (chart threshold) flagged below the computed national mean."""
-    return _vs_national(state_chart(complications, hospitals, min_hospitals),
-                        complications, "state")
+    return _vs_national(complications, hospitals, "state", min_hospitals)
 
 
 def ownership_vs_national(complications: DataFrame, hospitals: DataFrame,
                           min_hospitals: int = MIN_OWNER_HOSPITALS) -> DataFrame:
-    return _vs_national(ownership_chart(complications, hospitals, min_hospitals),
-                        complications, "ownership")
+    return _vs_national(complications, hospitals, "ownership", min_hospitals)
 
 
 def gap_to_national(complications: DataFrame, hospitals: DataFrame,

@@ -1,6 +1,6 @@
 """Quality selection by importance resampling of hashed n-grams.
 
-Words and word pairs are hashed to ``2**bits`` places.  Two bag-of-n-grams
+Tokens (words, runs of punctuation) and their pairs are hashed to ``2**bits`` places.  Two bag-of-n-grams
 models are counted, one over the target text (a bounded sample of documents
 labelled good, see ``labelled_sample``) and one over all text; a document's log weight is the sum over its n-grams of
 ``log p_target - log p_raw``.  Adding independent Gumbel noise to the log
@@ -17,19 +17,25 @@ apart from equal noise; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_arrow, stored, words_of
+from .common import fields, map_arrow, stored
 from .sharding import _cell, _split, _unsigned, find_splitters
 
 
+_TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\s]+")
+
+
 def ngram_places(text: str | None, bits: int) -> np.ndarray:
-    """Hash places of all words and neighbouring word pairs of a text."""
-    h = np.fromiter(map(zlib.crc32, words_of(text)), dtype=np.uint64)
+    """Hash places of all tokens (lower-cased words and runs of punctuation)
+    and neighbouring pairs of a text."""
+    tokens = _TOKEN.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+    h = np.fromiter(map(zlib.crc32, tokens), dtype=np.uint64)
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     return np.concatenate([h & np.uint64((1 << bits) - 1), pairs >> np.uint64(64 - bits)]).astype(np.int64)
 

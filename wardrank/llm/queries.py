@@ -79,8 +79,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = importance.labelled_sample(docs, read_table(spark, sf_dir, "labels"), "doc_id", "quality", at_most=20_000)
-    return importance.resample(docs, good, keep=0.85)
+    labels = read_table(spark, sf_dir, "labels")
+    good = importance.labelled_sample(docs, labels, "doc_id", "quality", at_most=20_000)
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]  # as many as are good by the labels
+    return importance.resample(docs, good, keep=1.0 if share is None else share)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,26 +55,36 @@ class UnigramCounter:
         self.cache_words = cache_words
 
     def pieces(self, word: str) -> int:
-        """Number of pieces on the best path through one word."""
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(word):
-            ending[last + 1].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            single = False
-            for length, score in sorted(ending[end], reverse=True):  # from the leftmost start
-                s = best[end - length] + score
-                if top is None or s > top:
-                    top, pieces = s, count[end - length] + 1
-                single = single or length == 1
-            if not single:
-                s = best[end - 1] + self.unknown
-                if top is None or s > top:
-                    top, pieces = s, count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-            best[end], count[end] = top, pieces
-        return count[n]
+        """Number of pieces on the best path through one word.
+
+        The automaton gives the matches by their end, at one end the longest
+        first, which is the order of their starts.
+        """
+        best, count = [0.0], [0]
+        top = pieces = None
+        single = False
+        unknown = self.unknown
+
+        def close() -> None:
+            """Settle the end that follows the settled ones."""
+            nonlocal top, pieces, single
+            if not single and (top is None or best[-1] + unknown > top):
+                top = best[-1] + unknown
+                pieces = count[-1] + len(word[len(best) - 1].encode("utf-8", "surrogatepass"))
+            best.append(top)
+            count.append(pieces)
+            top, single = None, False
+
+        for last, (length, score) in self.automaton.iter(word):
+            while len(best) <= last:
+                close()
+            s = best[last + 1 - length] + score
+            if top is None or s > top:
+                top, pieces = s, count[last + 1 - length] + 1
+            single = single or length == 1
+        while len(best) <= len(word):
+            close()
+        return count[-1]
 
     def word(self, word: str) -> int:
         marked = word if word.startswith(SPACE) else SPACE + word

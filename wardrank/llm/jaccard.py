@@ -94,7 +94,7 @@ def _root_paths(values: np.ndarray, runs: int, branch: int) -> np.ndarray:
 def _child_paths(path: np.ndarray, values: np.ndarray, branch: int) -> np.ndarray:
     out = np.empty((len(path), branch), np.uint64)
     for j in range(branch):
-        start = mix(path + np.uint64(j + 1) * _C)
+        start = mix(path + np.uint64((j + 1) * int(_C) % (1 << 64)))
         place = (start % np.uint64(values.shape[1])).astype(np.int64)
         out[:, j] = mix(start ^ mix(values[np.arange(len(path)), place].astype(np.uint64)))
     return out

@@ -60,6 +60,14 @@ def map_arrow(df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[dict]]
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[dict], rows: int) -> Iterator[dict]:
+    """The same columns in pieces of at most ``rows`` rows, where each row
+    turns into many Python objects."""
+    for b in batches:
+        for at in range(0, len(next(iter(b.values()))), rows):
+            yield {n: c.slice(at, rows) for n, c in b.items()}
+
+
 def fields(*spec: str) -> T.StructType:
     """``fields("doc_id long", "n long")`` as a schema of nullable fields."""
     names = dict(long=T.LongType(), int=T.IntegerType(), double=T.DoubleType(), string=T.StringType(),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, stored, text_or_empty
+from .common import fields, map_arrow, slices, stored, text_or_empty
 from .jaccard import groups, mix
 
 _BASE = 0x9E3779B97F4A7C15
@@ -93,35 +93,36 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     h.  Sorted groups are not touched again.
     """
     n = len(data)
+    small = np.int32 if n < 1 << 31 else np.int64
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
     for j in range(8):
         word = (word << np.uint64(8)) | padded[j:j + n]
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word, kind="stable").astype(small)
     key = word[order]
-    active = np.arange(n)
-    rank = np.empty(n + 1, np.int64)
+    del word
+    active = np.arange(n, dtype=small)
+    rank = np.empty(n + 1, small)
     rank[n] = -1
     h = 8
-    short = np.arange(max(0, n - 7), n)  # a suffix of fewer than 8 bytes differs from its padding
     while True:
         head = np.concatenate([[True], key[1:] != key[:-1]])
-        if h == 8 and len(short):  # shorter suffixes first among equal padded words
-            place = np.empty(n, np.int64)
-            group = np.cumsum(head) - 1
-            place[order] = group
-            order = order[np.lexsort((np.minimum(n - order, 8), group))]
-            size = np.minimum(n - order, 8)
-            g = place[order]
-            head = np.concatenate([[True], (g[1:] != g[:-1]) | (size[1:] != size[:-1])])
-        start = active[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
+        if h == 8:  # of equal padded words at the end of the text the shorter come first
+            short = np.minimum(n - order, 8)
+            group = np.cumsum(head, dtype=small)
+            if (short < 8).any():
+                sub = np.lexsort((short, group))
+                order, short, group = order[sub], short[sub], group[sub]
+                head = np.concatenate([[True], (group[1:] != group[:-1]) | (short[1:] != short[:-1])])
+            del short, group
+        start = active[np.maximum.accumulate(np.where(head, np.arange(len(head), dtype=small), 0))]
         rank[order[active]] = start
         alone = head & np.concatenate([head[1:], [True]])
         active = active[~alone]
         if not len(active):
             return order
         pos = order[active]
-        key = rank[pos] * np.int64(n + 1) + rank[np.minimum(pos + h, n)] + 1
+        key = rank[pos] * np.int64(n + 1) + rank[np.minimum(pos.astype(np.int64) + h, n)] + 1
         sub = np.argsort(key, kind="stable")
         order[active] = pos[sub]
         key = key[sub]
@@ -136,13 +137,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, lane: int = 512) -> np.
     bytes are compared eight at a time.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
     word = np.zeros(n + 8, np.uint64)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(16, np.uint64)])
     for j in range(8):
-        word |= padded[j:j + n + 8] << np.uint64(8 * j)
-    out = np.zeros(n, np.int64)
+        word |= padded[j:j + n + 8].astype(np.uint64) << np.uint64(8 * j)
+    out = np.zeros(n, order.dtype)
     starts = np.arange(0, n, lane)
     h = np.zeros(len(starts), np.int64)
     for t in range(min(lane, n)):
@@ -151,7 +152,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, lane: int = 512) -> np.
             starts, h, p = starts[:-1], h[:-1], p[:-1]
             if not len(p):
                 break
-        q = before[p]
+        q = before[p].astype(np.int64)
         h = np.where(q >= 0, np.maximum(h - 1, 0), 0)
         open_ = np.flatnonzero(q >= 0)
         while len(open_):
@@ -181,13 +182,13 @@ class _Shard:
         self.offset = np.cumsum(size) - size
         self.data = np.frombuffer(b"".join(contents), np.uint8)
         n = len(self.data)
-        valid = np.zeros(n + 1, np.int64)  # starts whose whole string lies in one run
+        valid = np.zeros(n + 1, np.int32)  # starts whose whole string lies in one run
         np.add.at(valid, self.offset, 1)
         np.add.at(valid, self.offset + np.maximum(size - length + 1, 0), -1)
         valid = np.cumsum(valid)[:-1] > 0
         order = suffix_array(self.data)
         prefix = common_prefixes(self.data, order)[order]
-        klass = np.cumsum(prefix < length)  # numbers along the order
+        klass = np.cumsum(prefix < length, dtype=order.dtype)  # numbers along the order
         inside = valid[order]
         members = np.bincount(klass[inside], minlength=int(klass[-1]) + 1 if n else 1)
         self.repeated = np.zeros(n, bool)
@@ -205,14 +206,17 @@ def _cut_runs(texts: DataFrame, length: int) -> DataFrame:
     """A row per candidate run: rep, start, n (starts), owner, two content
     hashes and the bytes."""
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, 64):
+            rows = []
             for rep, text, wanted in zip(b["rep"].to_pylist(), b["_text"].to_pylist(), b["runs"].to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                rows = [(r["start"], r["n"], r["owner"], data[r["start"]:r["start"] + r["n"] + length - 1]) for r in wanted]
-                digests = [hashlib.blake2b(c, digest_size=16).digest() for *_, c in rows]
-                yield {"rep": [rep] * len(rows), "start": [r[0] for r in rows], "n": [r[1] for r in rows],
-                       "owner": [r[2] for r in rows], "c1": [int.from_bytes(d[:8], "little", signed=True) for d in digests],
-                       "c2": [int.from_bytes(d[8:], "little", signed=True) for d in digests], "content": [r[3] for r in rows]}
+                for r in wanted:
+                    content = data[r["start"]:r["start"] + r["n"] + length - 1]
+                    digest = hashlib.blake2b(content, digest_size=16).digest()
+                    rows.append((rep, r["start"], r["n"], r["owner"], int.from_bytes(digest[:8], "little", signed=True),
+                                 int.from_bytes(digest[8:], "little", signed=True), content))
+            names = ("rep", "start", "n", "owner", "c1", "c2", "content")
+            yield dict(zip(names, map(list, zip(*rows)), strict=True)) if rows else {n: [] for n in names}
 
     return map_arrow(texts, fields("rep long", "start long", "n long", "owner long", "c1 long", "c2 long", "content binary"), cut)
 
@@ -271,7 +275,7 @@ def _shard_results(mixed: DataFrame, length: int, n_shards: int) -> tuple[DataFr
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, gram: int = 128,
-                   shard_bytes: int = 2 << 20) -> DataFrame:
+                   shard_bytes: int = 1 << 20) -> DataFrame:
     """A row per document: the id, ``n_bytes``, ``n_removed``, ``n_spans``,
     ``spans`` (flat, of removed bytes; null if none), ``kept`` (remaining bytes
     where some were removed and some kept, else null), ``kept_sha256``.
@@ -286,7 +290,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keep = ["id", "a", "b", "k", "n_bytes", "sha"]
 
     def own(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             owners, starts, weights = [], [], []
             for t in b["_text"].to_pylist():
                 o, s, w = owner_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length, gram)
@@ -342,7 +346,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spans = stored(whole.unionByName(partly).groupBy("rep").agg(F.collect_list("starts").alias("starts")), "spans")
 
     def remove(batches):
-        for b in batches:
+        for b in slices(batches, 200):
             flat, kept, sha = [], [], []
             for t, lists in zip(b["_text"].to_pylist(), b["starts"].to_pylist()):
                 data = t.encode("utf-8", "surrogatepass")

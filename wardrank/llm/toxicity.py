@@ -67,7 +67,7 @@ def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text: str, b
 
     chosen = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(ids), "_id", "left_semi").select(text)
     rows = map_arrow(chosen, fields("places binary"), run).collect()
-    return sorted((np.frombuffer(bytes(r[0]), "<i4") for r in rows), key=lambda a: a.tobytes())
+    return [np.frombuffer(x, "<i4") for x in sorted(bytes(r[0]) for r in rows)]
 
 
 class _Sparse:
@@ -76,8 +76,8 @@ class _Sparse:
     def __init__(self, rows: list[np.ndarray], column: np.ndarray):
         kept = [column[r][column[r] >= 0] for r in rows]
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(k) for k in kept])
-        self.col = np.concatenate([*kept, np.empty(0, np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(k) for k in kept])
+        self.col = np.concatenate([*kept, np.empty(0, np.int32)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -98,11 +98,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     weights = np.zeros(places)
     if not positive or not unlabelled:
         return ToxicityModel(weights, -500.0, prior)
-    seen = np.bincount(np.concatenate(positive), minlength=places)
-    common = np.bincount(np.concatenate(unlabelled), minlength=places)
+    seen, common = np.zeros(places, np.int64), np.zeros(places, np.int64)
+    for total, rows in ((seen, positive), (common, unlabelled)):
+        for r in rows:
+            total[r] += 1  # the features of a row are distinct
     marks = seen * len(unlabelled) >= min_ratio * common * len(positive)
     active = np.flatnonzero((seen >= min(min_positive, len(positive))) & marks)
-    column = np.full(places, -1, np.int64)
+    column = np.full(places, -1, np.int32)
     column[active] = np.arange(len(active))
     p, u, width = _Sparse(positive, column), _Sparse(unlabelled, column), len(active)
     theta = np.zeros(width + 1)

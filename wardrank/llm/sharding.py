@@ -21,6 +21,8 @@ an added one (``shard``, ``slot``) are replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,16 +96,15 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
                 asked |= {a + (b - a) * j // (probes + 1) for j in range(1, probes + 1)}
         first = False
         asked = sorted(k for k in asked if 0 < k < _TOP)
-        below = list(zip(asked, *(x.tolist() for x in _histogram(keyed, asked)), strict=True))
+        sizes, rows = (x.tolist() for x in _histogram(keyed, asked))
         for i, target in enumerate(targets):
             if chosen[i] is not None:
                 continue
-            for k, size, rows in below:
-                if size <= target and k > low[i][0]:
-                    low[i] = (k, size, rows)
-                elif size > target and k < high[i][0]:
-                    high[i] = (k, size, rows)
-                    break
+            at = bisect_right(sizes, target)  # bytes below rise with the key
+            if at and asked[at - 1] > low[i][0]:
+                low[i] = (asked[at - 1], sizes[at - 1], rows[at - 1])
+            if at < len(asked) and asked[at] < high[i][0]:
+                high[i] = (asked[at], sizes[at], rows[at])
             a, b = low[i], high[i]
             near = a if target - a[1] <= b[1] - target else b
             if abs(near[1] - target) <= tolerance[i] or b[2] - a[2] <= 1 or b[0] - a[0] <= 1:
@@ -115,12 +116,14 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int, size: Column, group: Column, row_id: Column,
-                   tolerance: float = 0.001, cell_bytes: int = 64 << 20) -> DataFrame:
+                   tolerance: float = 0.001, cell_bytes: int = 64 << 20, max_cells: int = 4096) -> DataFrame:
     """``df`` with ``shard`` (0 .. n_shards - 1) and ``slot`` (gapless from 0).
 
     ``tolerance`` is the accepted error of a shard border as a share of the
     ideal shard size; a border is never further off than one row.
-    ``cell_bytes`` bounds what one task gets of a shard.
+    ``cell_bytes`` is what one task gets of a shard, as long as that makes no
+    more than ``max_cells`` cells, which bounds the splitters on the driver; of
+    more bytes each cell gets its share.
     """
     payload = [c for c in df.columns if c not in ("shard", "slot")]
     bits = (1 << 20) - 1
@@ -132,7 +135,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: Column, group: Column, ro
          .bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(bits)))).alias("_u"),
     ), "sharding")
     total = tuple(keyed.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first())
-    per = max(1, -(-total[0] // (n_shards * cell_bytes)))
+    per = max(1, min(-(-total[0] // (n_shards * cell_bytes)), max_cells // n_shards))
     n_cells = n_shards * per
     targets = [total[0] * k // n_cells for k in range(1, n_cells)]
     ideal = total[0] / n_shards

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, stored
+from .common import fields, map_arrow, slices, stored
 
 END = b"\n"  # no word holds white space
 TAIL = 0xFFFF
@@ -90,7 +90,7 @@ def encode(docs: DataFrame, head: dict[bytes, int], id_col: str, text: str, trai
         "row long", "training boolean", "ids binary", "tail array<binary>", "times array<int>").fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             ids, tail, times = [], [], []
             for t in b["_text"].to_pylist():
                 words = lm_tokens(t)

@@ -129,7 +129,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, lane: int = 512) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, lane: int = 64) -> np.ndarray:
     """Kasai: common prefix of each suffix with the one before it in the order.
 
     Going from a suffix to the next place in the text loses at most one byte

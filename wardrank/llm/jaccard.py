@@ -191,7 +191,7 @@ def _candidates(tiles: DataFrame, reps: DataFrame, places: int, threshold: float
                 continue
             rep, side, size = (t[c].to_numpy() for c in ("rep", "side", "size"))
             low = _values(t["mh"], places).astype(np.uint8)
-            ok = _pair_mask(side) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]))
+            ok = _pair_mask(side) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9)
             if not ok.any():
                 continue
             agree = np.zeros(ok.shape, np.uint16)
@@ -241,7 +241,7 @@ def _exact(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFram
                         both = int(common[i, j])
                     else:
                         both = len(np.intersect1d(sets_of[i], sets_of[j], assume_unique=True))
-                    if both >= threshold * (size[i] + size[j] - both):
+                    if both >= threshold * (size[i] + size[j] - both) - 1e-9:
                         links[i] += copies[j]
                         links[j] += copies[i]
                         a, b = i, j

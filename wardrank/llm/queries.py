@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, and their SQL."""
+"""Registered queries of the training-data operators (their SQL: ``oracle``)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import brown, decontam, importance, jaccard, linecrf, packing, sharding, suffixes, tokencount, toxicity
 from .common import id_remainder, read_table, text_or_empty
+from .oracle import ORACLE_SQL  # noqa: F401
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -107,5 +108,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLE_SQL: dict[str, str] = {}

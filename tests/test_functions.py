@@ -1,6 +1,5 @@
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from wardrank.functions.aggregates import distinct_in_domain, ratio_half_up, share_pct

@@ -87,3 +87,46 @@ def test_empty_and_nothing_to_learn(spark, none):
     out = brown.score_texts(docs, F.lit(False)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in out} == {(3, 0, 0), (1, 0, 0)}
     assert all(math.isfinite(r.score) for r in out)
+
+
+def test_words_past_the_head_are_clustered(spark):
+    """As above, but the words of the two kinds lie past the head, or past the
+    words that are moved one by one."""
+    rng = np.random.RandomState(1)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{rng.randint(300)}" for k in range(rng.randint(10, 60)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in (dict(max_head=20, exchange_words=8), dict(exchange_words=8)):
+        out = brown.score_texts(docs, F.col("doc_id") % 10 != 0, n_exchange=2, passes=12, **options).collect()
+        held = [r for r in out if not r.training]
+        assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.2
+
+
+def test_best_classes_equal_a_plain_exchange():
+    rng = np.random.RandomState(4)
+    ids = np.concatenate([[0], rng.randint(1, 60, 5000)])
+    ids = ids[np.append(True, ids[1:] != ids[:-1])]  # no word next to itself
+    n_classes, n_exchange = 6, 5
+    klass = rng.randint(0, n_classes, 60)
+    prev = np.roll(ids, 1)
+    after, before = np.zeros((60, n_classes), np.int64), np.zeros((60, n_classes), np.int64)
+    np.add.at(after, (ids, klass[prev]), 1)
+    np.add.at(before, (prev, klass[ids]), 1)
+    pairs = brown.class_bigrams(after, klass, n_classes)
+    word, near, side = np.concatenate([ids, prev]), np.concatenate([prev, ids]), np.repeat([0, 1], len(ids))
+    words, best = brown.best_classes(word, klass[near], side, np.ones(len(word), np.int64), klass[word], pairs, n_exchange)
+    assert words.tolist() == list(range(60))
+    f = lambda x: x * np.log(x) if x > 0 else 0.0
+    same = 0
+    for w in words:
+        gains = []
+        for c in range(n_exchange):
+            p = pairs.astype(float)
+            p[:, klass[w]] -= after[w]
+            p[klass[w], :] -= before[w]
+            q = p.copy()
+            q[:, c] += after[w]
+            q[c, :] += before[w]
+            fit = [sum(f(x) for x in t.ravel()) - sum(map(f, t.sum(0))) - sum(map(f, t.sum(1))) for t in (p, q)]
+            gains.append(fit[1] - fit[0])
+        same += gains[best[w]] >= max(gains) - 0.5
+    assert same >= 57  # only the word's links within its own class are not taken out twice

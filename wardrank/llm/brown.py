@@ -7,18 +7,23 @@ end token.
 * Word counts cover all training text (partial counts in the tasks, then one
   shuffle by word).
 * The ``head`` are the most frequent words, at most ``max_head`` and seen at
-  least twice, cut at a frequency band.  Texts are stored once as their head
-  ids; all other words (the tail) are kept by name next to them.
-* Exchange clustering: the ``exchange_words`` most frequent words are moved
-  between classes while that raises the class bigram likelihood.  A pass over
-  the stored ids gives each word's exact counts next to every class; then half
-  of the words, in turn, may move to their best class.  The other words form
-  classes by frequency band; the tail, to which unknown words belong, is one
-  class.
-* A tail word's probability is (its count + 0.1) times a factor that depends
-  on the classes only, so a join of the tail words with the counts, which no
-  word can skew (a tail word is rarer than every head word), completes the
-  scores.
+  least twice, cut at a frequency band, and the end token.  They are found by
+  a broadcast table; the ids of all other training words (the far words) by a
+  join that no word can skew (a far word is rarer than every head word).  Texts
+  are stored once as ids.  A word that is not in the training text is unknown.
+* Exchange clustering of all training words: words are moved between classes
+  while that raises the class bigram likelihood.  In a pass half of the words,
+  in turn, may move to their best class.  The ``exchange_words`` most frequent
+  ones move one after the other, from exact tables of their counts next to
+  every class.  The links of every other word (its neighbours and how often)
+  are gathered once, by word; tasks move their words against the class bigrams
+  of the pass.  Only the class of each word, a byte, goes to all tasks.
+* Clustering ends when two passes, which offer every word a move, raise the
+  log likelihood by less than ``settled`` a token (so also when no word
+  moves), or after ``passes``, if given; the classes with the highest
+  likelihood are kept.
+* A far word's probability is (its count + 0.1) times a factor that depends
+  on the classes only.
 
 Defined cases: a null or empty text is one end token; a null id is held out
 (its crc32 is 0); repeated documents count and score each by themselves; with
@@ -28,10 +33,14 @@ gives no rows.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections import Counter
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +48,8 @@ from pyspark.sql import types as T
 from .common import fields, map_arrow, slices, stored
 
 END = b"\n"  # no word holds white space
-TAIL = 0xFFFF
+TAIL = 0xFFFF  # a word outside the head; once far words have ids, an unknown word
+FAR = 0x10000  # the first id of a far word
 ADD = 0.1  # added to every count
 
 
@@ -83,29 +93,89 @@ def frequent_words(counts: DataFrame, at_most: int) -> list[tuple[bytes, int]]:
 
 
 def encode(docs: DataFrame, head: dict[bytes, int], id_col: str, text: str, training: Column) -> DataFrame:
-    """A row per document: ids of its tokens (uint16) and its tail words."""
+    """A row per document: ids of its tokens (uint16), its distinct tail words,
+    and which of them stands at each TAIL (``spots``, uint32)."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"), training.alias("training"),
                          F.monotonically_increasing_id().alias("row"))
     schema = T.StructType([T.StructField(id_col, source.schema["_id"].dataType), *fields(
-        "row long", "training boolean", "ids binary", "tail array<binary>", "times array<int>").fields])
+        "row long", "training boolean", "ids binary", "tail array<binary>", "times array<int>", "spots binary").fields])
 
     def run(batches):
         for b in slices(batches, 1000):
-            ids, tail, times = [], [], []
+            ids, tail, times, spots = [], [], [], []
             for t in b["_text"].to_pylist():
                 words = lm_tokens(t)
                 codes = [head.get(w, TAIL) for w in words]
                 ids.append(np.array(codes, dtype="<u2").tobytes())
-                rare = Counter([w for w, c in zip(words, codes) if c == TAIL])
+                outside = [w for w, c in zip(words, codes) if c == TAIL]
+                rare = Counter(outside)
+                place = {w: i for i, w in enumerate(rare)}
                 tail.append(list(rare))
                 times.append(list(rare.values()))
-            yield {id_col: b["_id"], "row": b["row"], "training": b["training"], "ids": ids, "tail": tail, "times": times}
+                spots.append(np.array([place[w] for w in outside], dtype="<u4").tobytes())
+            yield {id_col: b["_id"], "row": b["row"], "training": b["training"], "ids": ids, "tail": tail, "times": times,
+                   "spots": spots}
 
     return map_arrow(source, schema, run)
 
 
-def _concatenated(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype="<u2")
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of steps that are stored by now; it
+    does so when the driver has collected its garbage."""
+    for _ in range(2):  # the second finds what the first has let go of
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+def far_words(counts: DataFrame, head: dict[bytes, int]) -> tuple[DataFrame, int]:
+    """(word, n, far) of the words outside the head, with ids from FAR on
+    without gaps, and their number."""
+    def run(batches):
+        for b in batches:
+            kept = pa.array([i for i, w in enumerate(b["word"].to_pylist()) if w not in head], pa.int64())
+            yield {n: c.take(kept) for n, c in b.items()}
+
+    found = stored(map_arrow(counts, counts.schema, run).select(
+        "word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "far")
+    sizes = sorted((r[0], r[1]) for r in found.groupBy("part").count().collect())
+    starts = FAR + np.cumsum([0, *(n for _, n in sizes)])
+    first = found.sparkSession.createDataFrame([(p, int(x)) for (p, _), x in zip(sizes, starts)], "part int, first long")
+    far = found.join(F.broadcast(first), "part").select(
+        "word", "n", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("far"))
+    return far, int(starts[-1]) - FAR
+
+
+def with_far_ids(encoded: DataFrame, far: DataFrame, id_col: str) -> DataFrame:
+    """A row per document: the ids (uint32) of all its tokens, the sum of
+    log10(count + ADD) over its tail words, and how many of them are known."""
+    rare = encoded.where(F.size("tail") > 0).select("row", F.posexplode(F.arrays_zip("tail", "times")).alias("at", "t"))
+    rare = rare.select("row", "at", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
+    seen = F.coalesce(F.col("n"), F.lit(0))
+    found = (rare.join(far, "word", "left").groupBy("row")
+             .agg(F.sum(F.col("times") * F.log10(seen + F.lit(ADD))).alias("tail_score"),
+                  F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("tail_known"),
+                  F.array_sort(F.collect_list(F.struct("at", F.coalesce("far", F.lit(TAIL)).alias("far"))))["far"].alias("far")))
+    source = encoded.select(id_col, "row", "training", "ids", "spots").join(found, "row", "left")
+    schema = T.StructType([encoded.schema[id_col], *fields(
+        "training boolean", "ids binary", "tail_score double", "tail_known long").fields])
+
+    def run(batches):
+        for b in slices(batches, 1000):
+            out = []
+            for ids, spots, found in zip(b["ids"].to_pylist(), b["spots"].to_pylist(), b["far"]):
+                ids = np.frombuffer(ids, "<u2").astype("<u4")
+                if spots:
+                    ids[ids == TAIL] = found.values.to_numpy()[np.frombuffer(spots, "<u4")]
+                out.append(ids.tobytes())
+            yield {id_col: b[id_col], "training": b["training"], "ids": out, "tail_score": b["tail_score"].fill_null(0.0),
+                   "tail_known": b["tail_known"].fill_null(0)}
+
+    return map_arrow(source, schema, run)
+
+
+def _concatenated(blobs, kind: str = "<u2") -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind)
 
 
 def neighbour_counts(encoded: DataFrame, unit: np.ndarray, class_of: np.ndarray, n_units: int, n_classes: int,
@@ -127,9 +197,19 @@ def neighbour_counts(encoded: DataFrame, unit: np.ndarray, class_of: np.ndarray,
             prev = np.concatenate([[np.uint16(end)], ids[:-1]])  # each document ends with the end token
             after += np.bincount(unit[ids] * n_classes + class_of[prev], minlength=cells)
             before += np.bincount(unit[prev] * n_classes + class_of[ids], minlength=cells)
-        table = np.stack([after.reshape(n_units, -1), before.reshape(n_units, -1)])
-        for k in range(0, n_units, block):
-            yield {"block": [k], "counts": [table[:, k:k + block].astype("<i8").tobytes()]}
+        yield np.stack([after, before])
+
+    return _summed(encoded.where("training").select("ids"), count, n_units, n_classes, block)
+
+
+def _summed(df: DataFrame, count, n_units: int, n_classes: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the (2, units * classes) tables that ``count`` makes of each
+    task's batches."""
+    def parts_of(batches):
+        for table in count(batches):
+            table = table.reshape(2, n_units, n_classes)
+            for k in range(0, n_units, block):
+                yield {"block": [k], "counts": [table[:, k:k + block].astype("<i8").tobytes()]}
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -141,7 +221,7 @@ def neighbour_counts(encoded: DataFrame, unit: np.ndarray, class_of: np.ndarray,
             yield {"block": [k], "counts": [x.tobytes()]}
 
     schema = fields("block long", "counts binary")
-    parts = map_arrow(encoded.where("training").select("ids"), schema, count)
+    parts = map_arrow(df, schema, parts_of)
     n_blocks = -(-n_units // block)
     table = np.zeros((2, n_units, n_classes), np.int64)
     for k, blob in map_arrow(parts.repartition(n_blocks, "block"), schema, add).collect():  # n_blocks rows
@@ -150,6 +230,161 @@ def neighbour_counts(encoded: DataFrame, unit: np.ndarray, class_of: np.ndarray,
     return table[0], table[1]
 
 
+def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_bucket: int = 1_000_000) -> DataFrame:
+    """The neighbours in the training text of every word whose id is at least
+    ``n_top``: rows of ``keys`` (word << 32 | neighbour << 1 | side, uint64,
+    sorted; side 0: the neighbour stands before the word, 1: after it) and
+    ``times`` (uint32).  All links of a word are in one row; ``n_links``, their
+    number with repeats, decides the number of rows."""
+    buckets = max(1, -(-n_links // per_bucket))
+    schema = fields("bucket long", "keys binary", "times binary")
+
+    def dealt(held):
+        keys, times = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        found, at = np.unique(bucket[order], return_index=True)
+        for k, o in zip(found.tolist(), np.split(order, at[1:])):
+            yield {"bucket": [k], "keys": [keys[o].astype("<u8").tobytes()], "times": [times[o].astype("<u4").tobytes()]}
+
+    def find(batches):
+        held, size = [], 0
+        for b in slices(batches, 1000):
+            ids = _concatenated(b["ids"].to_pylist(), kind).astype(np.uint64)
+            if not len(ids):
+                continue
+            prev = np.concatenate([np.array([end], np.uint64), ids[:-1]])  # each document ends with the end token
+            own, back = ids >= n_top, prev >= n_top
+            held += [ids[own] << np.uint64(32) | prev[own] << np.uint64(1),
+                     prev[back] << np.uint64(32) | ids[back] << np.uint64(1) | np.uint64(1)]
+            size += len(held[-1]) + len(held[-2])
+            if size > 2_000_000:
+                yield from dealt(held)
+                held, size = [], 0
+        if size:
+            yield from dealt(held)
+
+    def gather(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for k, keys, times in zip(b["bucket"].to_pylist(), b["keys"].to_pylist(), b["times"].to_pylist()):
+                held.setdefault(k, []).append((keys, times))
+        while held:
+            k, parts = held.popitem()
+            keys, times = _concatenated([x for x, _ in parts], "<u8"), _concatenated([x for _, x in parts], "<u4")
+            order = np.argsort(keys, kind="stable")
+            keys, at = np.unique(keys[order], return_index=True)
+            total = np.add.reduceat(times[order].astype(np.int64), at)
+            yield {"bucket": [k], "keys": [keys.tobytes()], "times": [total.astype("<u4").tobytes()]}
+
+    parts = map_arrow(coded.where("training").select("ids"), schema, find)
+    return stored(map_arrow(parts.repartition(buckets, "bucket"), schema, gather).select("keys", "times"), "links")
+
+
+def _link_rows(batches):
+    """(word, neighbour, side, times) arrays of each row of ``links``."""
+    for b in slices(batches, 1):
+        keys = _concatenated(b["keys"].to_pylist(), "<u8")
+        if len(keys):
+            yield ((keys >> np.uint64(32)).astype(np.int64), (keys >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64),
+                   (keys & np.uint64(1)).astype(np.int64), _concatenated(b["times"].to_pylist(), "<u4").astype(np.int64))
+
+
+def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the linked words add to the tables of ``neighbour_counts``: units
+    are the top words, then the classes of the linked words (which have only
+    the table of what stands before them)."""
+    n_units = n_top + n_classes
+
+    def count(batches):
+        table = np.zeros((2, n_units * n_classes))
+        for word, near, side, n in _link_rows(batches):
+            own, other, top = class_of[word].astype(np.int64), class_of[near].astype(np.int64), near < n_top
+            for cells, which, sel in (((n_top + own) * n_classes + other, 0, side == 0),
+                                      (near * n_classes + own, 0, top & (side == 1)),
+                                      (near * n_classes + own, 1, top & (side == 0))):
+                table[which] += np.bincount(cells[sel], weights=n[sel], minlength=n_units * n_classes)
+        yield table
+
+    return _summed(linked, count, n_units, n_classes)
+
+
+def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray,
+                 pairs: np.ndarray, n_exchange: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their best class) against the class bigrams ``pairs``.
+
+    The rows are the links of whole words, sorted by word; ``own`` is the class
+    of the word of each row.  A word's own counts are taken out of its class.
+    """
+    n_classes = len(pairs)
+    key = (word * 2 + side) * n_classes + near_class
+    order = np.argsort(key, kind="stable")
+    key, at = np.unique(key[order], return_index=True)
+    n, own = np.add.reduceat(n[order], at).astype(float), own[order][at]
+    word, cell = key // (2 * n_classes), key % (2 * n_classes)
+    words, first = np.unique(word, return_index=True)
+    table = np.concatenate([pairs[:, :n_exchange], pairs.T[:, :n_exchange]]).astype(float)  # (side, class) x candidate
+    value = _xlogx(table)
+    few = [None, *((_xlogx(table + k) - value).astype(np.float32) for k in range(1, 5))]  # most counts are small
+    best = np.empty(len(words), np.int64)
+    cuts = [*range(0, len(words), 20_000), len(words)]
+    into, out = pairs.sum(axis=0).astype(float)[:n_exchange], pairs.sum(axis=1).astype(float)[:n_exchange]
+    for a, z in zip(cuts, cuts[1:]):
+        gain = np.zeros((z - a, n_exchange))
+        total = np.add.reduceat(np.where(cell < n_classes, n, 0), first)[a:z]  # each occurrence has one word before it
+        rows_end = first[z] if z < len(words) else len(key)
+        own_class = own[first[a:z]]
+        placed = np.flatnonzero(own_class < n_exchange)
+        for lo in range(first[a], rows_end, 100_000):
+            hi = min(lo + 100_000, rows_end)
+            c, k, o = cell[lo:hi], n[lo:hi], own[lo:hi]
+            add = np.empty((hi - lo, n_exchange), np.float32)
+            for x in range(1, 5):
+                sel = np.flatnonzero(k == x)
+                add[sel] = few[x][c[sel]]
+            sel = np.flatnonzero(k > 4)
+            add[sel] = _xlogx(table[c[sel]] + k[sel, None]) - value[c[sel]]
+            sel = np.flatnonzero(o < n_exchange)
+            there = table[c[sel], o[sel]]
+            add[sel, o[sel]] = _xlogx(there) - _xlogx(there - k[sel])
+            at_word = np.searchsorted(words, word[lo:hi]) - a
+            starts = np.flatnonzero(np.diff(at_word, prepend=-1))
+            gain[at_word[starts]] += np.add.reduceat(add, starts, axis=0)
+        for size in (into, out):
+            change = _xlogx(size + total[:, None]) - _xlogx(size)
+            there = size[own_class[placed]]
+            change[placed, own_class[placed]] = _xlogx(there) - _xlogx(there - total[placed])
+            gain -= change
+        found = gain.argmax(axis=1)
+        here = gain[placed, own_class[placed]]
+        stay = gain[placed, found[placed]] <= here + 1e-9
+        found[placed[stay]] = own_class[placed[stay]]
+        best[a:z] = found
+    return words, best
+
+
+def move_linked(linked: DataFrame, class_of: np.ndarray, pairs: np.ndarray, step: int, n_exchange: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, new classes) of the linked words that move.
+
+    Steps 2k and 2k + 1 offer a move to one half of the words and to the other;
+    the halves differ by k, so that no two words always move together.
+    """
+    salt = np.uint64((step // 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+
+    def run(batches):
+        for word, near, side, n in _link_rows(batches):
+            own = class_of[word].astype(np.int64)
+            half = ((word.astype(np.uint64) ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
+            sel = (half == step % 2) & (own <= n_exchange)
+            if sel.any():
+                words, best = best_classes(word[sel], class_of[near[sel]].astype(np.int64), side[sel], n[sel], own[sel], pairs, n_exchange)
+                moved = best != class_of[words]
+                yield {"words": [words[moved].astype("<u4").tobytes()], "classes": [best[moved].astype("<u2").tobytes()]}
+
+    rows = map_arrow(linked, fields("words binary", "classes binary"), run).collect()
+    return (_concatenated([bytes(r[0]) for r in rows], "<u4").astype(np.int64), _concatenated([bytes(r[1]) for r in rows], "<u2"))
+
+
 def _xlogx(a: np.ndarray) -> np.ndarray:
     return a * np.log(np.maximum(a, 1))
 
@@ -189,7 +424,7 @@ def exchange(after: np.ndarray, before: np.ndarray, unit_class: np.ndarray, mova
 
 @dataclass(frozen=True)
 class BrownModel:
-    class_of: np.ndarray  # class per id (65536 entries; TAIL's is the tail class)
+    class_of: np.ndarray  # class per id (TAIL's is the class of unknown words)
     log_count: np.ndarray  # log10(count + ADD) per head id, 0 for the tail
     log_factor: np.ndarray  # (previous class, class): log10 of what is left of p
     base_factor: float  # log10 of the base's denominator
@@ -197,48 +432,65 @@ class BrownModel:
     end: int
 
 
-def cluster(encoded: DataFrame, counts: list[tuple[bytes, int]], n_exchange: int, exchange_words: int,
-            passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class per id, class bigram counts): the last column pair of classes are
-    the end token's and the tail's."""
-    n_words = min(exchange_words, len(counts))
-    bands = [int(np.log2(n)) for _, n in counts[n_words:]]
-    band_class = {b: n_exchange + i for i, b in enumerate(sorted(set(bands)))}
-    end_class = n_exchange + len(band_class)
-    tail_class, n_classes = end_class + 1, end_class + 2
+def cluster(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int, n_exchange: int, exchange_words: int,
+            passes: int | None = None, coded: DataFrame | None = None, n_far: int = 0, settled: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(class per id, class bigram counts).
+
+    After the exchange classes come that of the words not placed yet (in the
+    end it is empty), the end token's and the unknown words'.  Without
+    ``coded`` (the texts with the ids of far words) all far words count as
+    unknown.
+    """
+    n_top = min(exchange_words, len(counts))
+    start, end_class, tail_class, n_classes = n_exchange, n_exchange + 1, n_exchange + 2, n_exchange + 3
     end = next((i for i, (w, _) in enumerate(counts) if w == END), TAIL)
-    class_of = np.full(65536, tail_class, np.int64)
-    class_of[:n_words] = np.arange(n_words) % n_exchange
-    class_of[n_words:len(counts)] = [band_class[b] for b in bands]
+    class_of = np.full(FAR + n_far, tail_class, np.uint8 if n_classes <= 256 else np.uint16)
+    class_of[:n_top] = np.arange(n_top) % n_exchange
+    class_of[n_top:len(counts)] = start
+    class_of[FAR:] = start
     if end != TAIL:
         class_of[end] = end_class
-    n_units = n_words + n_classes
-    unit = n_words + class_of  # rare words count as their class
-    unit[:n_words] = np.arange(n_words)
+    n_links = 2 * (tokens - sum(n for _, n in counts[:n_top]))
+    linked = links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end, n_links)
+    _release(encoded)
+    n_units = n_top + n_classes
+    unit = np.full(FAR, n_units, np.int64)  # links count the other words
+    unit[:n_top] = np.arange(n_top)
     best, best_fit, best_pairs = class_of, -np.inf, np.zeros((n_classes, n_classes), np.int64)
-    movable = np.array([i for i in range(n_words) if i != end], dtype=np.int64)
-    for k in range(passes + 1):
-        unit_class = np.concatenate([class_of[:n_words], np.arange(n_classes)])
-        after, before = neighbour_counts(encoded, unit, class_of, n_units, n_classes, end)
+    movable = np.array([i for i in range(n_top) if i != end], dtype=np.int64)
+    fits = []  # after every pass
+    for k in count():
+        unit_class = np.concatenate([class_of[:n_top].astype(np.int64), np.arange(n_classes)])
+        near = np.full(FAR, n_classes, np.int64)
+        near[:n_top] = class_of[:n_top]
+        tops = neighbour_counts(encoded, unit, near, n_units + 1, n_classes + 1, end)
+        after, before = (t[:n_units, :n_classes] + x for t, x in zip(tops, link_counts(linked, class_of, n_top, n_classes)))
         pairs = class_bigrams(after, unit_class, n_classes)
         fit = _xlogx(pairs.astype(float)).sum() - _xlogx(pairs.sum(0).astype(float)).sum() - _xlogx(pairs.sum(1).astype(float)).sum()
         if fit > best_fit:
-            best, best_fit, best_pairs = class_of.copy(), fit, pairs
-        if k < passes:
-            class_of = class_of.copy()
-            class_of[:n_words] = exchange(after, before, unit_class, movable[k % 2::2], n_exchange, n_classes)[:n_words]
+            best, best_fit, best_pairs = class_of, fit, pairs
+        fits.append(fit)
+        if k == passes or (k % 2 == 0 and k >= 4 and fits[k] - fits[k - 2] < settled * tokens) or not tokens:
+            break  # the first two passes place the words
+        words, classes = move_linked(linked, class_of, pairs, k, n_exchange)
+        moved = exchange(after, before, unit_class, movable[k % 2::2], n_exchange, n_classes)[:n_top]
+        class_of = class_of.copy()
+        class_of[:n_top] = moved
+        class_of[words] = classes
     return best, best_pairs
 
 
 def build_model(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int, types: int, n_exchange: int = 64,
-                exchange_words: int = 4096, passes: int = 6, mix: float = 0.95) -> BrownModel:
-    class_of, pairs = cluster(encoded, counts, n_exchange, exchange_words, passes)
+                exchange_words: int = 4096, passes: int | None = None, mix: float = 0.95, coded: DataFrame | None = None,
+                n_far: int = 0) -> BrownModel:
+    class_of, pairs = cluster(encoded, counts, tokens, n_exchange, exchange_words, passes, coded, n_far)
     n_classes = len(pairs)
     n = np.array([c for _, c in counts], dtype=np.int64)
-    mass = np.bincount(class_of[:len(n)], weights=n, minlength=n_classes)
-    kinds = np.bincount(class_of[:len(n)], minlength=n_classes)
-    mass[-1], kinds[-1] = tokens - n.sum(), types - len(n) + 1  # all unknown words are one type
-    step = (pairs + ADD) / (pairs.sum(axis=1, keepdims=True) + ADD * n_classes)
+    mass = pairs.sum(axis=0)  # each token follows one
+    kinds = np.bincount(class_of[:len(n)], minlength=n_classes) + np.bincount(class_of[FAR:], minlength=n_classes)
+    kinds[-1] = types - len(n) - n_far + 1  # all unknown words are one type
+    real = kinds > 0  # a class without words gets no probability
+    step = (pairs + ADD) * real / (pairs.sum(axis=1, keepdims=True) + ADD * real.sum())
     base = tokens + ADD * (types + 1)
     inside = mass + ADD * kinds
     factor = mix * step / np.where(inside > 0, inside, 1) + (1 - mix) / base
@@ -248,28 +500,28 @@ def build_model(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int
     return BrownModel(class_of, log_count, np.log10(factor), float(np.log10(base)), tokens, end)
 
 
-def _local_scores(encoded: DataFrame, model: BrownModel, id_col: str) -> DataFrame:
-    schema = T.StructType([encoded.schema[id_col], *fields(
-        "row long", "training boolean", "n_tokens long", "head_tokens long", "base_score double", "score double").fields])
+def _scores(coded: DataFrame, model: BrownModel, id_col: str) -> DataFrame:
+    schema = T.StructType([coded.schema[id_col], *fields(
+        "training boolean", "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double").fields])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1000):
             blobs = b["ids"].to_pylist()
-            n = np.array([len(x) // 2 for x in blobs], dtype=np.int64)
+            n = np.array([len(x) // 4 for x in blobs], dtype=np.int64)
             if not len(n):
                 continue
-            ids = _concatenated(blobs)
+            ids = _concatenated(blobs, "<u4")
             starts = np.cumsum(n) - n
             classes = model.class_of[ids]
-            prev = np.concatenate([[0], classes[:-1]])
+            prev = np.concatenate([classes[:1], classes[:-1]])
             prev[starts] = model.class_of[model.end]
-            counted = np.add.reduceat(model.log_count[ids], starts)
-            yield {id_col: b[id_col], "row": b["row"], "training": b["training"], "n_tokens": n,
-                   "head_tokens": np.add.reduceat((ids != TAIL).astype(np.int64), starts),
-                   "base_score": counted - n * model.base_factor,
+            counted = np.add.reduceat(model.log_count[np.minimum(ids, TAIL)], starts) + b["tail_score"].to_numpy()
+            yield {id_col: b[id_col], "training": b["training"], "n_tokens": n,
+                   "n_known": np.add.reduceat((ids < TAIL).astype(np.int64), starts) + b["tail_known"].to_numpy(),
+                   "train_tokens": np.full(len(n), model.tokens, np.int64), "base_score": counted - n * model.base_factor,
                    "score": counted + np.add.reduceat(model.log_factor[prev, classes], starts)}
 
-    return map_arrow(encoded.select(id_col, "row", "training", "ids"), schema, run)
+    return map_arrow(coded, schema, run)
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text",
@@ -282,20 +534,13 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text:
     source = docs.select(id_col, text)
     counts = stored(count_words(source.where(training), text), "words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = frequent_words(counts, max_head)
-    encoded = stored(encode(source, {w: i for i, (w, _) in enumerate(top)}, id_col, text, training), "encoded")
-    model = build_model(encoded, top, tokens, types, **model_options)
-    local = _local_scores(encoded, model, id_col)
-    rare = (encoded.where(F.size("tail") > 0)
-            .select("row", F.explode(F.arrays_zip("tail", "times")).alias("t"))
-            .select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times")))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    tails = (rare.join(counts, "word", "left").groupBy("row")
-             .agg(F.sum(F.col("times") * F.log10(seen + F.lit(ADD))).alias("tail_score"),
-                  F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("tail_known")))
-    more = F.coalesce("tail_score", F.lit(0.0))
-    return local.join(tails, "row", "left").select(
-        id_col, "training", "n_tokens",
-        (F.col("head_tokens") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    _release(docs)
+    ends = [(END, r["n"]) for r in counts.where(F.col("word") == F.lit(END)).collect()]
+    top = ends + [x for x in frequent_words(counts, max_head) if x[0] != END]
+    head = {w: i for i, (w, _) in enumerate(top)}
+    encoded = stored(encode(source, head, id_col, text, training), "encoded")
+    far, n_far = far_words(counts, head)
+    coded = stored(with_far_ids(encoded, far, id_col), "coded")
+    _release(docs)
+    model = build_model(encoded, top, tokens, types, coded=coded, n_far=n_far, **model_options)
+    return _scores(coded, model, id_col)

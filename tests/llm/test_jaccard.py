@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -110,3 +111,14 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_recall_of_runs_that_share_their_places():
+    for threshold, branch, depth in ((0.8, 2, 4), (0.8, 2, 12), (0.7, 3, 12)):
+        runs, missed = jaccard.runs_needed(threshold, branch, 0.9999), 0.0
+        for same in range(65):
+            lost = 0.0
+            for _ in range(depth):
+                lost = (1 - same / 64 * (1 - lost)) ** branch
+            missed += math.comb(64, same) * threshold ** same * (1 - threshold) ** (64 - same) * lost ** runs
+        assert missed <= 1e-4

@@ -71,17 +71,23 @@ def minhash(shingles: np.ndarray, places: int, seed: int = 7) -> np.ndarray:
     return out
 
 
-def runs_needed(threshold: float, branch: int, recall: float) -> int:
+def runs_needed(threshold: float, branch: int, recall: float, places: int = 64) -> int:
     """Runs until a pair at the threshold is missed with at most 1 - recall.
 
-    In one run such a pair is lost with the extinction probability of a
-    branching process in which each of ``branch`` children survives with
-    probability ``threshold``.
+    All runs draw from the same ``places`` values of a pair, which agree in a
+    binomial number of places.  Given their share, one run loses the pair with
+    the extinction probability of a branching process in which each of
+    ``branch`` children survives with that probability.
     """
-    lost = 0.0
+    number = range(places + 1)
+    weight = np.array([math.comb(places, k) * threshold ** k * (1 - threshold) ** (places - k) for k in number])
+    share, lost = np.array(number) / places, np.zeros(places + 1)
     for _ in range(200):
-        lost = (1 - threshold + threshold * lost) ** branch
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+        lost = (1 - share + share * lost) ** branch
+    for runs in range(1, 1000):
+        if (weight * lost ** runs).sum() <= 1 - recall:
+            return runs
+    raise ValueError("this recall needs more branches or places")
 
 
 def _root_paths(values: np.ndarray, runs: int, branch: int) -> np.ndarray:
@@ -287,7 +293,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     embedded = stored(map_arrow(source, type(schema)([*schema.fields, *fields("size long", "mh binary").fields]), embed), "embedded")
     firsts = embedded.groupBy("a", "b").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low_id"), F.min("k").alias("k"))
     reps = stored(firsts.join(embedded.select("row", "size", "mh"), F.col("rep") == F.col("row")).drop("row"), "reps")
-    final = stored(_final_buckets(reps, places, branch, runs_needed(threshold, branch, recall), small, dense, max_depth), "final")
+    final = stored(_final_buckets(reps, places, branch, runs_needed(threshold, branch, recall, places), small, dense, max_depth), "final")
     candidates = stored(_candidates(_tiles(final, reps, block_sets, block_shingles), reps, places, threshold, slack), "candidates")
 
     wanted = candidates.select("rep").distinct().join(reps.select("rep", "a", "b", "k", "copies"), "rep")

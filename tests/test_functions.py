@@ -106,3 +106,22 @@ def test_histogram_rank_equals_rank(spark):
                                               .alias("r")).collect()}
         got = {r.id: r.r for r in histogram_rank(df, "v", "r", descending=desc).collect()}
         assert got == want
+
+
+def test_histogram_rank_windows_no_histogram_in_one_task(spark):
+    """Many distinct values: the ranks are right, and the only window over the
+    whole frame runs over ranges, not over values."""
+    import re
+
+    from conftest import plan_text
+    from pyspark.sql import Window
+
+    from wardrank.operators.ranking import histogram_rank
+    df = spark.range(5000).select("id", F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 3001).alias("v"))
+    for desc in (False, True):
+        order = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_last()
+        want = {r.id: r.r for r in df.select("id", F.rank().over(Window.orderBy(order)).alias("r")).collect()}
+        ranked = histogram_rank(df, "v", "r", descending=desc)
+        assert {r.id: r.r for r in ranked.collect()} == want
+        windows = re.findall(r"windowspecdefinition\((\S+)", plan_text(ranked))
+        assert windows and all(w.startswith("_range#") for w in windows), windows

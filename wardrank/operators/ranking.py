@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def _cols(cols) -> list[Column]:
     if cols is None:
@@ -75,9 +77,10 @@ def within_rank(df: DataFrame, k: int, value: str, descending: bool = False) ->
 def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
     """``RANK() OVER (ORDER BY value)`` over a whole frame without one task.
 
-    Count rows per distinct value (partial aggregation), take a running sum
-    over that histogram (the only single-partition window, over distinct
-    values such as 2-dp rates, not rows), and join the rank back.  rank(v) =
+    Count rows per distinct value (partial aggregation), store that histogram
+    dealt by ranges of the value, take a running sum within every range and
+    add the rows of the ranges before it (the only single-partition window,
+    over one row a range), and join the rank back.  rank(v) =
     1 + rows strictly before v; NULLs sort last.  No hint is given: the
     measured size of the histogram decides the join.
 
@@ -85,9 +88,18 @@ def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = Fals
     """
     v = F.col(value)
     hist = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.col("_v").desc_nulls_last() if descending
-                            else F.col("_v").asc_nulls_last()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ranks = hist.select("_v", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1)
-                        .cast("long").alias(name))
+    order = F.col("_v").desc_nulls_last() if descending else F.col("_v").asc_nulls_last()
+    path = scratch_path(df.sparkSession, "histogram")
+    dealt = hist.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)  # the bounds of the ranges are sampled: fix them
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+    def before(window):
+        return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = dealt.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    ranges = ranges.select("_range", before(Window.orderBy("_range")).alias("_first"))
+    ranks = (dealt.select("_v", "_range", before(Window.partitionBy("_range").orderBy(order)).alias("_before"))
+             .join(F.broadcast(ranges), "_range")
+             .select("_v", (F.col("_first") + F.col("_before") + 1).cast("long").alias(name)))
     return df.join(ranks, v.eqNullSafe(F.col("_v"))).drop("_v")

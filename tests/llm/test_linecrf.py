@@ -63,3 +63,16 @@ def test_query_keeps_good_and_drops_bad(spark):
     out = [r for r in queries.op6_quality_rules(spark, SF01).collect() if not r.base_failed and r.doc_id in labels]
     good, bad = [r.kept for r in out if labels[r.doc_id] == 1], [r.kept for r in out if labels[r.doc_id] == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_long_documents_and_replacements_are_learnt_from(spark):
+    """The bad documents are tables of more than 120 lines, and most labels
+    belong to no document with lines."""
+    good = [(i, "The river runs past the old mill.\nNobody had seen the keeper that day.") for i in range(40)]
+    bad = [(100 + i, "\n".join(f"| {k} | {k + i} |" for k in range(150))) for i in range(40)]
+    docs = spark.createDataFrame([*good, *bad, *((1000 + i, " \n") for i in range(300))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100 or i % 2)) for i in [*range(40), *range(100, 140), *range(1000, 1300), *range(5000, 5300)]],
+                                   "doc_id long, quality int")
+    model = linecrf.train_crf(docs, labels, max_docs=20)
+    assert set(model.decode(linecrf.lines_of(bad[0][1])[0])) == {linecrf.BOILERPLATE}
+    assert set(model.decode(linecrf.lines_of(good[0][1])[0])) == {linecrf.CONTENT}

@@ -125,42 +125,50 @@ def _model(weights: np.ndarray, transition: np.ndarray) -> LineCrf:
 
 def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 100, rate: float = 0.1,
             l2: float = 0.01) -> LineCrf:
-    """Maximise the mean conditional log-likelihood by Adam; all sequences
-    advance through forward and backward together, padded to the longest."""
+    """Maximise the mean conditional log-likelihood by Adam; sequences
+    of similar length advance through forward and backward together, padded to
+    the longest of them (less than twice their own length)."""
     k = len(FEATURES)
     weights, transition = np.zeros((k + 1, 2)), np.zeros((2, 2))
     sequences, labels = zip(*[(s, y) for s, y in zip(sequences, labels) if len(s)] or [((), 0)])
     if len(set(labels)) < 2:
         weights[-1, CONTENT] = 1.0
         return _model(weights, transition)
-    n, longest = len(sequences), max(map(len, sequences))
-    size = np.array([len(s) for s in sequences])
-    marks = np.zeros((n, longest), np.int64)
-    for i, s in enumerate(sequences):
-        marks[i, :len(s)] = s
-    real = np.arange(longest) < size[:, None]
-    x = np.concatenate([(marks[..., None] >> np.arange(k)) & 1, np.ones((n, longest, 1), np.int64)], axis=2)
-    x = (x * real[..., None]).astype(np.float32)
-    y = np.eye(2)[np.array(labels)]
-    weight = (n / 2 / np.bincount(labels))[np.array(labels)] / n  # both labels count alike
-    per = weight / size  # every document counts once, whatever its length
+    label_of = np.array(labels)
+    weight = (len(labels) / 2 / np.bincount(label_of))[label_of] / len(labels)  # both labels count alike
+    alike: dict[int, list[int]] = {}
+    for i, q in enumerate(sequences):
+        alike.setdefault(len(q).bit_length(), []).append(i)
+    batches = []
+    for at in alike.values():
+        size = np.array([len(sequences[i]) for i in at])
+        marks = np.zeros((len(at), size.max()), np.int16)
+        for row, i in enumerate(at):
+            marks[row, :size[row]] = sequences[i]
+        batches.append((marks, np.arange(size.max()) < size[:, None], np.eye(2)[label_of[at]],
+                        weight[at] / size))  # every document counts once, whatever its length
+    bits = np.hstack([(np.arange(1 << k)[:, None] >> np.arange(k)) & 1, np.ones((1 << k, 1), int)])
     m, v = np.zeros(2 * (k + 1) + 4), np.zeros(2 * (k + 1) + 4)
     for t in range(1, steps + 1):
-        s = x @ weights
-        alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        alpha[:, 0] = s[:, 0]
-        for i in range(1, longest):
-            alpha[:, i] = np.where(real[:, i, None], np.logaddexp.reduce(alpha[:, i - 1, :, None] + transition, axis=1) + s[:, i], alpha[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            beta[:, i] = np.where(real[:, i + 1, None], np.logaddexp.reduce(transition + (s[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2), 0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
-        off = (y[:, None, :] * real[..., None] - p) * per[:, None, None]
-        g_w = np.einsum("nlk,nlc->kc", x, off)
-        g_t = np.zeros((2, 2))
-        for i in range(1, longest):
-            q = np.exp(alpha[:, i - 1, :, None] + transition + (s[:, i] + beta[:, i])[:, None, :] - total[:, None, None])
-            g_t += ((y[:, :, None] * y[:, None, :] - q) * (per * real[:, i])[:, None, None]).sum(0)
+        table, off_sum, g_t = bits @ weights, np.zeros((1 << k, 2)), np.zeros((2, 2))
+        for marks, real, y, per in batches:
+            longest = marks.shape[1]
+            s = table[marks] * real[..., None]
+            alpha, beta = np.zeros(s.shape), np.zeros(s.shape)
+            alpha[:, 0] = s[:, 0]
+            for i in range(1, longest):
+                alpha[:, i] = np.where(real[:, i, None], np.logaddexp.reduce(alpha[:, i - 1, :, None] + transition, axis=1) + s[:, i], alpha[:, i - 1])
+            for i in range(longest - 2, -1, -1):
+                beta[:, i] = np.where(real[:, i + 1, None], np.logaddexp.reduce(transition + (s[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2), 0)
+            total = np.logaddexp.reduce(alpha[:, -1], axis=1)
+            p = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
+            off = (y[:, None, :] * real[..., None] - p) * per[:, None, None]
+            for c in range(2):
+                off_sum[:, c] += np.bincount(marks.ravel(), weights=off[..., c].ravel(), minlength=1 << k)
+            for i in range(1, longest):
+                q = np.exp(alpha[:, i - 1, :, None] + transition + (s[:, i] + beta[:, i])[:, None, :] - total[:, None, None])
+                g_t += ((y[:, :, None] * y[:, None, :] - q) * (per * real[:, i])[:, None, None]).sum(0)
+        g_w = bits.T @ off_sum
         grad = np.concatenate([(g_w - l2 * weights).ravel(), (g_t - l2 * transition).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -169,9 +177,12 @@ def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 100, ra
 
 
 def train_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
-              max_docs: int = 800, max_lines: int = 120) -> LineCrf:
+              max_docs: int = 800) -> LineCrf:
+    """Learn from at most ``max_docs`` labelled documents with lines a label."""
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
              .where(F.col("_id").isNotNull() & F.col("_y").isNotNull()).groupBy("_id").agg(F.min("_y").alias("_y")))
+    with_lines = docs.where(F.col(text).cast("string").rlike(r"[^ \t\n\r\x0B\f]")).select(F.col(id_col).alias("_id"))
+    known = known.join(with_lines, "_id", "left_semi")  # moves ids, no text
     chosen = None
     for y in (0, 1):
         rows = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
@@ -180,7 +191,7 @@ def train_crf(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     def run(batches):
         for b in batches:
             marks = [lines_of(t)[0] for t in b["_text"].to_pylist()]
-            ok = [i for i, m in enumerate(marks) if 0 < len(m) <= max_lines]
+            ok = [i for i, m in enumerate(marks) if m]
             yield {"y": b["_y"].take(ok), "marks": [np.array(marks[i], "<i2").tobytes() for i in ok]}
 
     sample = (docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))

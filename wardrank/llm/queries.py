@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontam, importance, jaccard, linecrf, packing, sharding, suffixes, tokencount, toxicity
+from . import (
+    brown, decontam, importance, jaccard, linecrf, packing, recompression, sharding, suffixes, tokencount, toxicity,
+)
 from .common import id_remainder, read_table, text_or_empty
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -96,6 +98,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text); in a tenth of them, by hash of the id, the
+    words from a place on repeat their first ``p``."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(text_or_empty(), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    cut = cut.withColumn("n", F.size(F.coalesce("w", F.array())).cast("long"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.expr("concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a) + 1, p), int((n - a) div p + 1))), 1, int(n - a)))")
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_periods(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = recompression.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = found.select("doc_id", "runs", "collapsed", longest.alias("b"), F.concat_ws("\n", listed, F.when(F.size("runs") > 0, "")).alias("list"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"),
+        (-F.col("b.p")).alias("period"), F.expr("1000 * b.length div -b.p").alias("exponent_milli"),
+        F.sha2("list", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -107,4 +134,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }

@@ -9,17 +9,17 @@ from tokenizers import Tokenizer
 
 from llm_fixtures import docs, none, rows  # noqa: F401
 from wardrank.llm import packing
-from wardrank.llm.queries import BPE_PATTERN, TOKENIZERS
+from wardrank.llm.queries import BPE_PATTERN, tokenizers
 
 
 @pytest.fixture(scope="module")
 def encode():
-    return packing.BpeEncoder(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
+    return packing.BpeEncoder(tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), BPE_PATTERN)
 
 
 @pytest.fixture(scope="module")
 def exact():
-    t = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t
 

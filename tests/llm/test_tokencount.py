@@ -5,7 +5,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from llm_fixtures import docs, none, rows  # noqa: F401
 from wardrank.llm import tokencount
-from wardrank.llm.queries import TOKENIZERS
+from wardrank.llm.queries import tokenizers
 
 
 def _reference(vocabulary, unk=0):
@@ -16,7 +16,7 @@ def _reference(vocabulary, unk=0):
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return tokencount.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return tokencount.read_vocabulary(tokenizers.path("piece_bpe_32k.model"))
 
 
 def test_counts_are_the_tokenizers(vocabulary, rows):

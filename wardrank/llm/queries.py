@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    brown, decontam, importance, jaccard, linecrf, packing, recompression, sharding, suffixes, tokencount, toxicity,
+    alignment, brown, decontam, importance, jaccard, linecrf, packing, recompression, sharding, suffixes, tokencount, toxicity,
 )
 from .common import id_remainder, read_table, text_or_empty
 from .oracle import ORACLE_SQL  # noqa: F401
 
-#: Where the vocabulary files of the public tokenizers lie.
-TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level BPE cuts a text before merging.
 BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -65,7 +64,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The pieces of all ``docs`` with their places in sequences of 2048."""
-    encode = packing.BpeEncoder(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BPE_PATTERN)
+    encode = packing.BpeEncoder(tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), BPE_PATTERN)
     pieces = packing.token_pieces(docs, encode)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -76,7 +75,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokencount.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    vocabulary = tokencount.read_vocabulary(tokenizers.path("piece_bpe_32k.model"))
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
@@ -123,6 +122,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("list", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = alignment.ByteTokens(tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50k.tiktoken"), BPE_PATTERN)
+    out = alignment.align(docs, a, alignment.PieceTokens(tokenizers.path("piece_bpe_32k.model")))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *out.columns[1:])
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -135,4 +141,5 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
 }

@@ -31,7 +31,7 @@ def test_stages_keep_the_columns(spark, docs, none, rows, tmp_path):
 def test_registered(spark):
     assert E.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_run(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     alignment, brown, decontam, importance, jaccard, linecrf, packing, recompression, sharding, suffixes, tokencount, toxicity,
+    wrapper,
 )
 from .common import id_remainder, read_table, text_or_empty
 from .oracle import ORACLE_SQL  # noqa: F401
@@ -129,6 +130,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *out.columns[1:])
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrapper.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -142,4 +148,5 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_alignment": op12_alignment,
+    "op13_html_text": op13_html_text,
 }

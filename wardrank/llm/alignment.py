@@ -279,7 +279,7 @@ def _chunks(batches, chunk_chars: int):
 
 
 def align(docs: DataFrame, encode_a: ByteTokens, encode_b: PieceTokens, id_col: str = "doc_id", text: str = "text",
-          chunk_chars: int = 8_000_000) -> DataFrame:
+          chunk_chars: int = 3_000_000) -> DataFrame:
     """A row per document: the id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``,
     ``n_best`` (links whose pair count is the highest of their B id),
     ``count_sum`` (of the links' pair counts), ``groups_sha256``."""

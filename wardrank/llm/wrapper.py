@@ -579,8 +579,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     read = stored(_read(source, held), "pages")
     trees = read.where("nodes is null").select("host", "shape", "stats")
     shapes = stored(_met(trees, F.xxhash64("host", "shape"), False), "shapes")
-    told = (read.where("nodes is not null").select("row", "host", "key", "nodes", "breaks", "texts")
-            .join(_plans(shapes, induce(shapes, fan_in)), ["host", "key"]))
+    plans = stored(_plans(shapes, induce(shapes, fan_in)), "plans")  # of known size: pages move only if it is large
+    told = read.where("nodes is not null").select("row", "host", "key", "nodes", "breaks", "texts").join(plans, ["host", "key"])
 
     def run(batches):
         for b in slices(batches, 1000):

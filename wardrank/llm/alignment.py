@@ -63,32 +63,28 @@ class ByteTokens:
         self.json = Path(json_path).read_text(encoding="utf-8")
         self.ranks = Path(ranks_path).read_bytes() if ranks_path else None
         self.pattern = pattern
-        self._made = None
+        self._exact = self._fast = None  # made where they are needed
 
     def __getstate__(self):
-        return self.__dict__ | {"_made": None}
+        return self.__dict__ | {"_exact": None, "_fast": None}
 
-    def _make(self):
-        from tokenizers import Tokenizer
+    def _encode(self, text: str) -> list[int]:
+        if self.ranks and not _PLAIN.search(text):
+            if self._fast is None:
+                import tiktoken
 
-        exact = Tokenizer.from_str(self.json)
-        exact.encode_special_tokens = True  # their strings in a text are ordinary text
-        fast = None
-        if self.ranks:
-            import tiktoken
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
+                self._fast = tiktoken.Encoding("bpe", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+            return self._fast.encode_ordinary(" " + text)
+        if self._exact is None:
+            from tokenizers import Tokenizer
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
-            fast = tiktoken.Encoding("bpe", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return exact, fast
+            self._exact = Tokenizer.from_str(self.json)
+            self._exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self._exact.encode(" " + text, add_special_tokens=False).ids
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        self._made = self._made or self._make()
-        exact, fast = self._made
-        slow = [k for k, t in enumerate(texts) if fast is None or _PLAIN.search(t)]
-        out: list = [None] * len(texts)
-        for k in slow:
-            out[k] = exact.encode(" " + texts[k], add_special_tokens=False).ids
-        return [x if x is not None else fast.encode_ordinary(" " + t) for x, t in zip(out, texts)]
+        return [self._encode(t) for t in texts]
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id: its entry, byte-level decoded."""
@@ -146,8 +142,10 @@ def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
 class _Side:
     """The tokens of one tokenizer over the stretches of a chunk."""
 
-    def __init__(self, ids: list[list[int]], token_bytes: pa.Array):
-        self.ids = pa.array(ids, pa.large_list(pa.int64()))
+    def __init__(self, encode, texts: pa.Array, token_bytes: pa.Array, at_once: int = 10_000):
+        kind = pa.large_list(pa.int32())
+        parts = [pa.array(encode(texts.slice(k, at_once).to_pylist()), kind) for k in range(0, len(texts), at_once)]
+        self.ids = pa.concat_arrays([pa.array([], kind), *parts])
         self.flat = pc.list_flatten(self.ids)
         self.owner = pc.list_parent_indices(self.ids)
         self.bytes = pc.take(token_bytes, self.flat)
@@ -213,16 +211,16 @@ def _chunk(ids: pa.Array, texts: list[str | None], encode_a, encode_b, bytes_a:
             stretches += parts
     coded = pa.array(stretches, pa.large_string()).dictionary_encode()
     words, distinct = coded.indices.to_numpy(), coded.dictionary
-    listed = distinct.to_pylist()
-    a, b = _Side(encode_a(listed), bytes_a), _Side(encode_b(listed), bytes_b)
+    del stretches
+    a, b = _Side(encode_a, distinct, bytes_a), _Side(encode_b, distinct, bytes_b)
     want = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), distinct.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-    good = np.logical_and(*(pc.equal(s.joined(), want).to_numpy(zero_copy_only=False) for s in (a, b))) if len(listed) else np.zeros(0, bool)
+    good = np.logical_and(*(pc.equal(s.joined(), want).to_numpy(zero_copy_only=False) for s in (a, b))) if len(distinct) else np.zeros(0, bool)
     ends = np.cumsum(counts)
     valid = (counts > 0) & (_sums((~good)[words], ends) == 0)
     words = words[np.repeat(valid, counts)]
     counts = np.where(valid, counts, 0)
     ends = np.cumsum(counts)
-    used = np.bincount(words, minlength=len(listed))
+    used = np.bincount(words, minlength=len(distinct))
     good &= used > 0
     words = (np.cumsum(good) - 1)[words] if len(words) else words
     a, b = a.kept(good), b.kept(good)
@@ -234,7 +232,7 @@ def _chunk(ids: pa.Array, texts: list[str | None], encode_a, encode_b, bytes_a:
     groups = pc.take(_group_texts(a, b, links), pa.array(words))
     texts_of = pc.binary_join(_lists(groups, ends), pa.scalar(";", pa.large_string()))
     sha = [hashlib.sha256(t.encode()).hexdigest() if v else "" for t, v in zip(texts_of.to_pylist(), valid)]
-    key = pc.add(pc.multiply(links["a"], pa.scalar(1 << 32)), links["b"])
+    key = pc.add(pc.multiply(links["a"].cast(pa.int64()), pa.scalar(1 << 32)), links["b"].cast(pa.int64()))
     weight = pc.take(pa.array(used[good]), links["stretch"])
     pairs = pa.table({"pair": key, "n": weight}).group_by("pair", use_threads=False).aggregate([("n", "sum")])
     rest = {"id": ids, **{c: _sums(x[words], ends) for c, x in per.items()}, "sha": sha, "words": counts}
@@ -279,7 +277,7 @@ def _chunks(batches, chunk_chars: int):
 
 
 def align(docs: DataFrame, encode_a: ByteTokens, encode_b: PieceTokens, id_col: str = "doc_id", text: str = "text",
-          chunk_chars: int = 3_000_000) -> DataFrame:
+          chunk_chars: int = 1_500_000) -> DataFrame:
     """A row per document: the id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``,
     ``n_best`` (links whose pair count is the highest of their B id),
     ``count_sum`` (of the links' pair counts), ``groups_sha256``."""
@@ -293,6 +291,7 @@ def align(docs: DataFrame, encode_a: ByteTokens, encode_b: PieceTokens, id_col:
             pairs, rest = _chunk(ids, texts, encode_a, encode_b, *tables, split)
             lists = {c: pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs[n].combine_chunks())
                      for c, n in (("pairs", "pair"), ("times", "n_sum"))}
+            pa.default_memory_pool().release_unused()
             yield {"chunk": [(TaskContext.get().partitionId() << 32) + k], **lists, "rest": [rest]}
 
     chunks = stored(map_arrow(source, fields("chunk long", "pairs array<long>", "times array<long>", "rest binary"), run), "aligned")

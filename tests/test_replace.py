@@ -1,0 +1,66 @@
+"""Replacing the stored tables, and what readers see meanwhile."""
+
+import pytest
+from conftest import comp, hosp
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from wardrank.sources import files
+
+
+def _pair(tables, n):
+    return tables([hosp(f"F{n}", state=f"S{n}")], [comp(f"F{n}", "MORT_30_AMI", n, 100)])
+
+
+def _seen(pair):
+    c, h = pair
+    return {r.facility_id for r in c.collect()}, {r.facility_id for r in h.collect()}
+
+
+def test_a_load_that_fails_between_the_tables_is_not_seen(spark, tables, tmp_path):
+    root = str(tmp_path / "db")
+    c1, h1 = _pair(tables, 1)
+    files.save_tables(c1, h1, root)
+    opened = files.load_tables(spark, root)
+    c2, h2 = _pair(tables, 2)
+    broken = h2.withColumn("city", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(PySparkException, match="killed"):
+        files.save_tables(c2, broken, root)  # the facts are written by then
+    assert any((p / files.COMPLICATIONS).exists() and not (p / files.HOSPITALS / "_SUCCESS").exists()
+               for p in (tmp_path / "db").glob("load-*"))
+    assert _seen(files.load_tables(spark, root)) == ({"F1"}, {"F1"}) == _seen(opened)
+    files.save_tables(c2, h2, root)
+    assert _seen(files.load_tables(spark, root)) == ({"F2"}, {"F2"})
+    assert _seen(opened) == ({"F1"}, {"F1"})  # an open pair stays one load
+
+
+def test_versions(spark, tables, tmp_path):
+    root = str(tmp_path / "db")
+    with pytest.raises(FileNotFoundError):
+        files.load_tables(spark, root)
+    for n in (1, 2, 3):
+        paths = files.save_tables(*_pair(tables, n), root)
+    assert [r.version for r in files.loads(spark, root).collect()] == [3, 2, 1]
+    assert paths["hospitals"].endswith(f"{files.loads(spark, root).first().load}/hospitals")
+    assert _seen(files.load_tables(spark, root, version=2)) == ({"F2"}, {"F2"})
+    with pytest.raises(FileNotFoundError):
+        files.load_tables(spark, root, version=9)
+
+
+def test_both_tables_come_from_one_look_at_the_manifest(spark, tables, tmp_path, monkeypatch):
+    root = str(tmp_path / "db")
+    files.save_tables(*_pair(tables, 1), root)
+    looked = []
+    real = files.loads
+    monkeypatch.setattr(files, "loads", lambda *a: looked.append(a) or real(*a))
+    files.load_tables(spark, root)
+    assert len(looked) == 1
+
+
+def test_fetch_is_bounded_and_streams(spark):
+    df = spark.range(1000).repartition(8)
+    assert sum(1 for _ in files.fetch(df, 1000)) == 1000
+    rows = files.fetch(df, 10)
+    with pytest.raises(ValueError, match="more than 10"):
+        list(rows)
+    assert list(files.fetch(df.limit(0), 0)) == []

@@ -31,15 +31,19 @@ def load_csv_drops(
     partition_by: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    line_breaks: bool = False,
 ) -> StreamingQuery:
     """Start a stream that appends every new CSV file in ``landing_dir`` to
-    the Parquet table at ``table_dir`` (canonical column names)."""
+    the Parquet table at ``table_dir`` (canonical column names).
+
+    ``line_breaks``: quoted fields may hold line breaks; a file is one task's."""
     reader = (
         spark.readStream.schema(all_string_schema(header))
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .option("escape", '"')
+        .option("multiLine", line_breaks)
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

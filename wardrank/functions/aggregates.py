@@ -62,6 +62,24 @@ def plain_avg(prefix: str = "_m", dp: int = 2) -> Column:
     return ratio_half_up(f"{prefix}_num", f"{prefix}_den", dp)
 
 
+def co_moments(x, y, prefix: str = "_c") -> list[Column]:
+    """Aggregate columns of the exact sums that a correlation needs, over the
+    rows where both integers (or integral decimals) are present."""
+    a, b = (_c(v).cast("decimal(18,0)") for v in (x, y))
+    both = a.isNotNull() & b.isNotNull()
+    parts = {"n": F.lit(1), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    return [F.sum(F.when(both, v)).cast("decimal(38,0)").alias(f"{prefix}_{k}") for k, v in parts.items()]
+
+
+def exact_corr(prefix: str = "_c") -> Column:
+    """Finish :func:`co_moments`: Pearson's correlation, NULL where a variance
+    is 0.  The co-moments are whole numbers, rounded to doubles once, so any
+    partitioning gives the same bits."""
+    n, x, y, xx, yy, xy = (F.col(f"{prefix}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+    both, own_x, own_y = ((n * p - q * r).cast("double") for p, q, r in ((xy, x, y), (xx, x, x), (yy, y, y)))
+    return F.when((own_x > 0) & (own_y > 0), both / (F.sqrt(own_x) * F.sqrt(own_y)))
+
+
 def distinct_in_domain(col, domain) -> Column:
     """Exact ``count(DISTINCT col)`` when ``col`` can only take the values in ``domain``.
 

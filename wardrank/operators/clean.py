@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import count_value, reported, score_value
+from ..functions.casts import count_value, reported, rounded_score, score_value
 from ..sources.schema import MIN_PATIENTS, MORTALITY_MEASURES
 
 DIMENSION_COLUMNS = ("facility_id", "state", "city", "hospital_type", "ownership")
@@ -60,7 +60,8 @@ def clean_mortality(
 
 def rejected_rows(complications: DataFrame, measures=MORTALITY_MEASURES) -> DataFrame:
     """Per measure: reported rows that :func:`clean_mortality` drops because a
-    value does not parse (sentinels and NULLs are not reported values)."""
+    value does not parse (sentinels and NULLs are not reported values), and
+    scores that are kept rounded."""
     bad_score = reported("score") & score_value("score").isNull()
     bad_count = reported("denominator") & count_value("denominator").isNull()
     return (
@@ -68,7 +69,8 @@ def rejected_rows(complications: DataFrame, measures=MORTALITY_MEASURES) -> Data
         .groupBy("measure_id")
         .agg(F.count(F.lit(1)).alias("total_rows"),
              F.count(F.when(bad_score, 1)).alias("rejected_scores"),
-             F.count(F.when(bad_count, 1)).alias("rejected_denominators"))
+             F.count(F.when(bad_count, 1)).alias("rejected_denominators"),
+             F.count(F.when(rounded_score("score"), 1)).alias("rounded_scores"))
         .orderBy("measure_id")
     )
 

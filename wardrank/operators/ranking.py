@@ -64,14 +64,30 @@ def top_k(df: DataFrame, k: int, order, name: str, tiebreak, partition_by=None)
     return with_rank(first, order, name, partition_by)
 
 
+def edges(df: DataFrame, k: int, value: str) -> tuple[Column, Column]:
+    """The values that the ranks 1 to ``k`` reach, from below and from above.
+
+    Both come from one histogram of the distinct values: its k lowest and its
+    k highest values suffice, with running counts from either end.  NULL values
+    have no rank.
+    """
+    v = F.col(value)
+    hist = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def end(order: Column, pick, name: str) -> DataFrame:
+        """At most k rows: a value counts if fewer than k rows come before it."""
+        before = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        near = hist.orderBy(order).limit(k).withColumn("_before", F.coalesce(before, F.lit(0)))
+        return near.agg(pick(F.when(F.col("_before") < k, F.col("_v"))).alias(name))
+
+    return end(F.asc("_v"), F.max, "low").scalar(), end(F.desc("_v"), F.min, "high").scalar()
+
+
 def within_rank(df: DataFrame, k: int, value: str, descending: bool = False) -> DataFrame:
-    """Rows whose rank by ``value`` is at most ``k``, all ties kept: the k-th
-    value is found by an ordered limit, then rows are filtered where they are.
-    NULL values have no rank."""
-    key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    first = df.select(value).filter(F.col(value).isNotNull()).orderBy(key).limit(k)
-    edge = first.agg((F.min if descending else F.max)(value).alias("e")).scalar()
-    return df.filter(F.col(value) >= edge if descending else F.col(value) <= edge)
+    """Rows whose rank by ``value`` is at most ``k``, all ties kept, filtered
+    where they are."""
+    low, high = edges(df, k, value)
+    return df.filter(F.col(value) >= high if descending else F.col(value) <= low)
 
 
 def histogram_rank(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:

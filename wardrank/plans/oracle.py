@@ -142,14 +142,16 @@ def _recommend(state: str, measure: str, gap: bool = False) -> str:
 
 
 def _eligible(measure: str, state: str | None = None) -> str:
-    extra = f" AND h.state = '{state}'" if state else ""
-    return _with() + f"""
-SELECT h.state, COUNT(DISTINCT c.facility_id) AS total_hospitals,
-       COUNT(DISTINCT CASE WHEN c.score NOT IN ({_SENT}) AND {_T} IS NOT NULL AND {_D} >= 25
-                           THEN c.facility_id END) AS eligible_hospitals
-FROM complications c JOIN hospitals h ON c.facility_id = h.facility_id
-WHERE c.measure_id = '{measure}'{extra}
-GROUP BY h.state"""
+    flags = f"""
+flag AS (
+    SELECT facility_id, MAX(CASE WHEN score NOT IN ({_SENT}) AND {_T} IS NOT NULL AND {_D} >= 25 THEN 1 ELSE 0 END) AS good
+    FROM complications c WHERE measure_id = '{measure}' GROUP BY facility_id
+)"""
+    where = f"\nWHERE state = '{state}'" if state else ""
+    return _with(flags) + f"""
+SELECT state, COUNT(*) AS total_hospitals, CAST(SUM(good) AS BIGINT) AS eligible_hospitals
+FROM hospitals JOIN flag USING (facility_id){where}
+GROUP BY state"""
 
 
 def _vs_national(key: str, having: str) -> str:
@@ -217,8 +219,11 @@ def _volume_bands(edge: int) -> str:
 SELECT CASE WHEN total_patients < {edge} THEN 'small' ELSE 'large' END AS volume_band,
        COUNT(*) AS num_hospitals,
        {_h2("(2 * SUM(wh) + COUNT(wh)) // (2 * COUNT(wh))")} AS mean_weighted_mortality,
-       ROUND(CORR(CAST(total_patients AS DOUBLE), {_h2("wh")}), 6) AS corr_volume_mortality
-FROM fs GROUP BY 1"""
+       CAST(COUNT(*) * SUM(p * y) - SUM(p) * SUM(y) AS DOUBLE)
+         / CASE WHEN COUNT(*) * SUM(p * p) > SUM(p) * SUM(p) AND COUNT(*) * SUM(y * y) > SUM(y) * SUM(y)
+           THEN SQRT(CAST(COUNT(*) * SUM(p * p) - SUM(p) * SUM(p) AS DOUBLE))
+                * SQRT(CAST(COUNT(*) * SUM(y * y) - SUM(y) * SUM(y) AS DOUBLE)) END AS corr_volume_mortality
+FROM (SELECT *, CAST(total_patients AS HUGEINT) AS p, CAST(wh AS HUGEINT) AS y FROM fs) GROUP BY 1"""
 
 
 def _va_eligible(measure: str) -> str:
@@ -235,7 +240,8 @@ ORACLE_SQL: dict[str, str] = {
 SELECT measure_id, COUNT(*) AS total_rows,
        COUNT(*) FILTER (score NOT IN ({_SENT}) AND TRY_CAST(score AS DOUBLE) IS NULL) AS rejected_scores,
        COUNT(*) FILTER (denominator NOT IN ({_SENT}) AND TRY_CAST(denominator AS DOUBLE) IS NULL)
-         AS rejected_denominators
+         AS rejected_denominators,
+       COUNT(*) FILTER (TRY_CAST(score AS DOUBLE) IS NOT NULL AND regexp_matches(score, '[.][0-9]{{6}}[0-9]*[1-9]')) AS rounded_scores
 FROM fine WHERE measure_id IN ({_MEASURES}) GROUP BY measure_id""",
     "fine_scores_clean": _with(_FINE) + """
 SELECT facility_id, facility_name, state, ownership, measure_id, measure_name,
@@ -405,6 +411,46 @@ FROM top JOIN ec ON top.state = ec.state AND top.measure_id = ec.measure_id""",
 }
 
 
+def _sniff(table: str, columns: str, tolerance: float) -> str:
+    """Types of the columns by their own patterns, one column at a time."""
+    parts = []
+    for at, c in enumerate(columns.split()):
+        parts.append(f"""
+SELECT {at} AS at, '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) FILTER ({c} IS NULL) AS n_null,
+       COUNT(*) FILTER ({c} IN ({_SENT})) AS n_sentinel, COUNT(*) FILTER ({c} NOT IN ({_SENT})) AS v,
+       COUNT(*) FILTER (regexp_full_match({c}, '[+-]?(0|[1-9][0-9]*)')) AS w,
+       COUNT(*) FILTER (regexp_full_match({c}, '[+-]?(0|[1-9][0-9]*)[.][0-9]+')) AS f,
+       MAX(length(split_part({c}, '.', 1))) FILTER (regexp_full_match({c}, '(0|[1-9][0-9]*)([.][0-9]+)?')) AS before,
+       COALESCE(MAX(length(split_part({c}, '.', 2))) FILTER (regexp_full_match({c}, '(0|[1-9][0-9]*)[.][0-9]+')), 0) AS after
+FROM {table}""")
+    return f""", st AS ({" UNION ALL ".join(parts)}),
+ty AS (SELECT *, v > 0 AND v - w <= v * {tolerance} AS whole, v > 0 AND v - w - f <= v * {tolerance} AS num FROM st)
+SELECT column_name AS "column", CASE WHEN whole THEN 'bigint'
+            WHEN num THEN 'decimal(' || (before + after) || ',' || after || ')' ELSE 'string' END AS "type",
+       n_rows, n_null, n_sentinel, CASE WHEN whole THEN v - w WHEN num THEN v - w - f ELSE 0 END AS n_violations
+FROM ty"""
+
+
+_HOSPITAL = "facility_id facility_name city state hospital_type ownership"
+_COMPLICATION = "facility_id facility_name measure_id measure_name compared denominator score"
+
+ORACLE_SQL |= {
+    "table_replaced": ORACLE_SQL["table_roundtrip"],
+    "scan_csv_line_breaks": _with() + """
+SELECT * REPLACE (replace(facility_name, ' Hospital ', ' "Hospital"' || chr(10)) AS facility_name) FROM hospitals""",
+    "sniff_hospitals": _with() + _sniff("hospitals", _HOSPITAL, 0.0),
+    "sniff_complications": _with() + _sniff("complications", _COMPLICATION, 0.0),
+    "sniff_fine_scores": _with(_FINE) + _sniff("fine", _COMPLICATION, 0.05),
+    "measure_catalog_of_loads": ORACLE_SQL["measure_catalog"],
+    "sql_recommend": ORACLE_SQL["recommend_ny_ami"],
+    "sql_eligible": ORACLE_SQL["eligible_one_state"],
+    "sql_eligible_by_state": ORACLE_SQL["eligible_by_state"],
+    "sql_composite": ORACLE_SQL["composite_weighted"],
+    "sql_distribution": ORACLE_SQL["measure_distribution"],
+    "sql_outliers": ORACLE_SQL["outliers"],
+}
+
+
 def analysis_sql(name: str) -> str:
     """The oracle statement without the fixture CTEs, for DuckDB views named
     ``hospitals`` and ``complications`` over stored tables (bench baseline)."""

@@ -18,6 +18,7 @@ from ..functions.casts import count_value, reported, score_value
 from ..functions.labels import fixed1
 from ..operators.clean import dimension, eligible_rows
 from ..operators.ranking import top_k
+from ..operators.reduce import near_keys
 from ..sources.schema import BETTER, MIN_PATIENTS, MORTALITY_MEASURES, TOP_RECOMMEND
 
 SLICE = ("state", "measure_id")
@@ -94,15 +95,30 @@ def _facility_eligibility(complications: DataFrame, hospitals: DataFrame, measur
     (facility, measure), by partial aggregation, before they meet the
     dimension; facilities and flags are then counted per group.  A row is
     eligible on the terms of ``eligible_rows``: both values are reported and
-    parse, and there are enough patients.
+    parse, and there are enough patients.  For one ``state`` the facts are
+    reduced to its facilities in the scan (``operators.reduce``).
     """
+    dim = dimension(hospitals).select("facility_id", "state")
+    if state is not None:
+        dim = dim.filter(F.col("state") == state)
+        complications = near_keys(complications, "facility_id", dim)
     cond = reported("score") & score_value("score").isNotNull() & reported("denominator") \
         & (count_value("denominator") >= min_patients)
     flags = complications.filter(F.col("measure_id").isin(*measures)) \
         .groupBy("measure_id", "facility_id").agg(
             F.max(F.coalesce(cond, F.lit(False)).cast("int")).alias("eligible"))
-    rows = flags.join(dimension(hospitals).select("facility_id", "state"), "facility_id")
-    return rows if state is None else rows.filter(F.col("state") == state)
+    return flags.join(dim, "facility_id")
+
+
+def facility_patients(complications: DataFrame, hospitals: DataFrame, measures=MORTALITY_MEASURES) -> DataFrame:
+    """One row per (state, measure, facility): the most patients of a row with
+    a usable score and count, NULL if there is none.  Any threshold on the
+    patients can be applied to it."""
+    usable = reported("score") & score_value("score").isNotNull() & reported("denominator")
+    most = complications.filter(F.col("measure_id").isin(*measures)).groupBy("measure_id", "facility_id").agg(
+        F.max(F.when(usable, count_value("denominator"))).alias("patients"))
+    return most.join(dimension(hospitals).select("facility_id", "state"), "facility_id").select(
+        "state", "measure_id", "facility_id", "patients")
 
 
 def eligibility_counts(complications: DataFrame, hospitals: DataFrame,

@@ -19,9 +19,11 @@ from ..session import scratch_path
 from ..sources import files
 from ..sources.fixture import cms_fixture
 from ..sources.schema import COMPLICATION_COLUMNS, HOSPITAL_COLUMNS
+from ..sources.sniff import sniff_types
 from ..streaming.landing import load_complication_drops
 from . import recommend as rec
 from . import reports as rep
+from .views import register_functions
 
 NY, TX, MS = "NATION_5", "NATION_POOL", "NATION_24"
 # total patients stay under 500 below sf0.1, so the tests split at 250
@@ -60,6 +62,54 @@ def _table_roundtrip(which: int) -> Query:
     return run
 
 
+def _table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts after a first load of a part of them was replaced."""
+    complications, hospitals = cms_fixture(spark, sf_dir)
+    root = scratch_path(spark, "tables")
+    files.save_tables(complications.filter("score <> 'Not Available'"), hospitals.limit(0), root)
+    files.save_tables(complications, hospitals, root)
+    stored, dim = files.load_tables(spark, root)
+    return stored.join(dim.select("facility_id"), "facility_id", "left").select(*stored.columns)
+
+
+def _broken_names(hospitals: DataFrame) -> DataFrame:
+    """The dimension with a line break and a quote in each name."""
+    return hospitals.withColumn("facility_name", F.regexp_replace("facility_name", " Hospital ", ' "Hospital"\n'))
+
+
+def _scan_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, hospitals = cms_fixture(spark, sf_dir)
+    root = scratch_path(spark, "csv")
+    files.write_cms_csv(_broken_names(hospitals).repartition(4, "facility_id"), f"{root}/hospitals", HOSPITAL_COLUMNS)
+    return files.read_hospitals_csv(spark, f"{root}/hospitals", line_breaks=True)
+
+
+def _sniffed(fine: bool, which: str, tolerance: float = 0.0) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        complications, hospitals = cms_fixture(spark, sf_dir)
+        root = scratch_path(spark, "csv")
+        if which == "hospitals":
+            files.write_cms_csv(hospitals, f"{root}/{which}", HOSPITAL_COLUMNS)
+            return sniff_types(files.read_hospitals_csv(spark, f"{root}/{which}"), tolerance=tolerance)
+        files.write_cms_csv(with_fine_scores(complications) if fine else complications, f"{root}/{which}", COMPLICATION_COLUMNS)
+        return sniff_types(files.read_complications_csv(spark, f"{root}/{which}"), tolerance=tolerance)
+    return run
+
+
+def _sql(statement: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_functions(spark, *cms_fixture(spark, sf_dir), prefix="w_")
+        return spark.sql(statement)
+    return run
+
+
+def _loads_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measure catalog from the bitmaps of two loads that share facilities."""
+    complications, _ = cms_fixture(spark, sf_dir)
+    usable = F.coalesce(F.col("score") != "Not Available", F.lit(False))
+    return rep.measure_catalog_of_loads([complications.filter(usable), complications.filter(~usable)])
+
+
 def with_fine_scores(complications: DataFrame) -> DataFrame:
     """The fact table with finer and larger values, as text: scores get two more
     decimals from the facility id (one facility in a hundred 10,000 more),
@@ -113,6 +163,11 @@ QUERIES: dict[str, Query] = {
     "scan_csv_complications": _scan_csv("complications"),
     "table_roundtrip": _table_roundtrip(0),
     "table_roundtrip_hospitals": _table_roundtrip(1),
+    "table_replaced": _table_replaced,
+    "scan_csv_line_breaks": _scan_line_breaks,
+    "sniff_hospitals": _sniffed(False, "hospitals"),
+    "sniff_complications": _sniffed(False, "complications"),
+    "sniff_fine_scores": _sniffed(True, "complications", tolerance=0.05),
     "stream_load": _stream_load,
     # cleaning, catalog, distribution
     "clean_mortality": _on_fixture(rep.clean_rows),
@@ -121,6 +176,7 @@ QUERIES: dict[str, Query] = {
     "fine_scores_states": _on_fine_scores(rep.state_ranking),
     "fine_scores_gap": _on_fine_scores(rep.gap_to_national),
     "measure_catalog": _on_fixture(rep.measure_catalog),
+    "measure_catalog_of_loads": _loads_catalog,
     "measure_distribution": _on_fixture(rep.measure_distribution),
     "outliers": _on_fixture(rep.outliers),
     # facilities
@@ -168,4 +224,11 @@ QUERIES: dict[str, Query] = {
     "top_spread": _on_fixture(rec.top_spread),
     "system_repeat": _on_fixture(rec.system_repeat),
     "recommend_reliability": _on_fixture(rec.recommend_reliability),
+    # SQL table functions
+    "sql_recommend": _sql(f"SELECT * FROM w_recommend('{NY}', 'MORT_30_AMI', 5)"),
+    "sql_eligible": _sql(f"SELECT * FROM w_eligible_hospitals('MORT_30_HF', in_state => '{MS}')"),
+    "sql_eligible_by_state": _sql("SELECT * FROM w_eligible_hospitals('MORT_30_HF')"),
+    "sql_composite": _sql("SELECT * FROM w_composite(k => 20, min_measures => 4)"),
+    "sql_distribution": _sql("SELECT * FROM w_distribution('MORT_30_AMI')"),
+    "sql_outliers": _sql("SELECT * FROM w_outlier_hospitals('MORT_30_AMI')"),
 }

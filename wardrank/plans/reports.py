@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import ratio_half_up, share_pct, weighted_parts, weighted_avg
+from ..functions.aggregates import co_moments, exact_corr, ratio_half_up, share_pct, weighted_avg, weighted_parts
 from ..functions.casts import reported, score_value
 from ..functions.labels import hospital_label, measure_label, ownership_group
 from ..operators.clean import clean_mortality, dimension
+from ..operators.distinct import distinct_partials, number_keys, roll_up
 from ..operators.metrics import (
     exact_plain_key,
     exact_weighted_key,
@@ -24,7 +25,7 @@ from ..operators.metrics import (
     rounded_score,
     weighted_rate,
 )
-from ..operators.ranking import histogram_rank, top_k, with_rank, within_rank
+from ..operators.ranking import edges, histogram_rank, top_k, with_rank
 from ..session import scratch_path
 from ..sources.schema import (
     MIN_MEASURES,
@@ -51,6 +52,19 @@ def measure_catalog(complications: DataFrame, hospitals: DataFrame | None = None
     )
 
 
+def measure_catalog_of_loads(loads: list[DataFrame]) -> DataFrame:
+    """:func:`measure_catalog` over several loads of facts, each read once: its
+    facilities are numbered on, its bitmaps stored; the counts are rolled up
+    from the stored bitmaps."""
+    by, numbers, partials = ["measure_id", "measure_name"], None, None
+    for facts in loads:
+        numbers = _stored(number_keys(facts, "facility_id", numbers), "numbers")
+        part = _stored(distinct_partials(facts, numbers, "facility_id", by), "bitmaps")
+        partials = part if partials is None else partials.unionByName(part)
+    return roll_up(partials, by, "num_hospitals").select("measure_id", "measure_name", "num_hospitals") \
+        .orderBy(F.desc("num_hospitals"), "measure_id", "measure_name")
+
+
 def measure_distribution(complications: DataFrame, hospitals: DataFrame | None = None,
                          measure: str = "MORT_30_AMI") -> DataFrame:
     """Rows per national-comparison class for one measure, with share in % (1 dp).
@@ -86,6 +100,13 @@ def _facility_scores(complications, hospitals, attrs, min_measures, name=True):
                           min_measures=min_measures)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def composite_weighted(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACILITIES,
                        min_measures: int = MIN_MEASURES) -> DataFrame:
     """Top-k facilities by volume-weighted mortality over the five measures.
@@ -118,11 +139,7 @@ def composite_ranked(complications: DataFrame, hospitals: DataFrame,
         rounded_score("_max").alias("worst_measure"),
         "total_patients",
     )
-    spark = complications.sparkSession
-    path = scratch_path(spark, "facility-scores")
-    flat.write.parquet(path)
-    stored = spark.read.schema(flat.schema).parquet(path)
-    return histogram_rank(stored, "weighted_avg_mortality", "quality_rank") \
+    return histogram_rank(_stored(flat, "facility-scores"), "weighted_avg_mortality", "quality_rank") \
         .orderBy("quality_rank", "facility_id")
 
 
@@ -146,21 +163,22 @@ def best_worst(complications: DataFrame, hospitals: DataFrame, k: int = TOP_FACI
                min_measures: int = MIN_MEASURES) -> DataFrame:
     """Best and worst k facilities (ties kept) as ``Name (ST)`` rows, tagged.
 
-    Two filtered branches over one facility aggregate (its shuffle is reused),
-    each cut at its k-th value, concatenated with bag semantics: a facility in
-    both lists appears twice.
+    The finished facility scores, two columns a facility, are stored once in
+    the shared scratch folder.  Both edges come from one histogram of them, and
+    one pass puts every row into the lists it belongs to (bag semantics: a
+    facility in both lists appears twice).
     """
     scores = _facility_scores(complications, hospitals, ("state",), min_measures)
-    flat = scores.select(
+    flat = _stored(scores.select(
         hospital_label().alias("hospital"),
         weighted_rate().alias("weighted_avg_mortality"),
-    )
-    best = within_rank(flat, k, "weighted_avg_mortality")
-    worst = within_rank(flat, k, "weighted_avg_mortality", descending=True)
+    ), "facility-rates")
+    low, high = edges(flat, k, "weighted_avg_mortality")
+    rate = F.col("weighted_avg_mortality")
+    lists = F.array_compact(F.array(F.when(rate <= low, F.lit(f"Top {k}")), F.when(rate >= high, F.lit(f"Bottom {k}"))))
     return (
-        best.select("hospital", "weighted_avg_mortality", F.lit(f"Top {k}").alias("category"))
-        .unionByName(worst.select("hospital", "weighted_avg_mortality",
-                                  F.lit(f"Bottom {k}").alias("category")))
+        flat.filter((rate <= low) | (rate >= high))
+        .select("hospital", "weighted_avg_mortality", F.explode(lists).alias("category"))
         .orderBy("weighted_avg_mortality", "category", "hospital")
     )
 
@@ -182,21 +200,22 @@ def volume_band_quality(complications: DataFrame, hospitals: DataFrame,
                         edge: int = VOLUME_BAND_EDGE,
                         min_measures: int = MIN_MEASURES) -> DataFrame:
     """Facilities per volume band (total patients below / at-or-above ``edge``):
-    count, mean of facility weighted mortality (2 dp) and corr(volume, mortality)."""
+    count, mean of facility weighted mortality (2 dp) and the correlation of
+    volume and mortality, from exact sums (:func:`exact_corr`)."""
     scores = _facility_scores(complications, hospitals, (), min_measures, name=False)
     fac = scores.select(
         F.when(F.col("total_patients") < edge, "small").otherwise("large").alias("volume_band"),
         "total_patients",
         weighted_avg("_w").alias("w"),
     )
+    moments = co_moments("total_patients", F.col("w") * 100)
     return (
         fac.groupBy("volume_band")
         .agg(F.count(F.lit(1)).alias("num_hospitals"),
-             F.sum("w").alias("_s"), F.count("w").alias("_c"),
-             F.corr(F.col("total_patients").cast("double"), F.col("w").cast("double")).alias("_r"))
+             F.sum("w").alias("_s"), F.count("w").alias("_c"), *moments)
         .select("volume_band", "num_hospitals",
                 ratio_half_up("_s", "_c", 2).cast("double").alias("mean_weighted_mortality"),
-                F.round("_r", 6).alias("corr_volume_mortality"))
+                exact_corr().alias("corr_volume_mortality"))
         .orderBy("volume_band")
     )
 

@@ -54,7 +54,7 @@ def _whole(pieces, rows, exact, capacity):
 
 
 def test_round_trip_and_fill(docs, rows, encode, exact):
-    for options in ({}, {"part_items": 9, "fan_in": 2}, {"part_items": 9, "fan_in": 3, "pass_on": 2}):
+    for options in ({}, {"part_items": 9, "fan_in": 2}, {"part_items": 9, "fan_in": 3}, {"part_items": 30, "fan_in": 8}):
         pieces = packing.token_pieces(docs, encode, capacity=512).withColumn("crc", F.crc32("ids")).drop("ids")
         n, total = _whole(packing.pack(pieces, capacity=512, **options).collect(), rows, exact, 512)
         assert n <= total / 512 * (1.1 if options else 1.03) + 1

@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 from conftest import SF01
-from llm_fixtures import none  # noqa: F401
+from llm_fixtures import docs, none, rows  # noqa: F401
 from wardrank.llm import queries, toxicity
 
 
@@ -43,3 +44,42 @@ def test_query_learns_nothing_from_held_out_labels(spark):
     out = queries.op10_toxicity(spark, SF01).collect()
     assert len(out) == 1000 and {r.predicted == int(r.score >= 0.5) for r in out} == {True}
     assert 0 < sum(r.held_out for r in out) < 400
+
+
+def test_risk_over_all_documents_equals_plain_numpy(spark, docs, rows):
+    """Every sum over the corpus against whole feature rows, and the fit
+    against the same steps in memory."""
+    bits = 12
+    all_rows = [toxicity.word_features(r[1], 1 << bits) for r in rows]
+    positive = [toxicity.word_features(r[1], 1 << bits) for r in rows[10:30]]
+    seen = toxicity.frequencies(positive, 1 << bits)
+    sets = toxicity.feature_sets(docs, "text", seen >= 8)
+    common, n = toxicity.corpus_frequencies(sets, 1 << bits)
+    plain = toxicity.frequencies(all_rows, 1 << bits)
+    assert n == len(rows) and (common == np.where(seen >= 8, plain, 0)).all()
+    active = toxicity.active_places(seen, len(positive), common, n, min_ratio=1.0)
+    assert len(active) > 3
+    column = np.full(1 << bits, -1, np.int32)
+    column[active] = np.arange(len(active))
+    whole = toxicity._Sparse(all_rows, column)
+
+    def in_memory(t):
+        z = whole.dot(t[:-1]) + t[-1]
+        pull = 1 / (1 + np.exp(-z))
+        return np.logaddexp(0, z).sum(), np.append(whole.pull(pull, len(active)), pull.sum()), whole.n
+
+    theta = np.linspace(-1, 1, len(active) + 1)
+    for got, want in zip(toxicity.unlabelled_risk(sets, column, theta), in_memory(theta)):
+        assert np.allclose(got, want)
+    p = toxicity._Sparse(positive, column)
+    spread = toxicity.refine(p, lambda t: toxicity.unlabelled_risk(sets, column, t), theta * 0, 0.2, 0.01, passes=8)
+    assert np.allclose(spread, toxicity.refine(p, in_memory, theta * 0, 0.2, 0.01, passes=8))
+    far = toxicity.refine(p, in_memory, theta * 0, 0.2, 0.01, passes=500, settled=0)
+
+    def risk(t):
+        zp, (total, _, n) = p.dot(t[:-1]) + t[-1], in_memory(t)
+        return (0.2 * np.logaddexp(0, -zp).mean() + max(0, total / n - 0.2 * np.logaddexp(0, zp).mean()) + 0.005 * (t[:-1] ** 2).sum())
+
+    rng = np.random.default_rng(1)
+    assert risk(far) < risk(theta * 0)
+    assert all(risk(far) <= risk(far + 0.05 * rng.normal(size=len(far))) + 1e-4 for _ in range(50))

@@ -11,8 +11,9 @@ bound), which must leave room for the whole window (length bound); then all
 words are compared.
 
 The documents are never moved.  The items are taken in blocks of bounded
-size; each block is sent to all tasks and gives two passes, one that counts
-its shingles over the whole documents and one that joins.
+size; each block is sent to all tasks.  It gives one pass over the documents,
+which counts its shingles; one more pass joins all blocks, one after the other,
+so the cost grows in proportion to the blocks.
 
 Defined cases: null and empty texts have no words and no hits; an item
 without words has no windows; items with equal ids count once; a null item id
@@ -70,13 +71,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def _join_block(docs: DataFrame, text: str, block: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
+def _join_block(docs: DataFrame, source: DataFrame, text: str, block: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
+    """``docs`` joined with one more block, whose shingles are counted over the
+    ``source`` of the documents: never through the joins of earlier blocks."""
     windows: dict[bytes, set[str]] = {}
     for item, words in block:
         for w in windows_of(words, width):
             windows.setdefault(b" ".join(w), set()).add(item)
     wanted = frozenset(s for w in windows for s in _shingles(w.split(b" ")))
-    count = _count_shingles(docs, text, wanted) if wanted else {}
+    count = _count_shingles(source, text, wanted) if wanted else {}
     prefix: dict[bytes, set[tuple[int, int]]] = {}  # rarest shingle -> (place in the window, window's words)
     for w in windows:
         words = w.split(b" ")
@@ -129,11 +132,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     for item, t in rows.toLocalIterator():  # one partition of items at a time
         words = words_of(t)
         if held and held + len(words) > block_words:
-            out, block, held, blocks = _join_block(out, text, block, width), [], 0, blocks + 1
+            out, block, held, blocks = _join_block(out, docs, text, block, width), [], 0, blocks + 1
         if words:
             block.append((item, words))
             held += len(words)
-    return _join_block(out, text, block, width) if block or not blocks else out
+    return _join_block(out, docs, text, block, width) if block or not blocks else out
 
 
 def hit_words(spans: str = "hit_spans"):

@@ -335,11 +335,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     Rows equal in id and text are one document here, also without words.
     """
     found = jaccard_join(docs, id_col, text, **options)
-    key = ("_k", "_a", "_b")
-    rows = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), F.col(id_col).alias("_id"),
-                        F.col("a").alias("_a"), F.col("b").alias("_b"), "class_row")
-    low = rows.groupBy("class_row").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", *key)).alias("m"))
+    key = ["k", "a", "b"]
+    rows = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), F.col(id_col).alias("id"), "a", "b", "class_row")
+    low = rows.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", *key)).alias("m"))
     keepers = low.select(*(F.col(f"m.{c}").alias(c) for c in key)).distinct()
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"),
-                        F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
-    return keyed.join(keepers.hint("merge"), list(key)).dropDuplicates(list(key)).select(*docs.columns)
+    # the document is one column, whatever its own columns are called
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"),
+                        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    kept = keyed.join(keepers.hint("merge"), key).dropDuplicates(key)
+    return kept.select(*(F.col("doc")[c].alias(c) for c in docs.columns))

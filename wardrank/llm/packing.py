@@ -1,13 +1,12 @@
 """Best-fit packing of tokenized documents by hierarchical residual packing.
 
 Partitions of bounded item counts pack locally, best fit in falling order of
-length.  Bins whose free space is at most ``slack`` tokens are final; the
-underfull ones become items of the next round, where ``fan_in`` partitions
-meet in one, and are packed again by best fit, up to a single partition.  Of
-any two bins of one partition the fills exceed the capacity together, so at
-most one is no more than half full: a round passes on its ``pass_on``
-emptiest underfull bins, and the rest, which could only take in such small
-bins, are final as they are.  Nothing is dropped by that.
+length.  Bins whose free space is at most ``slack`` tokens are final; all
+underfull ones become items of the next round, in as many partitions as they
+fill (at most 1 / ``fan_in`` of those before), dealt anew, and are packed again
+by best fit.  The tree ends with a single partition, or when a round has joined
+fewer than one underfull bin in ``fan_in`` squared: any two bins of a partition
+then hold more than the capacity together.  Nothing is dropped by that.
 
 Tokenizing: byte-level BPE ids and an end id.  Documents longer than the
 capacity are cut into pieces of exactly the capacity; the first piece takes
@@ -128,10 +127,10 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.
     return of, offset, np.array(fill, dtype=np.int64)
 
 
-def _round(items: DataFrame, parts: int, number: int, capacity: int, slack: int, pass_on: int) -> DataFrame:
+def _round(items: DataFrame, parts: int, number: int, capacity: int, slack: int) -> DataFrame:
     """Items (``_item``, ``_length``, payload) with ``_bin``, ``_offset``,
     ``_fill`` and ``_open``, packed within ``parts`` partitions."""
-    items = items.repartition(parts, "_item")
+    items = items.repartition(parts, F.xxhash64(F.lit(number), "_item"))  # other neighbours every round
     schema = T.StructType([*items.schema.fields,
                            *fields("_bin long", "_offset long", "_fill long", "_open boolean").fields])
 
@@ -142,9 +141,7 @@ def _round(items: DataFrame, parts: int, number: int, capacity: int, slack: int,
         t = pa.concat_tables(tables)
         lengths, ids = t["_length"].to_numpy(), t["_item"].to_numpy()
         of, offset, fill = best_fit(lengths, np.lexsort((ids, -lengths)), capacity)
-        under = np.flatnonzero(fill < capacity - slack)
-        still_open = np.zeros(len(fill), bool)
-        still_open[under[np.argsort(fill[under], kind="stable")[:pass_on]]] = True
+        still_open = fill < capacity - slack
         base = (number << 56) + (TaskContext.get().partitionId() << 32)
         for a in range(0, len(of), 10_000):
             rows = slice(a, a + 10_000)
@@ -157,19 +154,22 @@ def _round(items: DataFrame, parts: int, number: int, capacity: int, slack: int,
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 2048, part_items: int = 50_000,
-         fan_in: int = 8, slack: int = 16, pass_on: int = 1024) -> DataFrame:
+         fan_in: int = 8, slack: int = 16) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (gapless from 0 in each
     sequence); no sequence is longer than ``capacity``."""
     payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     items = stored(pieces.select(*payload, F.monotonically_increasing_id().alias("_item"),
                                  F.col(length).cast("long").alias("_length")), "pieces")
     parts = max(1, -(-items.count() // part_items))
-    first = stored(_round(items, parts, 0, capacity, slack, pass_on), "packed")
-    merges, level, number = [], first, 0
+    first = stored(_round(items, parts, 0, capacity, slack), "packed")
+    merges, level, number, before = [], first, 0, None
     while parts > 1:
-        parts, number = -(-parts // fan_in), number + 1
         rest = level.where("_open and _offset = 0").select(F.col("_bin").alias("_item"), F.col("_fill").alias("_length"))
-        level = stored(_round(rest, parts, number, capacity, slack, pass_on), "merged")
+        n = rest.count()
+        if not n or (before is not None and before - n < before / fan_in ** 2):
+            break
+        parts, number, before = max(-(-parts // fan_in), -(-n // part_items)), number + 1, n
+        level = stored(_round(rest, parts, number, capacity, slack), "merged")
         merges.append(level.select(F.col("_item").alias("_from"), F.col("_bin").alias("_to"),
                                    F.col("_offset").alias("_shift")))
     final = None  # where the bins of the first round end up

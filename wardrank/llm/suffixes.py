@@ -382,19 +382,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``docs`` with the repeated bytes taken out of the text (and what is
     left of a cut character); ``n_chars``, where there is one, follows."""
     found = repeated_spans(docs, id_col, text, **options).where("n_removed > 0")
-    changed = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"), F.col("a").alias("_a"),
-                           F.col("b").alias("_b"), "kept").dropDuplicates(["_k", "_a", "_b"])
+    changed = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"), "a", "b", "kept").dropDuplicates(["k", "a", "b"])
 
     def decode(batches):
         for b in batches:
             yield b | {"kept": [x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()]}
 
     schema = T.StructType([*changed.schema.fields[:3], T.StructField("kept", T.StringType())])
-    changed = map_arrow(changed, schema, decode).withColumnRenamed("kept", "_kept")
-    keyed = docs.select("*", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_k"),
-                        F.xxhash64(text_or_empty(text)).alias("_a"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("_b"))
-    out = keyed.join(changed.hint("merge"), ["_k", "_a", "_b"], "left")
-    new = {text: F.coalesce("_kept", text)}
+    # the document is one column, whatever its own columns are called
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k"),
+                        F.xxhash64(text_or_empty(text)).alias("a"), F.xxhash64(F.lit(1), text_or_empty(text)).alias("b"))
+    out = keyed.join(map_arrow(changed, schema, decode).hint("merge"), ["k", "a", "b"], "left")
+    new = {text: F.coalesce("kept", F.col("doc")[text])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("kept").isNull(), F.col("doc")["n_chars"]).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))

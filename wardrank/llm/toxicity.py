@@ -5,14 +5,21 @@ documents (positives) and unlabelled text: the risk is
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))``
 with the logistic loss, the class prior taken from the training labels.  When
 the bracket turns negative its gradient is reversed, which keeps the model
-from fitting the positives' share of the unlabelled text.  Training uses
-bounded samples (``max_positive``, ``max_unlabelled``, drawn by hash of the
-id); scoring covers every whole text.
+from fitting the positives' share of the unlabelled text.
+
+The positives are a bounded sample of the labelled rows (``max_positive``, the
+lowest hashes of the id).  The unlabelled text is all text: one pass reduces
+each document to its candidate features (those of the positives); equal sets
+are counted together and stored, the corpus frequencies that choose the
+features come from that table, and the risk and its gradient are summed over it
+in every pass of the fit.  The fit starts from one on ``start_docs`` documents,
+which only saves passes, and goes on with L-BFGS steps over all documents until
+the risk settles, in at most ``passes`` passes.  Scoring covers every whole text.
 
 Features: the distinct words of a text and their first ``STEMS`` bytes (word
 stems), hashed to ``2**bits`` places; those seen in fewer than
 ``min_positive`` sampled positives, or not ``min_ratio`` times as often among
-them as in the unlabelled sample, get no weight.
+them as in all documents, get no weight.
 
 Defined cases: null and empty texts have no features and score the model's
 bias; without positive examples every score is 0; repeated documents score
@@ -31,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, words_of
+from .common import fields, map_arrow, stored, words_of
 
 
 STEMS = (6, 4)
@@ -70,6 +77,10 @@ def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text: str, b
     return [np.frombuffer(x, "<i4") for x in sorted(bytes(r[0]) for r in rows)]
 
 
+def _sigma(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 class _Sparse:
     """Rows of active features, with the two products training needs."""
 
@@ -86,8 +97,23 @@ class _Sparse:
         return np.bincount(self.col, weights=g[self.row], minlength=width)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int,
-             min_positive: int = 8, min_ratio: float = 2.0, steps: int = 240, rate: float = 0.1, l2: float | None = None) -> ToxicityModel:
+def active_places(seen: np.ndarray, n_positive: int, common: np.ndarray, n_all: int, min_positive: int = 8,
+                  min_ratio: float = 2.0) -> np.ndarray:
+    """The places that mark the positives, from how many of them and of all
+    documents have each."""
+    marks = seen * n_all >= min_ratio * common * n_positive
+    return np.flatnonzero((seen >= min(min_positive, n_positive)) & marks)
+
+
+def frequencies(rows: list[np.ndarray], places: int) -> np.ndarray:
+    total = np.zeros(places, np.int64)
+    for r in rows:
+        total[r] += 1  # the features of a row are distinct
+    return total
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], active: np.ndarray, prior: float, bits: int,
+             steps: int = 240, rate: float = 0.1, l2: float | None = None) -> ToxicityModel:
     """Full-batch Adam on the non-negative risk, with a rate that falls to 0.
 
     The weight of the penalty falls with the number of positives, from which
@@ -98,12 +124,6 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     weights = np.zeros(places)
     if not positive or not unlabelled:
         return ToxicityModel(weights, -500.0, prior)
-    seen, common = np.zeros(places, np.int64), np.zeros(places, np.int64)
-    for total, rows in ((seen, positive), (common, unlabelled)):
-        for r in rows:
-            total[r] += 1  # the features of a row are distinct
-    marks = seen * len(unlabelled) >= min_ratio * common * len(positive)
-    active = np.flatnonzero((seen >= min(min_positive, len(positive))) & marks)
     column = np.full(places, -1, np.int32)
     column[active] = np.arange(len(active))
     p, u, width = _Sparse(positive, column), _Sparse(unlabelled, column), len(active)
@@ -111,13 +131,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
 
-    def sigma(z):
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
     for t in range(1, steps + 1):
         zp, zu = p.dot(theta[:-1]) + theta[-1], u.dot(theta[:-1]) + theta[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up, down_p, down_u = -prior * sigma(-zp) / p.n, -prior * sigma(zp) / p.n, sigma(zu) / u.n
+        up, down_p, down_u = -prior * _sigma(-zp) / p.n, -prior * _sigma(zp) / p.n, _sigma(zu) / u.n
         gp, gu = (up + down_p, down_u) if negative >= 0 else (-down_p, -down_u)
         grad = np.append(p.pull(gp, width) + u.pull(gu, width) + l2 * theta[:-1], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -126,14 +143,126 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return ToxicityModel(weights, float(theta[-1]), prior)
 
 
+def feature_sets(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """(places, n): how many documents have each set of the wanted places."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b[text].to_pylist():
+                f = word_features(t, len(wanted))
+                out.append(f[wanted[f]].astype("<i4").tobytes())
+            yield {"places": out}
+
+    rows = map_arrow(docs.select(text), fields("places binary"), run)
+    return stored(rows.groupBy("places").agg(F.count(F.lit(1)).alias("n")), "features")
+
+
+def _sums(sets: DataFrame, width: int, add) -> np.ndarray:
+    """The sum over all tasks of the vectors of ``width`` numbers that ``add``
+    makes of (row of each place, place, n of each row)."""
+    def run(batches):
+        total = np.zeros(width)
+        for b in batches:
+            blobs = b["places"].to_pylist()
+            sizes = np.array([len(x) // 4 for x in blobs], dtype=np.int64)
+            places = np.frombuffer(b"".join(blobs), "<i4")
+            add(total, np.repeat(np.arange(len(blobs)), sizes), places, b["n"].to_numpy().astype(float))
+        at = np.flatnonzero(total)
+        yield {"at": at, "x": total[at]}
+
+    out = np.zeros(width)
+    for at, x in map_arrow(sets, fields("at long", "x double"), run).groupBy("at").agg(F.sum("x")).collect():  # at most width rows
+        out[at] = x
+    return out
+
+
+def corpus_frequencies(sets: DataFrame, places: int) -> tuple[np.ndarray, int]:
+    """How many documents have each place, and the number of documents."""
+    def add(total, row, place, n):
+        total[:places] += np.bincount(place, weights=n[row], minlength=places)
+        total[places] += n.sum()
+
+    out = _sums(sets, places + 1, add)
+    return out[:-1].astype(np.int64), int(out[-1])
+
+
+def unlabelled_risk(sets: DataFrame, column: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Sum over all documents of the loss of calling them clean, its gradient
+    (weights, then bias), and the number of documents."""
+    width = len(theta) - 1
+
+    def add(total, row, place, n):
+        col = column[place]
+        row, col = row[col >= 0], col[col >= 0]
+        z = np.bincount(row, weights=theta[col], minlength=len(n)) + theta[-1]
+        pull = n * _sigma(z)
+        total[:width] += np.bincount(col, weights=pull[row], minlength=width)
+        total[width:] += pull.sum(), (n * np.logaddexp(0, z)).sum(), n.sum()
+
+    out = _sums(sets, width + 3, add)
+    return out[-2], out[:-2], out[-1]
+
+
+def refine(positive: _Sparse, unlabelled, theta: np.ndarray, prior: float, l2: float, passes: int = 24,
+           settled: float = 1e-4, memory: int = 8) -> np.ndarray:
+    """L-BFGS on ``prior * R+ + max(0, R-(unlabelled) - prior * R-(positives))``
+    plus the penalty; ``unlabelled(theta)`` gives sums over all documents and
+    is called at most ``passes`` times."""
+    width = len(theta) - 1
+
+    def risk(t: np.ndarray) -> tuple[float, np.ndarray]:
+        zp = positive.dot(t[:-1]) + t[-1]
+        total, pull, n = unlabelled(t)
+        left = total / n - prior * np.logaddexp(0, zp).mean()
+        gp = -prior * _sigma(-zp) / positive.n
+        grad = np.append(l2 * t[:-1], 0.0)
+        if left > 0:
+            gp = gp - prior * _sigma(zp) / positive.n
+            grad = grad + pull / n
+        grad = grad + np.append(positive.pull(gp, width), gp.sum())
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, left) + 0.5 * l2 * (t[:-1] ** 2).sum(), grad
+
+    value, grad = risk(theta)
+    used, moves = 1, []
+    while used < passes:
+        d, parts = -grad, []
+        for s, y in reversed(moves):
+            a = (s @ d) / (s @ y)
+            parts.append(a)
+            d = d - a * y
+        if moves:
+            s, y = moves[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(moves, reversed(parts)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step, slope = 1.0 if moves else min(1.0, 1 / max(np.abs(grad).sum(), 1e-12)), grad @ d
+        while used < passes:
+            to = theta + step * d
+            new, new_grad = risk(to)
+            used += 1
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 4
+        else:
+            break
+        s, y = to - theta, new_grad - grad
+        gained = value - new
+        theta, value, grad = to, new, new_grad
+        if s @ y > 1e-12:
+            moves = [*moves[1 - memory:], (s, y)]
+        if gained < settled * max(value, 1e-12):
+            break
+    return theta
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
                    label: str = "toxic", bits: int = 18, max_positive: int = 6000,
-                   max_unlabelled: int = 12000) -> ToxicityModel:
+                   start_docs: int = 12000, passes: int = 24) -> ToxicityModel:
     """Fit on ``docs`` (the unlabelled text) and ``labels`` (id, 0/1 label).
 
     Pass only rows that may be learnt from.  At most ``max_positive`` labelled
-    toxic documents and ``max_unlabelled`` documents are used, those with the
-    lowest hash of the id.
+    toxic documents are used, those with the lowest hash of the id, and all
+    documents as unlabelled text.
     """
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
              .where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
@@ -144,10 +273,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return ids.select("_id").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(k)
 
     positive = _sampled_features(docs, lowest(known.where("_y = 1"), max_positive, 1), id_col, text, bits)
-    everything = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
-    unlabelled = _sampled_features(docs, lowest(everything, max_unlabelled, 2), id_col, text, bits)
     prior = min(max(n_toxic / n, 1e-4), 1 - 1e-4) if n else 0.0
-    return fit_nnpu(positive, unlabelled, prior, bits)
+    places = 1 << bits
+    if not positive:
+        return ToxicityModel(np.zeros(places), -500.0, prior)
+    seen = frequencies(positive, places)
+    sets = feature_sets(docs, text, seen >= min(8, len(positive)))
+    common, n_all = corpus_frequencies(sets, places)
+    active = active_places(seen, len(positive), common, n_all)
+    everything = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
+    start = fit_nnpu(positive, _sampled_features(docs, lowest(everything, start_docs, 2), id_col, text, bits), active, prior, bits)
+    column = np.full(places, -1, np.int32)
+    column[active] = np.arange(len(active))
+    theta = refine(_Sparse(positive, column), lambda t: unlabelled_risk(sets, column, t),
+                   np.append(start.weights[active], start.bias), prior, 0.1 / len(positive), passes)
+    weights = np.zeros(places)
+    weights[active] = theta[:-1]
+    return ToxicityModel(weights, float(theta[-1]), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:

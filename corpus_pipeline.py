@@ -3,6 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps,
 with the columns of ``docs``; the last returns the packed pieces.  Between
 stages the documents are written as Parquet and read again.
+
+Defined cases, for every stage: null and empty texts stay (they score as clean,
+hold no shingles, repeats or windows, and pack as an end id); a null id is an id
+like any other, learnt from where its hash says so; repeated rows are judged
+alike and kept, but for the second stage, where rows of one class, and rows of
+equal id and text, become one document, the one of the lowest id (a tie: any
+of its equal rows); an empty table gives no rows; columns named like one that an
+operator adds keep their values.
 """
 
 from __future__ import annotations
@@ -13,14 +21,21 @@ from pyspark.sql import functions as F
 from wardrank.llm import decontam, jaccard, queries, suffixes, toxicity
 from wardrank.llm.common import id_remainder, read_table, stored
 
+#: A passage of 50 words in bytes, at four letters and a space a word: shorter
+#: repeats (idioms, names, lines of a form) stay.
+PASSAGE_BYTES = 250
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     learnt = id_remainder("doc_id", 5) != 0
     labels = read_table(spark, sf_dir, "labels").where(learnt)
     model = toxicity.train_toxicity(docs.where(learnt), labels)
-    scored = toxicity.score_toxicity(docs, model, out="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    score = "_toxicity"
+    while score in docs.columns:
+        score += "_"
+    scored = toxicity.score_toxicity(docs, model, out=score)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of repeated 400-byte strings."""
-    return suffixes.without_repeats(docs)
+    """All documents, without the bytes of repeated strings of ``PASSAGE_BYTES``."""
+    return suffixes.without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +70,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL cannot express the stages; they are tested against brute force.
+#: SQL cannot express the stages; ``tests/llm/test_pipeline.py`` compares each
+#: with plain Python on documents planted for it.
 ORACLE_SQL = None
 
 

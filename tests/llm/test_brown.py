@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from llm_fixtures import docs, none, rows  # noqa: F401
 from wardrank.llm import brown
-from wardrank.llm.common import id_remainder
+from wardrank.llm.common import id_remainder, stored
 
 
 def _tokens(t):
@@ -65,20 +65,40 @@ def test_exchange_finds_the_classes_and_beats_the_unigram(spark):
     assert gain > 0.2  # half the words are ruled out: log10(2) = 0.30 a word
 
 
-def test_neighbour_counts_equal_a_plain_count(spark):
-    ids = [[1, 0, 2], [2, 2], [3, 1, 1, 2]]  # 2 ends each document
-    df = spark.createDataFrame([(True, bytearray(np.array(x, "<u2").tobytes())) for x in ids], "training boolean, ids binary").repartition(2)
-    unit = np.zeros(65536, np.int64)
-    unit[:4] = [0, 1, 2, 3]
-    klass = np.zeros(65536, np.int64)
-    klass[:4] = [0, 1, 0, 1]
-    after, before = brown.neighbour_counts(df, unit, klass, 4, 2, 2, block=3)
-    a, b = np.zeros((4, 2), int), np.zeros((4, 2), int)
-    for x in ids:
+def test_top_counts_equal_a_plain_count(spark):
+    ids = [[1, 0, 2], [2, 2], [3, 1, 70_000, 1, 2], [5, 2]]  # 2 ends each document; 4 top words
+    df = spark.createDataFrame([(i < 3, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)], "training boolean, ids binary")
+    klass = np.array([0, 1, 0, 1])
+    linked = brown.top_links(df.repartition(2), "<u4", 4, 2, blocks=3)
+    after, before = brown.top_counts(linked, klass, 4, 2)
+    a, b = np.zeros((6, 2), int), np.zeros((6, 2), int)
+    for x in ids[:3]:
         for p, w in zip([2, *x], x):
-            a[w, klass[p]] += 1
-            b[p, klass[w]] += 1
+            if p < 4 and w < 4:
+                a[w, klass[p]] += 1
+                b[p, klass[w]] += 1
     assert after.tolist() == a.tolist() and before.tolist() == b.tolist()
+    assert [len(x) for x in brown.top_links(df.limit(0), "<u4", 4, 2)] == [0, 0, 0]
+
+
+def test_probabilities_sum_to_one_with_far_words(docs):
+    training = id_remainder("doc_id", 4) != 0
+    counts = stored(brown.count_words(docs.where(training)), "words")
+    tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    top = brown.frequent_words(counts, 40)
+    head = {w: i for i, (w, _) in enumerate(top)}
+    encoded = stored(brown.encode(docs, head, "doc_id", "text", training), "encoded")
+    far, n_far = brown.far_words(counts, head)
+    coded = stored(brown.with_far_ids(encoded, far, "doc_id"), "coded")
+    model = brown.build_model(encoded, top, tokens, types, 6, 20, 2, coded=coded, n_far=n_far)
+    ids = head | {bytes(r["word"]): r["far"] for r in far.collect()}
+    everything = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    assert n_far > 100 and set(ids) == set(everything)
+    for prev in (model.end, 3, brown.FAR, brown.FAR + n_far - 1, brown.TAIL):
+        total = 0.0
+        for w, n in [*everything.items(), (None, 0)]:  # None: the unknown word
+            total += (n + 0.1) * 10 ** model.log_factor[model.class_of[prev], model.class_of[ids.get(w, brown.TAIL)]]
+        assert abs(total - 1) < 1e-9
 
 
 def test_empty_and_nothing_to_learn(spark, none):

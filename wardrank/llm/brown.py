@@ -15,7 +15,7 @@ end token.
   while that raises the class bigram likelihood.  In a pass half of the words,
   in turn, may move to their best class.  The ``exchange_words`` most frequent
   ones move one after the other, from exact tables of their counts next to
-  every class.  The links of every other word (its neighbours and how often)
+  every class; the pairs of two of them are counted once, in one pass.  The links of every other word (its neighbours and how often)
   are gathered once, by word; tasks move their words against the class bigrams
   of the pass.  Only the class of each word, a byte, goes to all tasks.
 * Clustering ends when two passes, which offer every word a move, raise the
@@ -33,8 +33,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections import Counter
 from dataclasses import dataclass
 from itertools import count
@@ -51,6 +49,7 @@ END = b"\n"  # no word holds white space
 TAIL = 0xFFFF  # a word outside the head; once far words have ids, an unknown word
 FAR = 0x10000  # the first id of a far word
 ADD = 0.1  # added to every count
+_FEW = 16  # counts up to this have a table of their own
 
 
 def lm_tokens(text: str | None) -> list[bytes]:
@@ -119,15 +118,6 @@ def encode(docs: DataFrame, head: dict[bytes, int], id_col: str, text: str, trai
     return map_arrow(source, schema, run)
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of steps that are stored by now; it
-    does so when the driver has collected its garbage."""
-    for _ in range(2):  # the second finds what the first has let go of
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def far_words(counts: DataFrame, head: dict[bytes, int]) -> tuple[DataFrame, int]:
     """(word, n, far) of the words outside the head, with ids from FAR on
     without gaps, and their number."""
@@ -178,28 +168,68 @@ def _concatenated(blobs, kind: str = "<u2") -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=kind)
 
 
-def neighbour_counts(encoded: DataFrame, unit: np.ndarray, class_of: np.ndarray, n_units: int, n_classes: int,
-                     end: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """How often each unit (a word, or a class of rare words) stands after and
-    before every class, over the training text: two (units, classes) tables.
+def top_links(coded: DataFrame, kind: str, n_top: int, end: int, blocks: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, how often) of all neighbouring top words in the
+    training text, found in one pass.
 
-    Their size is fixed by the vocabulary parameters; tasks send them in
-    blocks of units, which are summed block by block.
+    At most ``n_top ** 2`` pairs, whatever the text; tasks pass on the pairs
+    they hold, which are added up in ``blocks`` parts.
     """
-    cells = n_units * n_classes
+    schema = fields("block long", "pairs binary", "times binary")
 
-    def count(batches):
-        after, before = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-        for b in batches:
-            ids = _concatenated(b["ids"].to_pylist())
+    def dealt(held):
+        pairs, times = np.unique(np.concatenate(held), return_counts=True)
+        block = pairs // n_top * blocks // n_top  # rises with the pair
+        for k, (a, z) in enumerate(zip(cuts := np.searchsorted(block, np.arange(blocks + 1)), cuts[1:])):
+            if z > a:
+                yield {"block": [k], "pairs": [pairs[a:z].astype("<i8").tobytes()], "times": [times[a:z].astype("<i8").tobytes()]}
+
+    def find(batches):
+        held, size = [], 0
+        for b in slices(batches, 1000):
+            ids = _concatenated(b["ids"].to_pylist(), kind).astype(np.int64)
             if not len(ids):
                 continue
-            prev = np.concatenate([[np.uint16(end)], ids[:-1]])  # each document ends with the end token
-            after += np.bincount(unit[ids] * n_classes + class_of[prev], minlength=cells)
-            before += np.bincount(unit[prev] * n_classes + class_of[ids], minlength=cells)
-        yield np.stack([after, before])
+            prev = np.concatenate([np.array([end], np.int64), ids[:-1]])  # each document ends with the end token
+            top = (ids < n_top) & (prev < n_top)
+            held.append(prev[top] * n_top + ids[top])
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield from dealt(held)
+                held, size = [], 0
+        if size:
+            yield from dealt(held)
+
+    def add(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in slices(batches, 4):
+            for k, pairs, times in zip(b["block"].to_pylist(), b["pairs"].to_pylist(), b["times"].to_pylist()):
+                pairs, times = np.frombuffer(pairs, "<i8"), np.frombuffer(times, "<i8")
+                if k in held:
+                    pairs, times = np.concatenate([held[k][0], pairs]), np.concatenate([held[k][1], times])
+                    order = np.argsort(pairs, kind="stable")
+                    pairs, at = np.unique(pairs[order], return_index=True)
+                    times = np.add.reduceat(times[order], at)
+                held[k] = pairs, times
+        for k, (pairs, times) in held.items():
+            yield {"block": [k], "pairs": [pairs.tobytes()], "times": [times.tobytes()]}
+
+    parts = map_arrow(coded.where("training").select("ids"), schema, find)
+    rows = map_arrow(parts.repartition(blocks, "block"), schema, add).select("pairs", "times").collect()  # ``blocks`` rows
+    pairs, times = (_concatenated([bytes(r[c]) for r in rows], "<i8") for c in (0, 1))
+    return pairs // max(n_top, 1), pairs % max(n_top, 1), times
 
-    return _summed(encoded.where("training").select("ids"), count, n_units, n_classes, block)
+
+def top_counts(linked: tuple[np.ndarray, np.ndarray, np.ndarray], class_of: np.ndarray, n_top: int,
+               n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each unit (a top word, or a class of other words) stands
+    after and before every class, counting pairs of top words."""
+    before, word, n = linked
+    cells = (n_top + n_classes) * n_classes
+    own = class_of[:n_top].astype(np.int64)
+    after = np.bincount(word * n_classes + own[before], weights=n, minlength=cells)
+    ahead = np.bincount(before * n_classes + own[word], weights=n, minlength=cells)
+    return tuple(t.reshape(-1, n_classes).astype(np.int64) for t in (after, ahead))
 
 
 def _summed(df: DataFrame, count, n_units: int, n_classes: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +308,7 @@ def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_b
             yield {"bucket": [k], "keys": [keys.tobytes()], "times": [total.astype("<u4").tobytes()]}
 
     parts = map_arrow(coded.where("training").select("ids"), schema, find)
-    return stored(map_arrow(parts.repartition(buckets, "bucket"), schema, gather).select("keys", "times"), "links")
+    return stored(map_arrow(parts.repartition(buckets, "bucket"), schema, gather).select("keys", "times"), "links", "zstd")
 
 
 def _link_rows(batches):
@@ -291,7 +321,7 @@ def _link_rows(batches):
 
 
 def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the linked words add to the tables of ``neighbour_counts``: units
+    """What the linked words add to the tables of ``top_counts``: units
     are the top words, then the classes of the linked words (which have only
     the table of what stands before them)."""
     n_units = n_top + n_classes
@@ -313,43 +343,50 @@ def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n:
                  pairs: np.ndarray, n_exchange: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, their best class) against the class bigrams ``pairs``.
 
-    The rows are the links of whole words, sorted by word; ``own`` is the class
-    of the word of each row.  A word's own counts are taken out of its class.
+    The rows are the links of whole words (best sorted by word); ``own`` is the
+    class of the word of each row.  A word's own counts are taken out of its class.
     """
     n_classes = len(pairs)
-    key = (word * 2 + side) * n_classes + near_class
-    order = np.argsort(key, kind="stable")
-    key, at = np.unique(key[order], return_index=True)
-    n, own = np.add.reduceat(n[order], at).astype(float), own[order][at]
-    word, cell = key // (2 * n_classes), key % (2 * n_classes)
-    words, first = np.unique(word, return_index=True)
+    if (word[1:] < word[:-1]).any():
+        order = np.argsort(word, kind="stable")
+        word, near_class, side, n, own = (x[order] for x in (word, near_class, side, n, own))
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+    words, own = word[starts], own[starts]
+    local = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)])) if len(word) else word
+    cell = side * n_classes + near_class
     table = np.concatenate([pairs[:, :n_exchange], pairs.T[:, :n_exchange]]).astype(float)  # (side, class) x candidate
     value = _xlogx(table)
-    few = [None, *((_xlogx(table + k) - value).astype(np.float32) for k in range(1, 5))]  # most counts are small
+    few = np.concatenate([_xlogx(table + k) - value for k in range(1, _FEW + 1)])  # most counts are small
     best = np.empty(len(words), np.int64)
-    cuts = [*range(0, len(words), 20_000), len(words)]
     into, out = pairs.sum(axis=0).astype(float)[:n_exchange], pairs.sum(axis=1).astype(float)[:n_exchange]
-    for a, z in zip(cuts, cuts[1:]):
+    for a in range(0, len(words), 20_000):
+        z = min(a + 20_000, len(words))
+        lo, hi = starts[a], starts[z] if z < len(words) else len(word)
+        dense = np.bincount((local[lo:hi] - a) * (2 * n_classes) + cell[lo:hi], weights=n[lo:hi], minlength=(z - a) * 2 * n_classes)
+        full = np.flatnonzero(dense)
+        row, c, k = full // (2 * n_classes), full % (2 * n_classes), dense[full]
+        number = np.bincount(row, minlength=z - a)  # cells of each word
+        by_number = np.argsort(-number, kind="stable")
+        at = (np.cumsum(number) - number)[by_number]  # the first cell of each word
+        number = number[by_number]
         gain = np.zeros((z - a, n_exchange))
-        total = np.add.reduceat(np.where(cell < n_classes, n, 0), first)[a:z]  # each occurrence has one word before it
-        rows_end = first[z] if z < len(words) else len(key)
-        own_class = own[first[a:z]]
+        for p in range(int(number[0]) if len(number) else 0):  # the p-th cell of all words that have one
+            some = int(np.searchsorted(-number, -p, "left"))
+            here = at[:some] + p
+            kind = (np.minimum(k[here], _FEW).astype(np.int64) - 1) * (2 * n_classes) + c[here]
+            add = few[kind]
+            big = np.flatnonzero(k[here] > _FEW)
+            if len(big):
+                add[big] = _xlogx(table[c[here[big]]] + k[here[big], None]) - value[c[here[big]]]
+            gain[:some] += add
+        gain[by_number] = gain.copy()
+        total = np.bincount(row[c < n_classes], weights=k[c < n_classes], minlength=z - a)  # each occurrence has one word before it
+        own_class = own[a:z]
         placed = np.flatnonzero(own_class < n_exchange)
-        for lo in range(first[a], rows_end, 100_000):
-            hi = min(lo + 100_000, rows_end)
-            c, k, o = cell[lo:hi], n[lo:hi], own[lo:hi]
-            add = np.empty((hi - lo, n_exchange), np.float32)
-            for x in range(1, 5):
-                sel = np.flatnonzero(k == x)
-                add[sel] = few[x][c[sel]]
-            sel = np.flatnonzero(k > 4)
-            add[sel] = _xlogx(table[c[sel]] + k[sel, None]) - value[c[sel]]
-            sel = np.flatnonzero(o < n_exchange)
-            there = table[c[sel], o[sel]]
-            add[sel, o[sel]] = _xlogx(there) - _xlogx(there - k[sel])
-            at_word = np.searchsorted(words, word[lo:hi]) - a
-            starts = np.flatnonzero(np.diff(at_word, prepend=-1))
-            gain[at_word[starts]] += np.add.reduceat(add, starts, axis=0)
+        sel = np.flatnonzero(own_class[row] < n_exchange)  # a placed word's counts are in its class already
+        there, n_here = table[c[sel], own_class[row[sel]]], k[sel]
+        change = 2 * _xlogx(there) - _xlogx(there - n_here) - _xlogx(there + n_here)
+        gain[placed, own_class[placed]] += np.bincount(row[sel], weights=change, minlength=z - a)[placed]
         for size in (into, out):
             change = _xlogx(size + total[:, None]) - _xlogx(size)
             there = size[own_class[placed]]
@@ -452,19 +489,13 @@ def cluster(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int, n_
         class_of[end] = end_class
     n_links = 2 * (tokens - sum(n for _, n in counts[:n_top]))
     linked = links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end, n_links)
-    _release(encoded)
-    n_units = n_top + n_classes
-    unit = np.full(FAR, n_units, np.int64)  # links count the other words
-    unit[:n_top] = np.arange(n_top)
+    tops = top_links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end)
     best, best_fit, best_pairs = class_of, -np.inf, np.zeros((n_classes, n_classes), np.int64)
     movable = np.array([i for i in range(n_top) if i != end], dtype=np.int64)
     fits = []  # after every pass
     for k in count():
         unit_class = np.concatenate([class_of[:n_top].astype(np.int64), np.arange(n_classes)])
-        near = np.full(FAR, n_classes, np.int64)
-        near[:n_top] = class_of[:n_top]
-        tops = neighbour_counts(encoded, unit, near, n_units + 1, n_classes + 1, end)
-        after, before = (t[:n_units, :n_classes] + x for t, x in zip(tops, link_counts(linked, class_of, n_top, n_classes)))
+        after, before = (t + x for t, x in zip(top_counts(tops, class_of, n_top, n_classes), link_counts(linked, class_of, n_top, n_classes)))
         pairs = class_bigrams(after, unit_class, n_classes)
         fit = _xlogx(pairs.astype(float)).sum() - _xlogx(pairs.sum(0).astype(float)).sum() - _xlogx(pairs.sum(1).astype(float)).sum()
         if fit > best_fit:
@@ -534,13 +565,11 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text:
     source = docs.select(id_col, text)
     counts = stored(count_words(source.where(training), text), "words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    _release(docs)
     ends = [(END, r["n"]) for r in counts.where(F.col("word") == F.lit(END)).collect()]
     top = ends + [x for x in frequent_words(counts, max_head) if x[0] != END]
     head = {w: i for i, (w, _) in enumerate(top)}
-    encoded = stored(encode(source, head, id_col, text, training), "encoded")
+    encoded = stored(encode(source, head, id_col, text, training), "encoded", "zstd")
     far, n_far = far_words(counts, head)
-    coded = stored(with_far_ids(encoded, far, id_col), "coded")
-    _release(docs)
+    coded = stored(with_far_ids(encoded, far, id_col), "coded", "zstd")
     model = build_model(encoded, top, tokens, types, coded=coded, n_far=n_far, **model_options)
     return _scores(coded, model, id_col)

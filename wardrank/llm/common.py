@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, never the
@@ -22,7 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

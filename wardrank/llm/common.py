@@ -13,16 +13,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import scratch_path
 
 
+#: Spark's own setting: delete a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, never the
     steps before the table, and a value that depends on the row order of a
-    scan (a row id) stays the same in every later pass.
+    scan (a row id) stays the same in every later pass.  What the write itself
+    shuffled is deleted when it is done.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,6 +47,8 @@ def test_fixed_values_of_the_oracle():
     assert S.OWNERSHIP_RULES == (("like", "%Veterans%", "VA"), ("like", "%non-profit%", "Non-profit"),
                                  ("eq", "Proprietary", "For-profit"))
     assert S.OWNERSHIP_DEFAULT == "Government"
+    for words in (S.GENERIC_NAME_WORDS, S.DEDICATION_WORDS):  # written out in the oracle's statement too
+        assert ", ".join(f"'{w}'" for w in words) in E.oracle_sql()["hospital_systems"]
     assert (S.MIN_MEASURES, S.MIN_STATE_HOSPITALS, S.MIN_STATE_CHART, S.MIN_OWNER_HOSPITALS,
             S.MIN_PATIENTS, S.TOP_FACILITIES, S.TOP_STATES, S.TOP_RECOMMEND,
             S.VOLUME_BAND_EDGE) == (4, 10, 5, 40, 25, 20, 15, 5, 500)

@@ -13,6 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 def _c(col) -> Column:
@@ -99,6 +100,16 @@ def distinct_in_domain(col, domain) -> Column:
     return total
 
 
+def lowest(col, k: int) -> Column:
+    """Aggregate: the ``k`` lowest values (structs by their fields in turn), in order.
+
+    Spark's own bounded aggregate: a state holds at most ``k`` values and two
+    states merge, so it is combined in the map tasks.  The API has it without
+    a name in ``functions``; this is the only place that refers to it.
+    """
+    return InternalFunction.collect_top_k(_c(col), k, True)
+
+
 def share_pct(part, total, dp: int = 1) -> Column:
     """``round(part * 100 / total, dp)`` half-up, exact, as double."""
     return ratio_half_up(_c(part) * 100, total, dp).cast("double")

@@ -434,7 +434,36 @@ FROM ty"""
 _HOSPITAL = "facility_id facility_name city state hospital_type ownership"
 _COMPLICATION = "facility_id facility_name measure_id measure_name compared denominator score"
 
+_NO_NAME = "'HOSPITAL', 'HOSPITALS', 'MEDICAL', 'CENTER', 'CENTRE', 'HEALTH', 'HEALTHCARE', 'CARE', 'SYSTEM', 'REGIONAL', 'COMMUNITY', 'MEMORIAL', 'GENERAL', 'UNIVERSITY', 'COUNTY', 'DISTRICT', 'CITY', 'STATE', 'THE', 'OF', 'AND', '&', 'AT', 'FOR'"
+_DEDICATED = "'ST', 'SAINT', 'SAINTS', 'STS'"
+_SYSTEMS = f"""
+nm AS (
+    SELECT facility_id, state, CASE right(facility_id, 1) WHEN '1' THEN 'St. Mary Medical Center'
+           WHEN '2' THEN 'Memorial Hospital - ' || state ELSE facility_name END AS facility_name
+    FROM hospitals
+),
+wd AS (
+    SELECT *, list_filter(string_split(regexp_replace(upper(facility_name), '[^A-Z0-9&'']+', ' ', 'g'), ' '),
+                          lambda x: x <> '') AS w
+    FROM nm
+),
+pf AS (
+    SELECT facility_id, n, array_to_string(list_slice(w, 1, n), ' ') AS p
+    FROM (SELECT facility_id, w, unnest(range(1, len(w) + 1)) AS n FROM wd)
+    WHERE len(list_filter(list_slice(w, 1, n), lambda x, i: x NOT IN ({_NO_NAME}, {_DEDICATED})
+                          AND (i = 1 OR w[i - 1] NOT IN ({_DEDICATED})))) > 0
+),
+sy AS (
+    SELECT facility_id, arg_max(p, n) AS system FROM pf
+    WHERE p IN (SELECT p FROM pf GROUP BY p HAVING COUNT(*) >= 3) GROUP BY facility_id
+)"""
+
 ORACLE_SQL |= {
+    "hospital_systems": _with(_SYSTEMS) + """
+SELECT facility_id, facility_name, system FROM nm LEFT JOIN sy USING (facility_id)""",
+    "system_repeat_by_name": _with(_MM, _recommend_rows(), _SYSTEMS) + """
+SELECT top.state, measure_id, sy.system, COUNT(*) AS n
+FROM top JOIN sy USING (facility_id) GROUP BY 1, 2, 3 HAVING COUNT(*) > 1""",
     "table_replaced": ORACLE_SQL["table_roundtrip"],
     "scan_csv_line_breaks": _with() + """
 SELECT * REPLACE (replace(facility_name, ' Hospital ', ' "Hospital"' || chr(10)) AS facility_name) FROM hospitals""",

@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import ratio_half_up, share_pct
+from ..functions.aggregates import lowest, ratio_half_up, share_pct
 from ..functions.casts import count_value, reported, score_value
 from ..functions.labels import fixed1
-from ..operators.clean import dimension, eligible_rows
+from ..operators.clean import clean_mortality, dimension, eligible_rows
 from ..operators.ranking import top_k
 from ..operators.reduce import near_keys
+from ..operators.systems import systems_by_name
 from ..sources.schema import BETTER, MIN_PATIENTS, MORTALITY_MEASURES, TOP_RECOMMEND
 
 SLICE = ("state", "measure_id")
@@ -43,9 +44,13 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     """:func:`_top` with display columns and the gap to #1."""
+    return _shown(_top(rows, k))
+
+
+def _shown(top: DataFrame, *more: str) -> DataFrame:
     diff = ratio_half_up(F.col("score") - F.col("_best"), F.lit(1), 1)
     pct = ratio_half_up((F.col("score") - F.col("_best")) * 100, "_best", 1)
-    return _top(rows, k).select(
+    return top.select(
         "state", "measure_id", "facility_id", "facility_name", "city", "hospital_type",
         "ownership", "measure_name",
         F.col("score").cast("double").alias("mortality_rate"),
@@ -53,6 +58,7 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
         "compared", "recommendation_rank",
         fixed1(diff).alias("gap_vs_best"),
         fixed1(pct).alias("pct_worse_than_best"),
+        *more,
     )
 
 
@@ -190,15 +196,63 @@ def system_repeat(complications: DataFrame, hospitals: DataFrame, k: int = TOP_R
     )
 
 
+def system_repeat_by_name(complications: DataFrame, hospitals: DataFrame, k: int = TOP_RECOMMEND,
+                          min_patients: int = MIN_PATIENTS, min_support: int = 3) -> DataFrame:
+    """Systems shown more than once in a slice's top-k, a system being the
+    longest prefix of words that ``min_support`` facilities share
+    (``operators.systems``)."""
+    top = _top(eligible_rows(complications, hospitals, min_patients=min_patients), k)
+    systems = systems_by_name(hospitals, min_support).select("facility_id", "system")
+    return (
+        top.select(*SLICE, "facility_id").join(systems, "facility_id")
+        .filter(F.col("system").isNotNull())
+        .groupBy(*SLICE, "system")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1)
+        .orderBy("state", "measure_id", "system")
+    )
+
+
+def hospital_systems(complications: DataFrame, hospitals: DataFrame, min_support: int = 3) -> DataFrame:
+    """The system of every facility by its name; NULL if it is of none."""
+    return systems_by_name(hospitals, min_support)
+
+
+def _top_and_eligible(complications: DataFrame, hospitals: DataFrame, k: int, min_patients: int,
+                      measures=MORTALITY_MEASURES) -> DataFrame:
+    """:func:`_top` with the slice's ``eligible_hospitals``, from one read of the facts.
+
+    One aggregate state holds the k best rows, and for a slice also the count
+    of its facilities.  It is built per facility first (the count is of
+    facilities, not of rows) and then per slice, in the map tasks both times,
+    so a task moves at most k rows of a slice, however many it has read.  Rows
+    that tie in score and facility are taken in the order of their other
+    columns.
+    """
+    rows = clean_mortality(complications, hospitals, measures, join=False) \
+        .filter(F.col("denominator") >= min_patients)
+    row = F.struct("score", "facility_id", "denominator", "facility_name", "measure_name", "compared")
+    facilities = rows.groupBy("measure_id", "facility_id").agg(lowest(row, k).alias("_rows")) \
+        .join(dimension(hospitals), "facility_id")
+    best = facilities.select("*", F.posexplode("_rows").alias("_at", "_row"))
+    row = F.struct("_row.*", "city", "hospital_type", "ownership")
+    slices = best.groupBy(*SLICE).agg(
+        F.count(F.when(F.col("_at") == 0, 1)).alias("eligible_hospitals"),
+        lowest(row, k).alias("_rows"))
+    # within a slice the rows are in order of score: its rank is 1 + lower scores
+    rank = F.size(F.filter("_rows", lambda r: r["score"] < F.col("_row.score"))) + 1
+    return slices.select("*", F.explode("_rows").alias("_row")).select(
+        *SLICE, "eligible_hospitals", "_row.*", rank.cast("long").alias("recommendation_rank"),
+        F.col("_rows")[0]["score"].alias("_best"))
+
+
 def recommend_reliability(complications: DataFrame, hospitals: DataFrame,
                           k: int = TOP_RECOMMEND,
                           min_patients: int = MIN_PATIENTS) -> DataFrame:
     """Each recommendation with its slice's eligible count, gap and whether the
     facility is certified better than the national rate."""
-    top = _ranked(eligible_rows(complications, hospitals, min_patients=min_patients), k)
-    counts = eligibility_counts(complications, hospitals, MORTALITY_MEASURES, min_patients)
     return (
-        top.join(counts, list(SLICE))
+        _shown(_top_and_eligible(complications, hospitals, k, min_patients), "eligible_hospitals")
         .select(
             "state", "measure_id", "facility_id", "facility_name", "recommendation_rank",
             "mortality_rate", "patients_evaluated", "eligible_hospitals",

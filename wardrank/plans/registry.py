@@ -134,6 +134,22 @@ def _on_fine_scores(fn, **params) -> Query:
     return run
 
 
+def with_mixed_names(hospitals: DataFrame) -> DataFrame:
+    """The dimension with dedications and generic names among those of systems."""
+    tail = F.substring(F.col("facility_id"), -1, 1)
+    return hospitals.withColumn(
+        "facility_name",
+        F.when(tail == "1", "St. Mary Medical Center").when(tail == "2", F.concat(F.lit("Memorial Hospital - "), "state"))
+        .otherwise(F.col("facility_name")))
+
+
+def _on_mixed_names(fn, **params) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        complications, hospitals = cms_fixture(spark, sf_dir)
+        return fn(complications, with_mixed_names(hospitals), **params)
+    return run
+
+
 def _stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV drops of the fact table loaded by the streaming loader (availableNow)."""
     complications, _ = cms_fixture(spark, sf_dir)
@@ -224,6 +240,8 @@ QUERIES: dict[str, Query] = {
     "top_spread": _on_fixture(rec.top_spread),
     "system_repeat": _on_fixture(rec.system_repeat),
     "recommend_reliability": _on_fixture(rec.recommend_reliability),
+    "hospital_systems": _on_mixed_names(rec.hospital_systems),
+    "system_repeat_by_name": _on_mixed_names(rec.system_repeat_by_name),
     # SQL table functions
     "sql_recommend": _sql(f"SELECT * FROM w_recommend('{NY}', 'MORT_30_AMI', 5)"),
     "sql_eligible": _sql(f"SELECT * FROM w_eligible_hospitals('MORT_30_HF', in_state => '{MS}')"),

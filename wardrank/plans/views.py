@@ -67,6 +67,8 @@ VIEWS = {
     "top_spread": rec.top_spread,
     "system_repeat": rec.system_repeat,
     "recommend_reliability": rec.recommend_reliability,
+    "hospital_systems": rec.hospital_systems,
+    "system_repeat_by_name": rec.system_repeat_by_name,
 }
 
 

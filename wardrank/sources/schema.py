@@ -58,6 +58,14 @@ PREVIEW_ROWS = 3
 VOLUME_BAND_EDGE = 500    # "small hospital" volume edge in total patients
 # ---------------------------------------------------------------------------
 
+# words of hospital names that name no system, and words before a patron's name
+GENERIC_NAME_WORDS = (
+    "HOSPITAL", "HOSPITALS", "MEDICAL", "CENTER", "CENTRE", "HEALTH", "HEALTHCARE", "CARE", "SYSTEM",
+    "REGIONAL", "COMMUNITY", "MEMORIAL", "GENERAL", "UNIVERSITY", "COUNTY", "DISTRICT", "CITY", "STATE",
+    "THE", "OF", "AND", "&", "AT", "FOR",
+)
+DEDICATION_WORDS = ("ST", "SAINT", "SAINTS", "STS")
+
 # raw header -> canonical name
 HOSPITAL_COLUMNS = {
     "Facility ID": "facility_id",

@@ -31,6 +31,7 @@ replaced.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,9 @@ def _sampled_features(docs: DataFrame, ids: DataFrame, id_col: str, text: str, b
     return [np.frombuffer(x, "<i4") for x in sorted(bytes(r[0]) for r in rows)]
 
 
+_BLOCK = 256  # numbers of a summed vector that travel in one row
+
+
 def _sigma(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -144,22 +148,24 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], active: n
 
 
 def feature_sets(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(places, n): how many documents have each set of the wanted places."""
+    """(places, n): how many documents have each set of the wanted places.
+    Equal sets of a batch are one row; no set is moved."""
     def run(batches):
         for b in batches:
-            out = []
+            sets = Counter()
             for t in b[text].to_pylist():
                 f = word_features(t, len(wanted))
-                out.append(f[wanted[f]].astype("<i4").tobytes())
-            yield {"places": out}
+                sets[f[wanted[f]].astype("<i4").tobytes()] += 1
+            yield {"places": list(sets), "n": list(sets.values())}
 
-    rows = map_arrow(docs.select(text), fields("places binary"), run)
-    return stored(rows.groupBy("places").agg(F.count(F.lit(1)).alias("n")), "features")
+    return stored(map_arrow(docs.select(text), fields("places binary", "n long"), run), "features")
 
 
 def _sums(sets: DataFrame, width: int, add) -> np.ndarray:
     """The sum over all tasks of the vectors of ``width`` numbers that ``add``
-    makes of (row of each place, place, n of each row)."""
+    makes of (row of each place, place, n of each row).  A task sends one row
+    for each block of numbers that it has any of, and the blocks are added up
+    in tasks."""
     def run(batches):
         total = np.zeros(width)
         for b in batches:
@@ -168,12 +174,23 @@ def _sums(sets: DataFrame, width: int, add) -> np.ndarray:
             places = np.frombuffer(b"".join(blobs), "<i4")
             add(total, np.repeat(np.arange(len(blobs)), sizes), places, b["n"].to_numpy().astype(float))
         at = np.flatnonzero(total)
-        yield {"at": at, "x": total[at]}
+        blocks, first = np.unique(at // _BLOCK, return_index=True)
+        parts = np.split(at, first[1:]) if len(at) else []
+        yield {"block": blocks, "at": [(p % _BLOCK).astype("<i4").tobytes() for p in parts],
+               "x": [total[p].astype("<f8").tobytes() for p in parts]}
 
-    out = np.zeros(width)
-    for at, x in map_arrow(sets, fields("at long", "x double"), run).groupBy("at").agg(F.sum("x")).collect():  # at most width rows
-        out[at] = x
-    return out
+    def merge(batches):
+        sums = {}
+        for b in batches:
+            for block, at, x in zip(*(b[c].to_pylist() for c in ("block", "at", "x")), strict=True):
+                sums.setdefault(block, np.zeros(_BLOCK))[np.frombuffer(at, "<i4")] += np.frombuffer(x, "<f8")
+        yield {"block": list(sums), "x": [v.astype("<f8").tobytes() for v in sums.values()]}
+
+    parts = map_arrow(sets, fields("block long", "at binary", "x binary"), run).repartition("block")
+    out = np.zeros(-(-width // _BLOCK) * _BLOCK)
+    for block, x in map_arrow(parts, fields("block long", "x binary"), merge).collect():  # at most width numbers
+        out[block * _BLOCK:(block + 1) * _BLOCK] = np.frombuffer(x, "<f8")
+    return out[:width]
 
 
 def corpus_frequencies(sets: DataFrame, places: int) -> tuple[np.ndarray, int]:

@@ -48,9 +48,24 @@ def test_a_hot_group_is_cut_evenly(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 13
 
 
+def test_pieces_of_a_cell(spark, docs, rows):
+    """Fewer cells than the bytes ask for: pieces stay bounded, slots gapless, shards as without."""
+    _check(_shards(docs, cell_bytes=500, max_cells=5).collect(), rows, 5)
+    many = [(i % 900, "hot text" if i % 3 else f"text {i % 700}") for i in range(6000)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    plain, cut = (_shards(df, 4, **o).collect() for o in ({}, {"cell_bytes": 600, "max_cells": 8}))
+    assert _check(cut, many, 4) == _check(plain, many, 4)
+    size = F.octet_length("text")
+    placed = sharding.place_rows(df, F.struct(size.alias("b")), 4, size, F.xxhash64("text"), F.col("doc_id"), 0.001, 600, 8)
+    held = placed.groupBy("_cell", "_piece").agg(F.sum("_row.b").alias("b")).collect()
+    assert len({r["_cell"] for r in held}) == 8 and max(r.b for r in held) < 2 * 600
+
+
 def test_empty_and_weightless(spark, none):
     assert _shards(none).count() == 0
     rows = [(i, None) for i in range(9)]
+    odd = spark.createDataFrame([(1, "a", 2, 3, 4, 5, 6)], "doc_id long, text string, _h int, _size int, _cell int, slot int, `a.b` int")
+    assert _shards(odd).select("_h", "_size", "_cell", "slot", "`a.b`").first() == (2, 3, 4, 0, 6)
     assert sum(_check(_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 5).values()) == 0
 
 

@@ -5,9 +5,11 @@ without sorting: each round counts, in every partition, the exact bytes and
 rows between a set of candidate keys (probes); the sums close in on each
 splitter until the bytes below it are within the tolerance, or only one row
 is left between the two nearest probes.  Then one exchange brings the rows to
-their cells.  A shard consists of one or more cells of bounded bytes, so no
-task ever holds a whole shard; the exact row counts below the cell borders
-make the slots of a shard gapless.
+their cells.  A shard consists of one or more cells.  Their number is bounded,
+as the driver keeps their borders, so the cells of a large table are dealt by
+a hash into pieces of bounded bytes; no task ever holds a whole shard, nor all
+copies of a hot value.  The exact row counts below the cell borders, and a
+table of the rows of each piece, make the slots of a shard gapless.
 
 The key's first half is a hash of the grouping value (equal texts are
 neighbours), the second half a hash of the id plus bits of the row id.  So a
@@ -16,7 +18,7 @@ are equal in all columns still differ in key.
 
 Defined cases: null or empty grouping values hash like any other value; null
 sizes count 0; an empty table gives no rows; columns of the input named like
-an added one (``shard``, ``slot``) are replaced.
+an added one (``shard``, ``slot``) are replaced, all others keep their values.
 """
 
 from __future__ import annotations
@@ -121,14 +123,25 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: Column, group: Column, ro
 
     ``tolerance`` is the accepted error of a shard border as a share of the
     ideal shard size; a border is never further off than one row.
-    ``cell_bytes`` is what one task gets of a shard, as long as that makes no
-    more than ``max_cells`` cells, which bounds the splitters on the driver; of
-    more bytes each cell gets its share.
+    ``cell_bytes`` is about what one task gets at a time.  Of more bytes than
+    ``max_cells`` such cells, which bounds the splitters on the driver, every
+    cell consists of as many pieces as it takes.
     """
     payload = [c for c in df.columns if c not in ("shard", "slot")]
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in payload))
+    placed = place_rows(df, row, n_shards, size, group, row_id, tolerance, cell_bytes, max_cells)
+    order = Window.partitionBy("_cell", "_piece").orderBy("_h", "_u")
+    return (placed.withColumn("slot", F.col("_base") + F.row_number().over(order) - 1)
+            .select("_row.*", "shard", "slot"))
+
+
+def place_rows(df: DataFrame, row: Column, n_shards: int, size: Column, group: Column, row_id: Column,
+               tolerance: float, cell_bytes: int, max_cells: int) -> DataFrame:
+    """``row`` as ``_row``, its key, ``shard``, ``_cell``, ``_piece`` of the
+    cell, and ``_base``: the rows of the shard that lie before the piece."""
     bits = (1 << 20) - 1
     keyed = stored(df.select(
-        *payload,
+        row.alias("_row"),
         F.coalesce(size.cast("long"), F.lit(0)).alias("_size"),
         F.xxhash64(group).alias("_h"),
         (F.xxhash64(row_id).bitwiseAND(F.lit(~bits))
@@ -150,10 +163,17 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: Column, group: Column, ro
     def place(batches):
         for b in batches:
             cell = _cell(_unsigned(b["_h"]), _unsigned(b["_u"]), ph, pu)
-            yield b | {"_cell": cell, "shard": shard_of[cell], "_base": base[cell]}
-
-    schema = T.StructType([*keyed.schema.fields, *fields("_cell long", "shard int", "_base long").fields])
-    placed = map_arrow(keyed, schema, place)
-    order = Window.partitionBy("_cell").orderBy("_h", "_u")
-    return (placed.withColumn("slot", F.col("_base") + F.row_number().over(order) - 1)
-            .select(*payload, "shard", "slot"))
+            yield b | {"_cell": cell, "shard": shard_of[cell], "_start": base[cell]}
+
+    def placed(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, *fields("_cell long", "shard int", "_start long").fields])
+        # _u differs between the rows of a hot value, and between copies of a row
+        return map_arrow(rows, schema, place).withColumn("_piece", F.pmod(F.xxhash64("_u"), F.lit(pieces)))
+
+    pieces = max(1, -(-total[0] // (n_cells * cell_bytes)))
+    before = Window.partitionBy("_cell").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed(keyed.select("_h", "_u")).groupBy("_cell", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = stored(counts.select("_cell", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
+                     "sharding-pieces")
+    return (placed(keyed).join(earlier, ["_cell", "_piece"])
+            .withColumn("_base", F.col("_start") + F.col("_before")))

@@ -150,3 +150,18 @@ def test_best_classes_equal_a_plain_exchange():
             gains.append(fit[1] - fit[0])
         same += gains[best[w]] >= max(gains) - 0.5
     assert same >= 57  # only the word's links within its own class are not taken out twice
+
+
+def test_counts_beyond_32_bits_keep_their_sum():
+    most = (1 << 32) - 1
+    keys, times = np.array([3, 5, 9, 12], np.uint64), np.array([most, 7, 3 * most + 4, most + 1])
+    k, t = brown._in_32_bits(keys, times)
+    assert (t >= 1).all() and (t <= most).all() and (k[1:] >= k[:-1]).all() and k.dtype == keys.dtype
+    assert [int(t[k == x].sum()) for x in keys] == times.tolist()
+    plain = brown._in_32_bits(keys[:2], times[:2])
+    assert plain[0].tolist() == [3, 5] and plain[1].tolist() == [most, 7]
+
+
+def test_far_words_beyond_the_ids_are_an_error():
+    with pytest.raises(OverflowError):
+        brown.cluster(None, [], 0, 4, 8, n_far=1 << 31)

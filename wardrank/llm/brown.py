@@ -260,12 +260,23 @@ def _summed(df: DataFrame, count, n_units: int, n_classes: int, block: int = 512
     return table[0], table[1]
 
 
+def _in_32_bits(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same counts, those beyond 32 bits as several entries of their key."""
+    most = (1 << 32) - 1
+    entries = -(-times // most)
+    if (entries <= 1).all():
+        return keys, times
+    nth = np.arange(entries.sum()) - np.repeat(np.cumsum(entries) - entries, entries)
+    return np.repeat(keys, entries), np.minimum(np.repeat(times, entries) - nth * most, most)
+
+
 def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_bucket: int = 1_000_000) -> DataFrame:
     """The neighbours in the training text of every word whose id is at least
     ``n_top``: rows of ``keys`` (word << 32 | neighbour << 1 | side, uint64,
     sorted; side 0: the neighbour stands before the word, 1: after it) and
-    ``times`` (uint32).  All links of a word are in one row; ``n_links``, their
-    number with repeats, decides the number of rows."""
+    ``times`` (uint32; a link that is more frequent has several entries).  All
+    links of a word are in one row; ``n_links``, their number with repeats,
+    decides the number of rows."""
     buckets = max(1, -(-n_links // per_bucket))
     schema = fields("bucket long", "keys binary", "times binary")
 
@@ -305,6 +316,7 @@ def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_b
             order = np.argsort(keys, kind="stable")
             keys, at = np.unique(keys[order], return_index=True)
             total = np.add.reduceat(times[order].astype(np.int64), at)
+            keys, total = _in_32_bits(keys, total)
             yield {"bucket": [k], "keys": [keys.tobytes()], "times": [total.astype("<u4").tobytes()]}
 
     parts = map_arrow(coded.where("training").select("ids"), schema, find)
@@ -478,6 +490,8 @@ def cluster(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int, n_
     ``coded`` (the texts with the ids of far words) all far words count as
     unknown.
     """
+    if FAR + n_far > 1 << 31:  # a link holds an id in 31 bits
+        raise OverflowError(f"{n_far} far words are more than the ids of links can tell apart")
     n_top = min(exchange_words, len(counts))
     start, end_class, tail_class, n_classes = n_exchange, n_exchange + 1, n_exchange + 2, n_exchange + 3
     end = next((i for i, (w, _) in enumerate(counts) if w == END), TAIL)

@@ -122,3 +122,31 @@ def test_recall_of_runs_that_share_their_places():
                 lost = (1 - same / 64 * (1 - lost)) ** branch
             missed += math.comb(64, same) * threshold ** same * (1 - threshold) ** (64 - same) * lost ** runs
         assert missed <= 1e-4
+
+
+def test_a_level_reads_its_split_rows_once(spark, tmp_path, monkeypatch):
+    """The rows of a split meet the buckets that go on in one join; what is
+    dense is taken off by bucket, not by row."""
+    rng, plans, keep = random.Random(8), [], jaccard.stored
+
+    def watched(df, name, *args):
+        if name == "buckets":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name, *args)
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):  # alike, but seldom enough to be split on
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    path = str(tmp_path / "alike")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    jaccard.jaccard_join(spark.read.parquet(path), small=16).collect()
+    levels = [p for p in plans if "parent#" in p]
+    assert levels
+    for p in levels:
+        rows = [line for line in p.splitlines() if "Relation [" in line and "rep#" in line]
+        assert len(rows) == 1 and p.count("LeftAnti") == 1

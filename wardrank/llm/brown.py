@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import count
+from itertools import compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,14 +104,14 @@ def encode(docs: DataFrame, head: dict[bytes, int], id_col: str, text: str, trai
             ids, tail, times, spots = [], [], [], []
             for t in b["_text"].to_pylist():
                 words = lm_tokens(t)
-                codes = [head.get(w, TAIL) for w in words]
-                ids.append(np.array(codes, dtype="<u2").tobytes())
-                outside = [w for w, c in zip(words, codes) if c == TAIL]
+                codes = np.fromiter(map(head.get, words, repeat(TAIL)), "<u2", len(words))
+                ids.append(codes.tobytes())
+                outside = list(compress(words, (codes == TAIL).tolist()))
                 rare = Counter(outside)
-                place = {w: i for i, w in enumerate(rare)}
+                place = dict(zip(rare, count()))
                 tail.append(list(rare))
                 times.append(list(rare.values()))
-                spots.append(np.array([place[w] for w in outside], dtype="<u4").tobytes())
+                spots.append(np.fromiter(map(place.__getitem__, outside), "<u4", len(outside)).tobytes())
             yield {id_col: b["_id"], "row": b["row"], "training": b["training"], "ids": ids, "tail": tail, "times": times,
                    "spots": spots}
 
@@ -232,30 +232,44 @@ def top_counts(linked: tuple[np.ndarray, np.ndarray, np.ndarray], class_of: np.n
     return tuple(t.reshape(-1, n_classes).astype(np.int64) for t in (after, ahead))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold each of them."""
+    most = counts.max(initial=0)
+    return counts.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<i8").tobytes()
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``_packed``."""
+    return np.frombuffer(blob, {2: "<u2", 4: "<u4", 8: "<i8"}[len(blob) // n]).astype(np.int64)
+
+
 def _summed(df: DataFrame, count, n_units: int, n_classes: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """The sum of the (2, units * classes) tables that ``count`` makes of each
     task's batches."""
+    def cells(k: int) -> int:
+        return 2 * min(block, n_units - k) * n_classes
+
     def parts_of(batches):
         for table in count(batches):
             table = table.reshape(2, n_units, n_classes)
             for k in range(0, n_units, block):
-                yield {"block": [k], "counts": [table[:, k:k + block].astype("<i8").tobytes()]}
+                yield {"block": [k], "counts": [_packed(table[:, k:k + block])]}
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b["block"].to_pylist(), b["counts"].to_pylist()):
-                x = np.frombuffer(blob, "<i8")
+                x = _unpacked(blob, cells(k))
                 total[k] = total[k] + x if k in total else x
         for k, x in total.items():
-            yield {"block": [k], "counts": [x.tobytes()]}
+            yield {"block": [k], "counts": [_packed(x)]}
 
     schema = fields("block long", "counts binary")
     parts = map_arrow(df, schema, parts_of)
     n_blocks = -(-n_units // block)
     table = np.zeros((2, n_units, n_classes), np.int64)
     for k, blob in map_arrow(parts.repartition(n_blocks, "block"), schema, add).collect():  # n_blocks rows
-        x = np.frombuffer(bytes(blob), "<i8").reshape(2, -1, n_classes)
+        x = _unpacked(bytes(blob), cells(k)).reshape(2, -1, n_classes)
         table[:, k:k + x.shape[1]] += x
     return table[0], table[1]
 
@@ -324,12 +338,17 @@ def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_b
 
 
 def _link_rows(batches):
-    """(word, neighbour, side, times) arrays of each row of ``links``."""
+    """(word, neighbour << 1 | side, times) arrays of each row of ``links``,
+    sorted by word."""
     for b in slices(batches, 1):
-        keys = _concatenated(b["keys"].to_pylist(), "<u8")
-        if len(keys):
-            yield ((keys >> np.uint64(32)).astype(np.int64), (keys >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64),
-                   (keys & np.uint64(1)).astype(np.int64), _concatenated(b["times"].to_pylist(), "<u4").astype(np.int64))
+        halves = _concatenated(b["keys"].to_pylist(), "<u4")  # of the 64-bit keys, the low one first
+        if len(halves):
+            yield halves[1::2], halves[::2], _concatenated(b["times"].to_pylist(), "<u4")
+
+
+def _word_starts(word: np.ndarray) -> np.ndarray:
+    """Where each word begins in rows sorted by word."""
+    return np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
 
 
 def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,12 +359,16 @@ def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes:
 
     def count(batches):
         table = np.zeros((2, n_units * n_classes))
-        for word, near, side, n in _link_rows(batches):
-            own, other, top = class_of[word].astype(np.int64), class_of[near].astype(np.int64), near < n_top
-            for cells, which, sel in (((n_top + own) * n_classes + other, 0, side == 0),
-                                      (near * n_classes + own, 0, top & (side == 1)),
-                                      (near * n_classes + own, 1, top & (side == 0))):
-                table[which] += np.bincount(cells[sel], weights=n[sel], minlength=n_units * n_classes)
+        between = np.zeros(n_classes * n_classes)  # classes of the linked words and of what stands before them
+        for word, low, n in _link_rows(batches):
+            starts = _word_starts(word)
+            own = np.repeat(class_of[word[starts]].astype(np.int32), np.diff(starts, append=len(word)))
+            ahead = np.flatnonzero(low & 1 == 0)
+            between += np.bincount(own[ahead] * n_classes + class_of[low[ahead] >> 1], weights=n[ahead], minlength=len(between))
+            top = np.flatnonzero(low < 2 * n_top)
+            near = (low[top] >> 1).astype(np.int64) + (low[top] & 1 ^ 1) * np.int64(n_units)
+            table += np.bincount(near * n_classes + own[top], weights=n[top], minlength=table.size).reshape(2, -1)
+        table[0, n_top * n_classes:] += between
         yield table
 
     return _summed(linked, count, n_units, n_classes)
@@ -362,20 +385,20 @@ def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n:
     if (word[1:] < word[:-1]).any():
         order = np.argsort(word, kind="stable")
         word, near_class, side, n, own = (x[order] for x in (word, near_class, side, n, own))
-    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
+    starts = _word_starts(word)
     words, own = word[starts], own[starts]
-    local = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)])) if len(word) else word
+    local = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(word)))
     cell = side * n_classes + near_class
     table = np.concatenate([pairs[:, :n_exchange], pairs.T[:, :n_exchange]]).astype(float)  # (side, class) x candidate
     value = _xlogx(table)
     few = np.concatenate([_xlogx(table + k) - value for k in range(1, _FEW + 1)])  # most counts are small
     best = np.empty(len(words), np.int64)
     into, out = pairs.sum(axis=0).astype(float)[:n_exchange], pairs.sum(axis=1).astype(float)[:n_exchange]
-    for a in range(0, len(words), 20_000):
-        z = min(a + 20_000, len(words))
+    for a in range(0, len(words), 4_000):  # few enough for their cells to stay in a core's cache
+        z = min(a + 4_000, len(words))
         lo, hi = starts[a], starts[z] if z < len(words) else len(word)
         dense = np.bincount((local[lo:hi] - a) * (2 * n_classes) + cell[lo:hi], weights=n[lo:hi], minlength=(z - a) * 2 * n_classes)
-        full = np.flatnonzero(dense)
+        full = np.flatnonzero(dense != 0)
         row, c, k = full // (2 * n_classes), full % (2 * n_classes), dense[full]
         number = np.bincount(row, minlength=z - a)  # cells of each word
         by_number = np.argsort(-number, kind="stable")
@@ -386,7 +409,7 @@ def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n:
             some = int(np.searchsorted(-number, -p, "left"))
             here = at[:some] + p
             kind = (np.minimum(k[here], _FEW).astype(np.int64) - 1) * (2 * n_classes) + c[here]
-            add = few[kind]
+            add = few.take(kind, axis=0)
             big = np.flatnonzero(k[here] > _FEW)
             if len(big):
                 add[big] = _xlogx(table[c[here[big]]] + k[here[big], None]) - value[c[here[big]]]
@@ -399,8 +422,9 @@ def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n:
         there, n_here = table[c[sel], own_class[row[sel]]], k[sel]
         change = 2 * _xlogx(there) - _xlogx(there - n_here) - _xlogx(there + n_here)
         gain[placed, own_class[placed]] += np.bincount(row[sel], weights=change, minlength=z - a)[placed]
+        kinds, kind_of = np.unique(total, return_inverse=True)  # most words have one of a few totals
         for size in (into, out):
-            change = _xlogx(size + total[:, None]) - _xlogx(size)
+            change = (_xlogx(size + kinds[:, None]) - _xlogx(size))[kind_of]
             there = size[own_class[placed]]
             change[placed, own_class[placed]] = _xlogx(there) - _xlogx(there - total[placed])
             gain -= change
@@ -421,12 +445,16 @@ def move_linked(linked: DataFrame, class_of: np.ndarray, pairs: np.ndarray, step
     salt = np.uint64((step // 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
 
     def run(batches):
-        for word, near, side, n in _link_rows(batches):
-            own = class_of[word].astype(np.int64)
-            half = ((word.astype(np.uint64) ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
-            sel = (half == step % 2) & (own <= n_exchange)
-            if sel.any():
-                words, best = best_classes(word[sel], class_of[near[sel]].astype(np.int64), side[sel], n[sel], own[sel], pairs, n_exchange)
+        for word, low, n in _link_rows(batches):
+            starts = _word_starts(word)
+            words, lengths = word[starts], np.diff(starts, append=len(word))
+            half = ((words.astype(np.uint64) ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
+            offered = (half == step % 2) & (class_of[words] <= n_exchange)
+            if offered.any():
+                sel = np.flatnonzero(np.repeat(offered, lengths))
+                words, lengths, low = words[offered].astype(np.int64), lengths[offered], low[sel]
+                words, best = best_classes(np.repeat(words, lengths), class_of[low >> 1].astype(np.int64), (low & 1).astype(np.int64),
+                                           n[sel], np.repeat(class_of[words].astype(np.int64), lengths), pairs, n_exchange)
                 moved = best != class_of[words]
                 yield {"words": [words[moved].astype("<u4").tobytes()], "classes": [best[moved].astype("<u2").tobytes()]}
 

@@ -188,3 +188,32 @@ def test_best_classes_in_pieces_equal_each_word_alone():
     for k in (0, 1, 3999, 4000, 4001, *range(5, len(words), 500), len(words) - 1):
         own = word == words[k]
         assert brown.best_classes(word[own], near[own], side[own], n[own], class_of[word[own]], pairs, n_exchange)[1] == best[k]
+
+
+def test_words_that_occur_once_move_as_any_other_word():
+    rng = np.random.RandomState(6)
+    n_classes, n_exchange, n_words = 6, 4, 3000
+    before, after = rng.randint(0, n_classes, (2, n_words))
+    own = rng.randint(0, n_exchange + 1, n_words)  # the last one: not placed yet
+    pairs = rng.randint(0, 9, (n_classes, n_classes)) * rng.choice([1, 50], (n_classes, n_classes)) + 1
+    word, side = np.repeat(np.arange(n_words), 2), np.tile([0, 1], n_words)
+    near = np.stack([before, after], axis=1).ravel()
+    plain = brown.best_classes(word, near, side, np.ones(len(word), np.int64), own[word], pairs, n_exchange)[1]
+    single = brown.best_of_single(before, after, own, brown.Gains(pairs, n_exchange), n_classes, n_exchange)
+    assert single.tolist() == plain.tolist() and len(set(plain.tolist())) > 1
+
+
+def test_links_hold_each_word_once_in_few_bytes(spark):
+    ids = [[5, 6, 5, 6, 5, 70_000, 2], [2], [9, 2], [5, 6, 2]]  # 2 ends each document; 4 top words
+    df = spark.createDataFrame([(i < 3, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)], "training boolean, ids binary")
+    want = Counter()
+    for x in ids[:3]:
+        for p, w in zip([2, *x], x):
+            want.update([(w, p, 0)] * (w >= 4) + [(p, w, 1)] * (p >= 4))
+    got = []
+    for r in brown.links(df.repartition(2), "<u4", 4, 2, 14, per_bucket=5).collect():
+        words, lengths, near = (np.frombuffer(r[c], "<u4") for c in ("words", "lengths", "near"))
+        times = brown._unpacked(bytes(r["times"]), len(near))
+        assert len(r["times"]) == 2 * len(near) and len(set(words.tolist())) == len(words) and lengths.sum() == len(near)
+        got += [((w, x >> 1, x & 1), n) for w, x, n in zip(np.repeat(words, lengths).tolist(), near.tolist(), times.tolist())]
+    assert len(got) == len(want) and dict(got) == want

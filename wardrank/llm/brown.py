@@ -238,9 +238,14 @@ def _packed(counts: np.ndarray) -> bytes:
     return counts.astype("<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<i8").tobytes()
 
 
+def _narrow(blob: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``_packed`` as they lie."""
+    return np.frombuffer(blob, {2: "<u2", 4: "<u4", 8: "<i8"}[len(blob) // n])
+
+
 def _unpacked(blob: bytes, n: int) -> np.ndarray:
     """The ``n`` counts of ``_packed``."""
-    return np.frombuffer(blob, {2: "<u2", 4: "<u4", 8: "<i8"}[len(blob) // n]).astype(np.int64)
+    return _narrow(blob, n).astype(np.int64)
 
 
 def _summed(df: DataFrame, count, n_units: int, n_classes: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -286,13 +291,14 @@ def _in_32_bits(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_bucket: int = 1_000_000) -> DataFrame:
     """The neighbours in the training text of every word whose id is at least
-    ``n_top``: rows of ``keys`` (word << 32 | neighbour << 1 | side, uint64,
-    sorted; side 0: the neighbour stands before the word, 1: after it) and
-    ``times`` (uint32; a link that is more frequent has several entries).  All
+    ``n_top``: rows of ``words`` (uint32, sorted), ``lengths`` (links of each,
+    uint32), ``near`` (neighbour << 1 | side, uint32, sorted for each word; side
+    0: the neighbour stands before the word, 1: after it) and ``times`` (in the
+    fewest bytes; a link of more than 32 bits has several entries).  All
     links of a word are in one row; ``n_links``, their number with repeats,
     decides the number of rows."""
     buckets = max(1, -(-n_links // per_bucket))
-    schema = fields("bucket long", "keys binary", "times binary")
+    schema = fields("bucket long", "keys binary", "times binary")  # keys: word << 32 | near
 
     def dealt(held):
         keys, times = np.unique(np.concatenate(held), return_counts=True)
@@ -331,19 +337,22 @@ def links(coded: DataFrame, kind: str, n_top: int, end: int, n_links: int, per_b
             keys, at = np.unique(keys[order], return_index=True)
             total = np.add.reduceat(times[order].astype(np.int64), at)
             keys, total = _in_32_bits(keys, total)
-            yield {"bucket": [k], "keys": [keys.tobytes()], "times": [total.astype("<u4").tobytes()]}
+            word = (keys >> np.uint64(32)).astype("<u4")
+            starts = _word_starts(word)
+            yield {"words": [word[starts].tobytes()], "lengths": [np.diff(starts, append=len(word)).astype("<u4").tobytes()],
+                   "near": [keys.astype("<u4").tobytes()], "times": [_packed(total)]}
 
     parts = map_arrow(coded.where("training").select("ids"), schema, find)
-    return stored(map_arrow(parts.repartition(buckets, "bucket"), schema, gather).select("keys", "times"), "links", "zstd")
+    rows = fields("words binary", "lengths binary", "near binary", "times binary")
+    return stored(map_arrow(parts.repartition(buckets, "bucket"), rows, gather), "links", "zstd")
 
 
 def _link_rows(batches):
-    """(word, neighbour << 1 | side, times) arrays of each row of ``links``,
-    sorted by word."""
-    for b in slices(batches, 1):
-        halves = _concatenated(b["keys"].to_pylist(), "<u4")  # of the 64-bit keys, the low one first
-        if len(halves):
-            yield halves[1::2], halves[::2], _concatenated(b["times"].to_pylist(), "<u4")
+    """The (words, lengths, near, times) arrays of each row of ``links``."""
+    for b in batches:
+        for words, lengths, near, times in zip(*(b[c] for c in ("words", "lengths", "near", "times"))):
+            words, lengths, near = (np.frombuffer(x.as_buffer(), "<u4") for x in (words, lengths, near))
+            yield words, lengths, near, _narrow(times.as_buffer(), len(near))
 
 
 def _word_starts(word: np.ndarray) -> np.ndarray:
@@ -360,9 +369,8 @@ def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes:
     def count(batches):
         table = np.zeros((2, n_units * n_classes))
         between = np.zeros(n_classes * n_classes)  # classes of the linked words and of what stands before them
-        for word, low, n in _link_rows(batches):
-            starts = _word_starts(word)
-            own = np.repeat(class_of[word[starts]].astype(np.int32), np.diff(starts, append=len(word)))
+        for words, lengths, low, n in _link_rows(batches):
+            own = np.repeat(class_of[words].astype(np.int32), lengths)
             ahead = np.flatnonzero(low & 1 == 0)
             between += np.bincount(own[ahead] * n_classes + class_of[low[ahead] >> 1], weights=n[ahead], minlength=len(between))
             top = np.flatnonzero(low < 2 * n_top)
@@ -374,56 +382,77 @@ def link_counts(linked: DataFrame, class_of: np.ndarray, n_top: int, n_classes:
     return _summed(linked, count, n_units, n_classes)
 
 
+class Gains:
+    """What a move changes, for the class bigrams ``pairs`` of a pass.  A cell is
+    a side and a class (side * classes + class); ``kind`` is that of a cell and a
+    count up to ``_FEW``."""
+
+    def __init__(self, pairs: np.ndarray, n_exchange: int):
+        self.table = np.concatenate([pairs[:, :n_exchange], pairs.T[:, :n_exchange]]).astype(float)  # cell x candidate
+        self.value = _xlogx(self.table)
+        few = [_xlogx(self.table + k) for k in range(1, _FEW + 1)]  # most counts are small
+        self.few = np.concatenate([x - self.value for x in few])  # kind x candidate
+        self.own = np.concatenate([2 * self.value - _xlogx(self.table - k) - x for k, x in enumerate(few, 1)])
+        self.sizes = [pairs.sum(axis=k).astype(float)[:n_exchange] for k in (0, 1)]
+
+
 def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray,
-                 pairs: np.ndarray, n_exchange: int) -> tuple[np.ndarray, np.ndarray]:
+                 pairs: np.ndarray, n_exchange: int, gains: Gains | None = None, piece: int = 32_000) -> tuple[np.ndarray, np.ndarray]:
     """(words, their best class) against the class bigrams ``pairs``.
 
     The rows are the links of whole words (best sorted by word); ``own`` is the
     class of the word of each row.  A word's own counts are taken out of its class.
     """
+    gains = gains or Gains(pairs, n_exchange)
     n_classes = len(pairs)
+    table, value, few = gains.table, gains.value, gains.few
     if (word[1:] < word[:-1]).any():
         order = np.argsort(word, kind="stable")
         word, near_class, side, n, own = (x[order] for x in (word, near_class, side, n, own))
     starts = _word_starts(word)
     words, own = word[starts], own[starts]
-    local = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(word)))
-    cell = side * n_classes + near_class
-    table = np.concatenate([pairs[:, :n_exchange], pairs.T[:, :n_exchange]]).astype(float)  # (side, class) x candidate
-    value = _xlogx(table)
-    few = np.concatenate([_xlogx(table + k) - value for k in range(1, _FEW + 1)])  # most counts are small
+    bits = (2 * n_classes - 1).bit_length()
+    cells = (np.repeat(np.arange(len(starts)), np.diff(starts, append=len(word))) << bits) + side * n_classes + near_class
+    ends = np.append(starts[1:], len(word))
     best = np.empty(len(words), np.int64)
-    into, out = pairs.sum(axis=0).astype(float)[:n_exchange], pairs.sum(axis=1).astype(float)[:n_exchange]
-    for a in range(0, len(words), 4_000):  # few enough for their cells to stay in a core's cache
-        z = min(a + 4_000, len(words))
-        lo, hi = starts[a], starts[z] if z < len(words) else len(word)
-        dense = np.bincount((local[lo:hi] - a) * (2 * n_classes) + cell[lo:hi], weights=n[lo:hi], minlength=(z - a) * 2 * n_classes)
-        full = np.flatnonzero(dense != 0)
-        row, c, k = full // (2 * n_classes), full % (2 * n_classes), dense[full]
+    a = 0
+    while a < len(words):  # pieces whose cells stay in a core's cache
+        z = min(a + 4_000, max(a + 1, int(np.searchsorted(ends, starts[a] + piece, "right"))))
+        lo, hi = starts[a], ends[z - 1]
+        links_of = np.sort((cells[lo:hi] - (a << bits)).astype(np.uint64) << np.uint64(32) | n[lo:hi].astype(np.uint64))
+        cell = (links_of >> np.uint64(32)).astype(np.int64)
+        first = _word_starts(cell)
+        k = np.add.reduceat((links_of & np.uint64(0xFFFFFFFF)).astype(np.int64), first)
+        row, c = cell[first] >> bits, cell[first] & (1 << bits) - 1
+        kind = (np.minimum(k, _FEW) - 1) * (2 * n_classes) + c
+        big = np.flatnonzero(k > _FEW)
+        added = few
+        if len(big):
+            kind[big] = len(few) + np.arange(len(big))
+            added = np.concatenate([few, _xlogx(table[c[big]] + k[big, None]) - value[c[big]]])
         number = np.bincount(row, minlength=z - a)  # cells of each word
         by_number = np.argsort(-number, kind="stable")
         at = (np.cumsum(number) - number)[by_number]  # the first cell of each word
-        number = number[by_number]
-        gain = np.zeros((z - a, n_exchange))
-        for p in range(int(number[0]) if len(number) else 0):  # the p-th cell of all words that have one
-            some = int(np.searchsorted(-number, -p, "left"))
-            here = at[:some] + p
-            kind = (np.minimum(k[here], _FEW).astype(np.int64) - 1) * (2 * n_classes) + c[here]
-            add = few.take(kind, axis=0)
-            big = np.flatnonzero(k[here] > _FEW)
-            if len(big):
-                add[big] = _xlogx(table[c[here[big]]] + k[here[big], None]) - value[c[here[big]]]
-            gain[:some] += add
-        gain[by_number] = gain.copy()
-        total = np.bincount(row[c < n_classes], weights=k[c < n_classes], minlength=z - a)  # each occurrence has one word before it
+        some = z - a - np.cumsum(np.bincount(number))  # the words that have more than 0, 1, ... cells
+        sums, part = np.zeros((z - a, n_exchange)), np.empty((z - a, n_exchange))
+        for p in range(len(some) - 1):  # the p-th cell of all words that have one
+            m = int(some[p])
+            sums[:m] += np.take(added, kind[at[:m] + p], axis=0, out=part[:m], mode="clip")
+        gain = part
+        gain[by_number] = sums
+        before = np.flatnonzero(c < n_classes)
+        total = np.bincount(row[before], weights=k[before], minlength=z - a)  # each occurrence has one word before it
         own_class = own[a:z]
         placed = np.flatnonzero(own_class < n_exchange)
-        sel = np.flatnonzero(own_class[row] < n_exchange)  # a placed word's counts are in its class already
-        there, n_here = table[c[sel], own_class[row[sel]]], k[sel]
-        change = 2 * _xlogx(there) - _xlogx(there - n_here) - _xlogx(there + n_here)
+        sel = np.flatnonzero((own_class < n_exchange)[row])  # a placed word's counts are in its class already
+        in_class = own_class[row[sel]]
+        change = gains.own[np.minimum(kind[sel], len(few) - 1), in_class]
+        much = np.flatnonzero(kind[sel] >= len(few))
+        there, n_here = table[c[sel[much]], in_class[much]], k[sel[much]]
+        change[much] = 2 * _xlogx(there) - _xlogx(there - n_here) - _xlogx(there + n_here)
         gain[placed, own_class[placed]] += np.bincount(row[sel], weights=change, minlength=z - a)[placed]
         kinds, kind_of = np.unique(total, return_inverse=True)  # most words have one of a few totals
-        for size in (into, out):
+        for size in gains.sizes:
             change = (_xlogx(size + kinds[:, None]) - _xlogx(size))[kind_of]
             there = size[own_class[placed]]
             change[placed, own_class[placed]] = _xlogx(there) - _xlogx(there - total[placed])
@@ -433,9 +462,36 @@ def best_classes(word: np.ndarray, near_class: np.ndarray, side: np.ndarray, n:
         stay = gain[placed, found[placed]] <= here + 1e-9
         found[placed[stay]] = own_class[placed[stay]]
         best[a:z] = found
+        a = z
     return words, best
 
 
+def best_of_single(before: np.ndarray, after: np.ndarray, own: np.ndarray, gains: Gains, n_classes: int, n_exchange: int) -> np.ndarray:
+    """What ``best_classes`` finds for words that occur once, given the classes
+    of the word before and after each: alike but for the word's own class, so
+    candidates are weighed once for each pair of classes."""
+    couples, couple = np.unique(before * n_classes + after, return_inverse=True)
+    gain = gains.few[couples // n_classes] + gains.few[n_classes + couples % n_classes]
+    for size in gains.sizes:
+        gain -= _xlogx(size + 1) - _xlogx(size)
+    each = np.arange(len(couples))
+    first = gain.argmax(axis=1)
+    most = gain[each, first]
+    gain[each, first] = -np.inf
+    second = gain.argmax(axis=1)
+    next_most = gain[each, second]
+    best = first[couple]
+    placed = np.flatnonzero(own < n_exchange)
+    own, before, after, couple = own[placed], before[placed], n_classes + after[placed], couple[placed]
+    here = gains.few[before, own] + gains.few[after, own] + (gains.own[before, own] + gains.own[after, own])
+    for size in gains.sizes:
+        here -= (_xlogx(size) - _xlogx(size - 1))[own]
+    is_first = best[placed] == own
+    other = np.where(is_first, second[couple], best[placed])
+    best[placed] = np.where(np.where(is_first, next_most[couple], most[couple]) <= here + 1e-9, own, other)
+    return best
+
+
 def move_linked(linked: DataFrame, class_of: np.ndarray, pairs: np.ndarray, step: int, n_exchange: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, new classes) of the linked words that move.
 
@@ -444,19 +500,28 @@ def move_linked(linked: DataFrame, class_of: np.ndarray, pairs: np.ndarray, step
     """
     salt = np.uint64((step // 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
 
+    def moves(words, best):
+        moved = best != class_of[words]
+        return {"words": [words[moved].astype("<u4").tobytes()], "classes": [best[moved].astype("<u2").tobytes()]}
+
     def run(batches):
-        for word, low, n in _link_rows(batches):
-            starts = _word_starts(word)
-            words, lengths = word[starts], np.diff(starts, append=len(word))
+        gains = Gains(pairs, n_exchange)
+        for words, lengths, low, n in _link_rows(batches):
             half = ((words.astype(np.uint64) ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(63)).astype(np.int64)
             offered = (half == step % 2) & (class_of[words] <= n_exchange)
+            at = np.cumsum(lengths, dtype=np.int64) - lengths
+            two = np.flatnonzero(offered & (lengths == 2))
+            two = two[(n[at[two]] == 1) & (n[at[two] + 1] == 1)]  # they occur once: a link on either side
+            if len(two):
+                sides = low[at[two]], low[at[two] + 1]
+                before, after = (class_of[np.where(sides[0] & 1 == k, *sides) >> 1].astype(np.int64) for k in (0, 1))
+                yield moves(words[two], best_of_single(before, after, class_of[words[two]].astype(np.int64), gains, len(pairs), n_exchange))
+                offered[two] = False
             if offered.any():
                 sel = np.flatnonzero(np.repeat(offered, lengths))
                 words, lengths, low = words[offered].astype(np.int64), lengths[offered], low[sel]
-                words, best = best_classes(np.repeat(words, lengths), class_of[low >> 1].astype(np.int64), (low & 1).astype(np.int64),
-                                           n[sel], np.repeat(class_of[words].astype(np.int64), lengths), pairs, n_exchange)
-                moved = best != class_of[words]
-                yield {"words": [words[moved].astype("<u4").tobytes()], "classes": [best[moved].astype("<u2").tobytes()]}
+                yield moves(*best_classes(np.repeat(words, lengths), class_of[low >> 1].astype(np.int64), (low & 1).astype(np.int64),
+                                          n[sel], np.repeat(class_of[words].astype(np.int64), lengths), pairs, n_exchange, gains))
 
     rows = map_arrow(linked, fields("words binary", "classes binary"), run).collect()
     return (_concatenated([bytes(r[0]) for r in rows], "<u4").astype(np.int64), _concatenated([bytes(r[1]) for r in rows], "<u2"))

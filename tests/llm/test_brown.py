@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from llm_fixtures import docs, none, rows  # noqa: F401
-from wardrank.llm import brown
-from wardrank.llm.common import id_remainder, stored
+from wardrank.llm import brown, common
+from wardrank.llm.common import fields, id_remainder, stored
 
 
 def _tokens(t):
@@ -217,3 +218,36 @@ def test_links_hold_each_word_once_in_few_bytes(spark):
         assert len(r["times"]) == 2 * len(near) and len(set(words.tolist())) == len(words) and lengths.sum() == len(near)
         got += [((w, x >> 1, x & 1), n) for w, x, n in zip(np.repeat(words, lengths).tolist(), near.tolist(), times.tolist())]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_texts_are_read_in_small_batches(spark, docs, monkeypatch):
+    limits, held = {}, brown.stored
+
+    def watched(df, name, *rest):
+        limits[name] = [int(spark.conf.get(k)) for k in common._BATCHES]
+        return held(df, name, *rest)
+
+    monkeypatch.setattr(brown, "stored", watched)
+    before = [spark.conf.get(k) for k in common._BATCHES]
+    brown.score_texts(docs, id_remainder("doc_id", 4) != 0, max_head=300, n_exchange=6, exchange_words=80, passes=1)
+    assert all(max(limits[k]) <= 500 for k in ("words", "encoded", "coded", "links"))
+    assert [spark.conf.get(k) for k in common._BATCHES] == before
+
+    def sizes(df):
+        return [r.n for r in common.map_arrow(df, fields("n long"), lambda bs: ({"n": [len(b["id"])]} for b in bs)).collect()]
+
+    ids = spark.range(0, 1050, 1, 1)
+    with common.small_batches(spark, 100):
+        assert sum(found := sizes(ids)) == 1050 and max(found) == 100
+    with pytest.raises(ValueError), common.small_batches(spark, 100):
+        raise ValueError
+    assert sizes(ids) == [1050]
+
+
+def test_far_ids_need_no_python_workers_but_their_own(spark):
+    words = stored(spark.createDataFrame([(bytearray(f"w{i}".encode()), i) for i in range(200)], "word binary, n long").repartition(3), "words")
+    far, n_far = brown.far_words(words, {b"w7": 0, b"w9": 1})
+    assert "ExistingRDD" not in plan_text(far)  # a list turned into rows by Python
+    assert n_far == 198 and sorted(r.far for r in far.collect()) == list(range(brown.FAR, brown.FAR + 198))
+    none, n_none = brown.far_words(words.where("n < 0"), {})
+    assert n_none == 0 and none.count() == 0

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, map_arrow, slices, stored
+from .common import fields, map_arrow, slices, small_batches, stored
 
 END = b"\n"  # no word holds white space
 TAIL = 0xFFFF  # a word outside the head; once far words have ids, an unknown word
@@ -130,7 +130,8 @@ def far_words(counts: DataFrame, head: dict[bytes, int]) -> tuple[DataFrame, int
         "word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "far")
     sizes = sorted((r[0], r[1]) for r in found.groupBy("part").count().collect())
     starts = FAR + np.cumsum([0, *(n for _, n in sizes)])
-    first = found.sparkSession.createDataFrame([(p, int(x)) for (p, _), x in zip(sizes, starts)], "part int, first long")
+    first = found.sparkSession.createDataFrame(pa.table({  # of an Arrow table: a list would go through Python workers
+        "part": pa.array([p for p, _ in sizes], pa.int32()), "first": pa.array(starts[:-1], pa.int64())}))
     far = found.join(F.broadcast(first), "part").select(
         "word", "n", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("far"))
     return far, int(starts[-1]) - FAR
@@ -595,8 +596,9 @@ def cluster(encoded: DataFrame, counts: list[tuple[bytes, int]], tokens: int, n_
     if end != TAIL:
         class_of[end] = end_class
     n_links = 2 * (tokens - sum(n for _, n in counts[:n_top]))
-    linked = links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end, n_links)
-    tops = top_links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end)
+    with small_batches(encoded.sparkSession):
+        linked = links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end, n_links)
+        tops = top_links(encoded if coded is None else coded, "<u2" if coded is None else "<u4", n_top, end)
     best, best_fit, best_pairs = class_of, -np.inf, np.zeros((n_classes, n_classes), np.int64)
     movable = np.array([i for i in range(n_top) if i != end], dtype=np.int64)
     fits = []  # after every pass
@@ -670,13 +672,17 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text:
     ``train_tokens``, ``base_score`` (unigram) and ``score`` (both log10).
     """
     source = docs.select(id_col, text)
-    counts = stored(count_words(source.where(training), text), "words")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        counts = stored(count_words(source.where(training), text), "words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = [(END, r["n"]) for r in counts.where(F.col("word") == F.lit(END)).collect()]
     top = ends + [x for x in frequent_words(counts, max_head) if x[0] != END]
     head = {w: i for i, (w, _) in enumerate(top)}
-    encoded = stored(encode(source, head, id_col, text, training), "encoded", "zstd")
+    with small_batches(spark):
+        encoded = stored(encode(source, head, id_col, text, training), "encoded", "zstd")
     far, n_far = far_words(counts, head)
-    coded = stored(with_far_ids(encoded, far, id_col), "coded", "zstd")
+    with small_batches(spark):
+        coded = stored(with_far_ids(encoded, far, id_col), "coded", "zstd")
     model = build_model(encoded, top, tokens, types, coded=coded, n_far=n_far, **model_options)
     return _scores(coded, model, id_col)
